@@ -253,7 +253,9 @@ def scan(
     if not arms:
         arms = ["cast(NULL as array<struct<rule_no int, match_no int, value string>>)"]
     hits = f"flatten(array_compact(array({', '.join(arms)})))"
-    out = src.select(*carried, "_loc", F.explode(F.expr(hits)).alias("_h"))
+    # Outer explode and a filter: a plain explode makes the optimizer infer "size(...) > 0"
+    # below it, which runs every rule twice.
+    out = src.select(*carried, "_loc", F.explode_outer(F.expr(hits)).alias("_h")).where("_h IS NOT NULL")
     value = F.col("_h.value")
     table = ", ".join(
         f"struct({', '.join(tx.sql_str(x) for x in (r.detector, r.name, r.severity, r.action, r.validator))})" for r in rules
@@ -362,8 +364,8 @@ def keywords(
     words = [(k, "critical", "confidential_keyword") for k in critical] + [(k, "warning", "sensitive_keyword") for k in warning]
     table = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(s).alias("sev"), F.lit(t).alias("typ")) for k, s, t in words])
     up = df.withColumn("_up", F.upper(text)).withColumn(
-        "_k", F.explode(F.filter(table, lambda x: F.contains(F.col("_up"), x["kw"])))
-    )
+        "_k", F.explode_outer(F.filter(table, lambda x: F.contains(F.col("_up"), x["kw"])))
+    ).where("_k IS NOT NULL")
     return up.select(*_finding(carried, "proprietary", F.col("_k.typ"), F.col("_k.sev"), loc, F.col("_k.kw"), F.col("_k.kw")))
 
 
@@ -402,9 +404,9 @@ def entropy_sweep(
     loc = F.col(location) if isinstance(location, str) else location
     carried = [c for c in df.columns if c not in (text, location)]
     tokens = F.when(near, F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(1)))
-    out = df.select(*carried, loc.alias("_loc"), F.posexplode(tokens).alias("match_no", "_v"))
+    out = df.select(*carried, loc.alias("_loc"), F.posexplode_outer(tokens).alias("match_no", "_v"))
     v = F.col("_v")
-    return out.where(tx.shannon_entropy(v) > threshold).select(
+    return out.where(v.isNotNull()).where(tx.shannon_entropy(v) > threshold).select(
         *_finding(carried, "secrets", F.lit("high_entropy_string"), F.lit("high"), F.col("_loc"), v, tx.mask_short(v)),
         "match_no",
     )

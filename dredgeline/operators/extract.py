@@ -170,7 +170,7 @@ def extract_fields(
     array instead of being exploded.
     """
     keep = [c for c in df.columns if c != body]
-    out = df.where(F.col(body).rlike(r"\A[ \t\r\n]*\{")).withColumn("_v", F.expr(f"try_parse_json({body})")).where("_v IS NOT NULL")
+    out = df.where(F.col(body).rlike(r"\A[ \t\r\n]*\{")).withColumn("_v", F.expr(f"try_parse_json({body})"))
     fmt = format_sql("_v")
     if provider:
         known = " ".join(f"WHEN '{p}' THEN '{f}'" for p, f in PROVIDER_FORMAT.items())
@@ -196,8 +196,10 @@ def extract_fields(
 
 
 def explode_fields(df: DataFrame) -> DataFrame:
+    """One row per field. The outer form plus a filter keeps the optimizer from adding a
+    ``size(fields) > 0`` filter below, which would evaluate the whole extraction twice."""
     rest = [c for c in df.columns if c != "fields"]
-    return df.select(*rest, F.posexplode("fields").alias("field_no", "_f")).select(
+    return df.select(*rest, F.posexplode_outer("fields").alias("field_no", "_f")).where("_f IS NOT NULL").select(
         *rest, "field_no", F.col("_f.path").alias("path"), F.col("_f.text").alias("text"),
         F.col("_f.source_filename").alias("source_filename"),
     )

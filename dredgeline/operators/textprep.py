@@ -24,26 +24,19 @@ def oversized(body, limit: int) -> Column:
     return F.octet_length(F.col(body) if isinstance(body, str) else body) > limit
 
 
-def _children_sql(lvl: str, whole: str, base64: bool, hexa: bool, url: bool, esc: bool, min_len: int, max_len: int) -> str:
-    """One decoding level: array of (ord, encoding, text) -> array of the decoded children."""
+def _children_sql(text: str, whole: str, base64: bool, hexa: bool, url: bool, esc: bool, min_len: int, max_len: int) -> str:
+    """The decoded children of one text, as an array of (encoding, text)."""
     parts = []
     if base64:
-        parts.append(f"transform({tx.base64_texts_sql('x.text', min_len, max_len)}, t -> struct('base64' as encoding, t as text))")
+        parts.append(f"transform({tx.base64_texts_sql(text, min_len, max_len)}, t -> struct('base64' as encoding, t as text))")
     if hexa:
-        parts.append(f"transform({tx.hex_texts_sql('x.text', min_len, max_len)}, t -> struct('hex' as encoding, t as text))")
-    for on, name, field in ((url, "url", "url"), (esc, "unicode", "esc")):
+        parts.append(f"transform({tx.hex_texts_sql(text, min_len, max_len)}, t -> struct('hex' as encoding, t as text))")
+    for on, name, val in ((url, "url", f"{whole}.url"), (esc, "unicode", f"{whole}.esc")):
         if on:
-            val = f"{whole}[i].{field}"
             ok = f"length({val}) >= {min_len} AND length(regexp_replace({val}, '[^ -~]', '')) / length({val}) >= 0.7"
-            parts.append(
-                f"CASE WHEN {ok} THEN array(struct('{name}' as encoding, substr({val}, 1, {max_len}) as text)) "
-                f"ELSE cast(array() as array<struct<encoding string, text string>>) END"
-            )
-    kids = f"concat({', '.join(parts)})"
-    return (
-        f"flatten(transform({lvl}, (x, i) -> transform({kids}, "
-        "(k, j) -> struct(concat(x.ord, array(j)) as ord, k.encoding as encoding, k.text as text))))"
-    )
+            parts.append(f"CASE WHEN {ok} THEN array(struct('{name}' as encoding, substr({val}, 1, {max_len}) as text)) "
+                         "ELSE cast(array() as array<struct<encoding string, text string>>) END")
+    return f"concat({', '.join(parts)})"
 
 
 def decode_fields(
@@ -61,37 +54,31 @@ def decode_fields(
 ) -> DataFrame:
     """Expand each text row to the raw text plus every decoded variant.
 
-    Adds ``encoding`` and ``variant_no``. The levels are arrays inside the row, so one scan
-    yields all depths in one pass; only texts that hold an escape are sent to Python.
+    Adds ``encoding`` and ``variant``, the position of the variant as an array: [] for the
+    raw text, [j] for its j-th child, [j, k] below it; sorting by it gives depth-first order.
+    Each level is one projection and one outer explode over the level before, so nothing is
+    computed twice or shuffled. Only texts that hold an escape are sent to Python.
     """
-    lvl0 = F.array(F.struct(F.array(F.lit(0)).alias("ord"), F.lit("raw").alias("encoding"), F.col(text).alias("text")))
-    out = df.withColumn("_lvl0", lvl0)
-    any_on = base64 or hexa or url or esc
-    depth = max_depth if any_on else 0
-    for k in range(depth):
+    out = df.withColumn("encoding", F.lit("raw")).withColumn("variant", F.array().cast("array<int>"))
+    rest = [c for c in df.columns if c != text]
+    me = f"struct(encoding as encoding, {text} as text)"
+    for k in range(max_depth if base64 or hexa or url or esc else 0):
         if url or esc:
-            out = out.withColumn(
-                f"_whole{k}",
-                tx.decode_whole_texts(
-                    F.expr(f"transform(_lvl{k}, x -> CASE WHEN contains(x.text, '%') OR contains(x.text, '\\\\u') THEN x.text END)")
-                ),
-            )
-        out = out.withColumn(f"_lvl{k + 1}", F.expr(_children_sql(f"_lvl{k}", f"_whole{k}", base64, hexa, url, esc, min_len, max_len)))
-    levels = [f"_lvl{k}" for k in range(depth + 1)]
-    drop = levels + [f"_whole{k}" for k in range(depth)]
-    out = out.withColumn("_v", F.array_sort(F.concat(*levels)) if depth else F.col("_lvl0"))
-    out = out.select(*[c for c in df.columns if c != text], F.posexplode("_v").alias("variant_no", "_x")).drop(*drop)
-    out = out.withColumn("encoding", F.col("_x.encoding")).withColumn("_t", F.col("_x.text"))
+            held = F.contains(text, F.lit("%")) | F.contains(text, F.lit("\\u"))
+            out = out.withColumn("_whole", tx.decode_whole_text(F.when((F.size("variant") == k) & held, F.col(text))))
+        kids = _children_sql(text, "_whole", base64, hexa, url, esc, min_len, max_len)
+        out = out.withColumn("_all", F.expr(f"CASE WHEN size(variant) = {k} THEN concat(array({me}), {kids}) ELSE array({me}) END"))
+        out = out.select(*rest, F.col("variant").alias("_up"), F.posexplode_outer("_all").alias("_j", "_x")).where("_x IS NOT NULL")
+        out = out.select(*rest, F.col("_x.text").alias(text), F.col("_x.encoding").alias("encoding"),
+                         F.expr("if(_j = 0, _up, concat(_up, array(_j - 1)))").alias("variant"))
     if sanitize_decoded:
-        decoded = F.when(F.col("encoding") != "raw", F.col("_t"))
-        out = out.withColumn(text, F.coalesce(tx.sanitize(decoded), F.col("_t")))
-    else:
-        out = out.withColumn(text, F.col("_t"))
+        decoded = F.when(F.col("encoding") != "raw", F.col(text))
+        out = out.withColumn(text, F.coalesce(tx.sanitize(decoded), F.col(text)))
     if path and path in df.columns:
         out = out.withColumn(
             path, F.when(F.col("encoding") == "raw", F.col(path)).otherwise(F.concat(path, F.lit("["), "encoding", F.lit("]")))
         )
-    return out.drop("_x", "_t")
+    return out
 
 
 def text_budget(fields: Column | str, limit: int = MAX_SCAN_CHARS, min_rest: int = 100) -> Column:

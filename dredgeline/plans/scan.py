@@ -14,6 +14,10 @@ from dredgeline.session import spread
 from dredgeline.sources import files
 
 
+#: Findings of one request in detector order: field, decoded variant, rule, match.
+ORDER = ("field_no", "variant", "rule_no", "match_no")
+
+
 @dataclass
 class ScanConfig:
     rules: Sequence[detect.Rule] = field(default_factory=lambda: [r for r in detect.community_rules() if r.detector != "injection"])
@@ -36,7 +40,7 @@ class ScanConfig:
 
 def _detect(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig) -> DataFrame:
     """Findings of every enabled detector over (keys, field_no, path, text, source_filename)."""
-    keep = [*keys, "field_no"]
+    keep = [*keys, "field_no", "variant"]
     rules = detect.active_rules(cfg.rules, licensed=cfg.licensed, skip=cfg.plugins.skip_rules) if cfg.detect_rules else []
     parts = []
     if rules:
@@ -68,14 +72,16 @@ def scan_texts(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig | None = N
     x = filters.drop_allowed_paths(texts, cfg.allow_paths)
     x = textprep.sanitize_frame(x)
     if cfg.decode:
-        x = textprep.decode_fields(x, max_depth=cfg.decode_depth).withColumn("field_no", F.col("field_no") * 10_000 + F.col("variant_no")).drop("variant_no", "encoding")
+        x = textprep.decode_fields(x, max_depth=cfg.decode_depth).drop("encoding")
+    else:
+        x = x.withColumn("variant", F.array().cast("array<int>"))
     if cfg.distinct_texts:
         found = _scan_distinct(x, keys, cfg)
     else:
         found = _detect(x, keys, cfg)
     if cfg.stop_at_block:
-        found = detect.stop_after_block(found, [*keys, "field_no"])
-    found = policy.collapse(found, keys)
+        found = detect.stop_after_block(found, [*keys, "field_no", "variant"])
+    found = policy.collapse(found, keys, ORDER)
     return found.withColumn("action", policy.resolve_action(cfg.overrides, cfg.default_action))
 
 
@@ -86,9 +92,9 @@ def _scan_distinct(x: DataFrame, keys: list[str], cfg: ScanConfig) -> DataFrame:
     once. Worth its shuffle when copies are common.
     """
     h = x.withColumn("_h", F.sha2("text", 256))
-    once = h.groupBy("_h").agg(F.first("text").alias("text")).select("_h", F.lit(0).alias("field_no"), F.lit("").alias("path"), "text", F.lit("").alias("source_filename"))
-    found = _detect(once, ["_h"], cfg).drop("field_no", "location")
-    where = h.select(*keys, "field_no", F.col("path").alias("location"), "_h")
+    once = h.groupBy("_h").agg(F.first("text").alias("text")).select("_h", F.lit(0).alias("field_no"), F.array().cast("array<int>").alias("variant"), F.lit("").alias("path"), "text", F.lit("").alias("source_filename"))
+    found = _detect(once, ["_h"], cfg).drop("field_no", "variant", "location")
+    where = h.select(*keys, "field_no", "variant", F.col("path").alias("location"), "_h")
     return where.join(found, "_h").drop("_h")
 
 
@@ -108,7 +114,7 @@ def scan_requests(requests: DataFrame, cfg: ScanConfig | None = None, key: str =
 
 def request_results(requests: DataFrame, findings: DataFrame, cfg: ScanConfig | None = None, key: str = "req_id") -> DataFrame:
     cfg = cfg or ScanConfig()
-    return cfg.plugins.run_evaluate(findings, lambda f: policy.request_verdicts(requests, f, [key], cfg.default_action))
+    return cfg.plugins.run_evaluate(findings, lambda f: policy.request_verdicts(requests, f, [key], cfg.default_action, ORDER))
 
 
 def scan_documents(docs: DataFrame, cfg: ScanConfig | None = None, key: str = "file", text: str = "text", baseline: DataFrame | None = None) -> DataFrame:

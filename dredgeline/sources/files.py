@@ -47,7 +47,7 @@ def diff_files(diffs: DataFrame, key: str = "diff_id", diff: str = "diff") -> Da
         "transform(_h, (h, k) -> struct(h.file as file, k as section, filter(transform(slice(_l, h.pos + 2, "
         "coalesce(get(_h, k + 1).pos, size(_l)) - h.pos - 1), l -> l.added), a -> a IS NOT NULL) as added))"
     )
-    x = x.select(key, F.explode(F.expr(f"filter({sections}, s -> size(s.added) > 0)")).alias("_s"))
+    x = x.select(key, F.explode_outer(F.expr(f"filter({sections}, s -> size(s.added) > 0)")).alias("_s")).where("_s IS NOT NULL")
     return x.groupBy(key, F.col("_s.file").alias("file")).agg(
         F.max_by(F.array_join("_s.added", "\n"), "_s.section").alias("text"))
 

@@ -110,31 +110,38 @@ def read_audit(spark: SparkSession, path: str, limit: int | None = 10_000) -> Da
 
 
 # ---- findings -------------------------------------------------------------------------------------------
-def write_findings(findings: DataFrame, path: str, hmac_key: bytes = b"", ts: str = "timestamp") -> None:
+def write_findings(findings: DataFrame, path: str, hmac_key: bytes = b"", ts: str = "timestamp", batch_id: int | None = None) -> None:
     """Merge new findings into the stored table by writing a new snapshot beside the old one.
 
     Layout: ``path/v=N`` with day partitions; readers take the highest finished version, so a
-    failed write leaves the old one in place. Values are hashed before anything is written.
+    failed write leaves the old one in place. A stream passes its batch id, which fixes the
+    version: a batch replayed after a failure rewrites its own snapshot and counts once.
+    Values are hashed before anything is written.
     """
     spark = findings.sparkSession
-    stored, version = read_findings(spark, path), _version(spark, path)
+    version = _version(spark, path, batch_id)
     safe = secure_columns(findings, hmac_key) if "value" in findings.columns else findings
-    merged = dedup.upsert(stored, safe, ts)
-    merged.withColumn("day", F.to_date(ts)).write.partitionBy("day").parquet(os.path.join(path, f"v={version + 1}"))
+    merged = dedup.upsert(_snapshot(spark, path, version), safe, ts)
+    target = version + 1 if batch_id is None else batch_id + 1
+    merged.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(os.path.join(path, f"v={target}"))
 
 
-def _version(spark: SparkSession, path: str) -> int:
+def _version(spark: SparkSession, path: str, at_most: int | None = None) -> int:
     hp = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hp):
         return 0
     done = [s.getPath() for s in fs.listStatus(hp) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max([int(p.getName().split("=")[1]) for p in done] or [0])
+    found = [int(p.getName().split("=")[1]) for p in done]
+    return max([v for v in found if at_most is None or v <= at_most] or [0])
+
+
+def _snapshot(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    return spark.read.parquet(os.path.join(path, f"v={version}")).drop("day") if version else None
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame | None:
-    v = _version(spark, path)
-    return spark.read.parquet(os.path.join(path, f"v={v}")).drop("day") if v else None
+    return _snapshot(spark, path, _version(spark, path))
 
 
 # ---- exports ----------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ dropped by the engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -241,17 +241,14 @@ def count_late(df: DataFrame, max_ts: str, ts: str = "ts", delay: str = "10 minu
     return df.where(F.col(ts) < F.lit(max_ts).cast(df.schema[ts].dataType) - F.expr(f"INTERVAL {delay}")).agg(F.count("*").alias("late"))
 
 
-def upsert_stream(df: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str, query_name: str = "findings_upsert"):
-    """``foreachBatch`` merge into a findings store; a batch that is replayed after a failure
-    must not be merged twice, so the store remembers the last batch id."""
-    done: dict[str, int] = {"last": -1}
+def upsert_stream(df: DataFrame, path: str, checkpoint: str, hmac_key: bytes = b"", ts: str = "timestamp"):
+    """``foreachBatch`` merge into a findings store; replayed batches count once."""
+    from dredgeline.sources.stores import write_findings
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > done["last"]:
-            merge(batch)
-            done["last"] = batch_id
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        write_findings(batch, path, hmac_key, ts, batch_id)
 
-    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).queryName(query_name).trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def scan_events(verdicts: DataFrame) -> DataFrame:
