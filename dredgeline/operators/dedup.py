@@ -34,18 +34,18 @@ def islands(df: DataFrame, keys: Sequence[str], us: str, gap_us: int, strict: bo
     """
     keys = list(keys)
     b = bucket_us or max(gap_us * 8, 1)
-    x = df.withColumn("_b", F.floor(F.col(us) / F.lit(b)))
-    inside = W.partitionBy(*keys, "_b").orderBy(us)
-    per_key = W.partitionBy(*keys).orderBy("_b")
-    ends = x.groupBy(*keys, "_b").agg(F.min(us).alias("_lo"), F.max(us).alias("_hi")).withColumn("_prev", F.lag("_hi").over(per_key))
-    x = x.withColumn("_before", F.lag(us).over(inside)).join(ends.select(*keys, "_b", "_prev"), [*keys, "_b"])
-    since = F.col(us) - F.coalesce("_before", "_prev")
-    x = x.withColumn("_new", F.when(since.isNull() | ((since > gap_us) if strict else (since >= gap_us)), 1).otherwise(0))
-    x = x.withColumn("_n", F.sum("_new").over(inside))
-    starts = x.groupBy(*keys, "_b").agg(F.sum("_new").alias("_s"))
-    starts = starts.withColumn("_off", F.coalesce(F.sum("_s").over(per_key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = x.join(starts.select(*keys, "_b", "_off"), [*keys, "_b"])
-    return out.withColumn(name, F.col("_n") + F.col("_off")).select(*df.columns, name)
+    x = df.withColumn("_i_b", F.floor(F.col(us) / F.lit(b)))
+    inside = W.partitionBy(*keys, "_i_b").orderBy(us)
+    per_key = W.partitionBy(*keys).orderBy("_i_b")
+    ends = x.groupBy(*keys, "_i_b").agg(F.max(us).alias("_i_hi")).withColumn("_i_prev", F.lag("_i_hi").over(per_key))
+    x = x.withColumn("_i_before", F.lag(us).over(inside)).join(ends.select(*keys, "_i_b", "_i_prev"), [*keys, "_i_b"])
+    since = F.col(us) - F.coalesce("_i_before", "_i_prev")
+    x = x.withColumn("_i_new", F.when(since.isNull() | ((since > gap_us) if strict else (since >= gap_us)), 1).otherwise(0))
+    x = x.withColumn("_i_n", F.sum("_i_new").over(inside))
+    starts = x.groupBy(*keys, "_i_b").agg(F.sum("_i_new").alias("_i_s"))
+    starts = starts.withColumn("_i_off", F.coalesce(F.sum("_i_s").over(per_key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    out = x.join(starts.select(*keys, "_i_b", "_i_off"), [*keys, "_i_b"])
+    return out.withColumn(name, F.col("_i_n") + F.col("_i_off")).select(*df.columns, name)
 
 
 # ---- finding TTL ------------------------------------------------------------------------------

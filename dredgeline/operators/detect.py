@@ -255,12 +255,12 @@ def scan(
     hits = f"flatten(array_compact(array({', '.join(arms)})))"
     # Outer explode and a filter: a plain explode makes the optimizer infer "size(...) > 0"
     # below it, which runs every rule twice.
-    out = src.select(*carried, "_loc", F.explode_outer(F.expr(hits)).alias("_h")).where("_h IS NOT NULL")
-    value = F.col("_h.value")
+    out = src.select(*carried, "_loc", F.explode_outer(F.expr(hits)).alias("_hit")).where("_hit IS NOT NULL")
+    value = F.col("_hit.value")
     table = ", ".join(
         f"struct({', '.join(tx.sql_str(x) for x in (r.detector, r.name, r.severity, r.action, r.validator))})" for r in rules
     ) or "struct('', '', '', '', '')"
-    out = out.withColumn("_r", F.expr(f"element_at(array({table}), _h.rule_no + 1)"))
+    out = out.withColumn("_r", F.expr(f"element_at(array({table}), _hit.rule_no + 1)"))
     out = out.select(
         *carried,
         F.col("_r.col1").alias("detector"),
@@ -270,8 +270,8 @@ def scan(
         F.col("_loc").alias("location"),
         value.alias("value"),
         mask(value).alias("value_preview"),
-        F.col("_h.rule_no").alias("rule_no"),
-        F.col("_h.match_no").alias("match_no"),
+        F.col("_hit.rule_no").alias("rule_no"),
+        F.col("_hit.match_no").alias("match_no"),
         F.col("_r.col5").alias("_validator"),
     ).where(F.col("value") != "")
     names = sorted({r.validator for r in rules if r.validator})
@@ -360,7 +360,7 @@ def keywords(
 ) -> DataFrame:
     """One finding per confidential keyword present in the text, whatever its case."""
     loc = F.col(location) if isinstance(location, str) else location
-    carried = list(carry) if carry is not None else [c for c in df.columns if c not in (text, location)]
+    carried = list(carry) if carry is not None else [c for c in df.columns if c != text and not (isinstance(location, str) and c == location)]
     words = [(k, "critical", "confidential_keyword") for k in critical] + [(k, "warning", "sensitive_keyword") for k in warning]
     table = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(s).alias("sev"), F.lit(t).alias("typ")) for k, s, t in words])
     up = df.withColumn("_up", F.upper(text)).withColumn(
@@ -402,7 +402,7 @@ def entropy_sweep(
     lower = F.lower(text)
     near = lower.rlike("|".join(words))
     loc = F.col(location) if isinstance(location, str) else location
-    carried = [c for c in df.columns if c not in (text, location)]
+    carried = [c for c in df.columns if c != text and not (isinstance(location, str) and c == location)]
     tokens = F.when(near, F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(1)))
     out = df.select(*carried, loc.alias("_loc"), F.posexplode_outer(tokens).alias("match_no", "_v"))
     v = F.col("_v")
