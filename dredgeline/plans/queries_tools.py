@@ -29,7 +29,7 @@ def _messages(spark, sf):
     tool = lambda j: (f"concat('{{\"name\":\"tool_', (k + {j}) % 12, '\",\"description\":\"does ', k % 12, '\",\"inputSchema\":{{\"type\":\"object\",\"properties\":{{\"b', k % 3, '\":{{}},\"a\":{{}}}}}}}}')")
     body = (
         f"CASE {_KIND} WHEN 'list' THEN concat('{{\"jsonrpc\":\"2.0\",\"id\":', event_id, ',\"result\":{{\"tools\":[', {tool(0)}, ',', {tool(1)}, ',', {tool(2)}, ',{{\"description\":\"nameless\"}}]}}}}') "
-        "WHEN 'call' THEN concat('{\"jsonrpc\":\"2.0\",\"method\":\"tools/call\",\"id\":', if(event_id % 2 = 0, concat('\"', event_id % 7, '\"'), event_id % 7), ',\"params\":{\"name\":\"tool_', k % 12, '\",\"arguments\":{\"q\":\"', event_type, ' user', user_id, '@example.com\"}}}') "
+        "WHEN 'call' THEN concat('{\"jsonrpc\":\"2.0\",\"method\":\"tools/call\",\"id\":', if(event_id % 2 = 0, concat('\"', event_id % 7, '\"'), cast(event_id % 7 as string)), ',\"params\":{\"name\":\"tool_', k % 12, '\",\"arguments\":{\"q\":\"', event_type, ' user', user_id, '@example.com\"}}}') "
         "ELSE '{\"jsonrpc\":\"1.0\",\"method\":\"tools/call\"}' END"
     )
     return e.select(F.col("event_id").alias("msg_no"), "ts", F.concat(F.lit("s"), "user_id").alias("session_id"), "k", "event_type", "user_id", F.expr(body).alias("body"))
@@ -255,14 +255,18 @@ def _r01(spark, sf):
 
 @query("r02_streaming_finding_ttl", with_more(_TTL_SQL.format(ttl=86400)))
 def _r02(spark, sf):
-    return _drain(spark, state.finding_ttl(_keyed(spark, sf), 86400).select("id"), "r02")
+    return _drain(spark, state.finding_ttl(_keyed(spark, sf), 86400, None).select("id"), "r02")
 
 
-@query("r03_streaming_text_dedup", None)
+@query("r03_streaming_text_dedup", with_more("""
+, q AS (SELECT id, session_id, timestamp AS ts, k, action_taken AS action, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp, id) > INTERVAL 40000 SECOND THEN 1 ELSE 0 END AS nw FROM f WHERE session_id <> ''),
+e AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY ts, id) AS ep FROM q),
+c AS (SELECT session_id, ep, k, min((ts, id)) AS first FROM e WHERE action NOT IN ('block', 'redact') OR (action = 'block' AND k % 4 = 0) GROUP BY ALL)
+SELECT id AS req_id, coalesce(c.first < (e.ts, e.id), false) AS skipped FROM e LEFT JOIN c ON c.session_id = e.session_id AND c.ep = e.ep AND c.k = e.k"""))
 def _r03(spark, sf):
     f = _stream_findings(spark, sf).select(F.col("id").alias("req_id"), F.col("timestamp").cast("timestamp").alias("ts"), "session_id", F.lit(0).alias("field_no"),
                                            tx.sha16(F.concat(F.lit("b"), F.col("k").cast("string"))).alias("text_hash"), F.col("action_taken").alias("action"), (F.col("k") % 4 == 0).alias("stripped"))
-    return _drain(spark, state.text_dedup(f.where("session_id <> ''"), 40000).select("req_id", "skipped"), "r03")
+    return _drain(spark, state.text_dedup(f.where("session_id <> ''"), 40000, keep_ms=None).select("req_id", "skipped"), "r03")
 
 
 @query("r04_streaming_upsert", with_findings("SELECT session_id, count(*) AS rows, CAST(sum(n) AS BIGINT) AS seen FROM (SELECT session_id, detector, finding_type, value, count(*) AS n FROM f WHERE session_id <> '' GROUP BY ALL) x GROUP BY 1"))
@@ -279,7 +283,7 @@ def _r04(spark, sf):
 def _r05(spark, sf):
     e = _stream(spark, sf, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
     m = e.select(F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_DIR).alias("direction"), F.expr(_MID).alias("msg_id"))
-    return _drain(spark, state.unsolicited(m).where("direction = 'in'").select("msg_no", "msg_id", "valid"), "r05")
+    return _drain(spark, state.unsolicited(m, None).where("direction = 'in'").select("msg_no", "msg_id", "valid"), "r05")
 
 
 @query("r05_streaming_tool_binding", f"""
@@ -289,7 +293,7 @@ def _r05b(spark, sf):
     m = e.where(F.expr(_KIND) != "other").select(
         F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_KIND).alias("kind"), F.expr(_TOOLNAME).alias("tool_name"),
         F.expr("if(event_id % 5 = 0, transform(array(0, 1, 2), j -> concat('tool_', (k + j) % 12)), cast(array() as array<string>))").alias("tool_names"))
-    return _drain(spark, state.tool_binding(m).where("kind = 'call'").select("msg_no", "known"), "r05b")
+    return _drain(spark, state.tool_binding(m, None).where("kind = 'call'").select("msg_no", "known"), "r05b")
 
 
 @query("r06_live_counters", with_findings("SELECT strftime(date_trunc('minute', timestamp), '%Y-%m-%d %H:%M') AS minute, event_type AS type, count(*) AS hits FROM f GROUP BY 1, 2"))

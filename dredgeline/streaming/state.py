@@ -27,45 +27,53 @@ def _us(ts) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
+#: How long unused state is kept; None keeps it for good. A run that drains its input once
+#: (``availableNow``) must pass None: processing-time expiry asks for a next batch forever.
+KEEP_MS = 24 * 3600 * 1000
+
+
+class _Processor(StatefulProcessor):
+    keep_ms: int | None = KEEP_MS
+
+    def close(self) -> None:
+        pass
+
+
 def _long(name: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.LongType())])
 
 
-class FindingTtl(StatefulProcessor):
-    """Emit a finding unless an equal one was emitted within the TTL."""
-
-    def __init__(self, columns: list[str], ttl_seconds: int = TTL_SECONDS):
-        self.columns, self.ttl = columns, ttl_seconds * 1_000_000
+def _valued(df: DataFrame, keys: list[str], step, state_schema: str, extra: T.StructField | None, keep_ms: int | None) -> DataFrame:
+    """One small value per key: ``step(pdf, state) -> (pdf, state)`` over time-ordered rows.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _long("us"), ttlDurationMs=24 * 3600 * 1000)
+    ``applyInPandasWithState`` ships the value next to the rows, which suits very many keys
+    better than state calls from Python do.
+    """
+    schema = T.StructType(df.schema.fields + ([extra] if extra else []))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["ts", "id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for ts in pdf["ts"]:
-            us = _us(ts)
-            keep.append(last is None or us - last >= self.ttl)
-            if keep[-1]:
-                last = us
-        self.last.update((last,))
-        yield pdf.loc[keep, self.columns]
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf, new = step(_rows(batches, ["ts", "id"]), state.get if state.exists else None)
+        state.update(new)
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        yield pdf
 
-    def close(self) -> None:
-        pass
+    timeout = "NoTimeout" if keep_ms is None else "ProcessingTimeTimeout"
+    return df.groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", timeout)
 
 
-class TextDedup(StatefulProcessor):
+class TextDedup(_Processor):
     """Mark texts an earlier, committed request of the session already carried."""
 
     def __init__(self, columns: list[str], ttl_seconds: int = TTL_SECONDS, max_hashes: int = 5000):
         self.columns, self.ttl, self.max_hashes = columns, ttl_seconds * 1_000_000, max_hashes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl_ms = 24 * 3600 * 1000
-        self.seen = handle.getMapState("seen", T.StructType([T.StructField("h", T.StringType())]), _long("us"), ttlDurationMs=ttl_ms)
-        self.meta = handle.getValueState("meta", T.StructType([T.StructField("us", T.LongType()), T.StructField("n", T.LongType())]), ttlDurationMs=ttl_ms)
+        self.seen = handle.getMapState("seen", T.StructType([T.StructField("h", T.StringType())]), _long("us"), ttlDurationMs=self.keep_ms)
+        self.meta = handle.getValueState("meta", T.StructType([T.StructField("us", T.LongType()), T.StructField("n", T.LongType())]), ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["ts", "req_id", "field_no"])
@@ -88,49 +96,15 @@ class TextDedup(StatefulProcessor):
         self.meta.update((last, n))
         yield pdf.assign(skipped=skipped)[[*self.columns, "skipped"]]
 
-    def close(self) -> None:
-        pass
-
-
-class TokenBucket(StatefulProcessor):
-    """Admit framework findings at a bounded rate per (detector, type)."""
-
-    def __init__(self, columns: list[str], capacity: int, refill_seconds: float):
-        self.columns, self.capacity, self.rate = columns, float(capacity), capacity / (refill_seconds * 1_000_000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", T.StructType([T.StructField("us", T.LongType()), T.StructField("tokens", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["ts", "id"])
-        last, tokens = self.state.get() if self.state.exists() else (None, self.capacity)
-        admit = []
-        for ts, origin in zip(pdf["ts"], pdf["origin"]):
-            if origin != "framework":
-                admit.append(True)
-                continue
-            us = _us(ts)
-            if last is not None:
-                tokens = min(self.capacity, tokens + max(us - last, 0) * self.rate)
-            last = us
-            admit.append(tokens >= 1.0)
-            tokens -= 1.0 if admit[-1] else 0.0
-        if last is not None:
-            self.state.update((last, tokens))
-        yield pdf.assign(admitted=admit)[[*self.columns, "admitted"]]
-
-    def close(self) -> None:
-        pass
-
-
-class ResponseTracker(StatefulProcessor):
+class ResponseTracker(_Processor):
     """Flag responses whose id was never sent; ids serve once."""
 
     def __init__(self, columns: list[str], max_pending: int = 10_000):
         self.columns, self.max_pending = columns, max_pending
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getMapState("pending", T.StructType([T.StructField("id", T.StringType())]), _long("n"), ttlDurationMs=24 * 3600 * 1000)
+        self.pending = handle.getMapState("pending", T.StructType([T.StructField("id", T.StringType())]), _long("n"), ttlDurationMs=self.keep_ms)
         self.seeded = handle.getValueState("seeded", T.StructType([T.StructField("next", T.LongType()), T.StructField("size", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -160,11 +134,8 @@ class ResponseTracker(StatefulProcessor):
         self.seeded.update((nxt, size))
         yield pdf.assign(valid=valid)[[*self.columns, "valid"]]
 
-    def close(self) -> None:
-        pass
-
 
-class ToolBinding(StatefulProcessor):
+class ToolBinding(_Processor):
     """First tool list of a session fixes its inventory; later calls are checked against it."""
 
     def __init__(self, columns: list[str]):
@@ -188,23 +159,35 @@ class ToolBinding(StatefulProcessor):
                 known.append(not self.bound.exists() or bool(self.tools.containsKey((name,))))
         yield pdf.assign(known=known)[[*self.columns, "known"]]
 
-    def close(self) -> None:
-        pass
 
-
-def _apply(df: DataFrame, keys: list[str], proc: StatefulProcessor, extra: T.StructField | None) -> DataFrame:
+def _apply(df: DataFrame, keys: list[str], proc: _Processor, extra: T.StructField | None, keep_ms: int | None) -> DataFrame:
     schema = T.StructType(df.schema.fields + ([extra] if extra else []))
-    return df.groupBy(*keys).transformWithStateInPandas(proc, schema, outputMode="Append", timeMode="ProcessingTime")
+    proc.keep_ms = keep_ms
+    mode = "None" if keep_ms is None else "ProcessingTime"
+    return df.groupBy(*keys).transformWithStateInPandas(proc, schema, outputMode="Append", timeMode=mode)
 
 
 def _flag(name: str) -> T.StructField:
     return T.StructField(name, T.BooleanType())
 
 
-def finding_ttl(df: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """Exact stream form over (id, ts, detector, type, value_hash, session_id). Rows without
-    a session bypass the state."""
-    keyed = _apply(df.where("session_id <> ''"), ["detector", "type", "value_hash", "session_id"], FindingTtl(df.columns, ttl_seconds), None)
+def finding_ttl(df: DataFrame, ttl_seconds: int = TTL_SECONDS, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    """Exact stream form over (id, ts, detector, type, value_hash, session_id): emit a finding
+    unless an equal one was *emitted* within the TTL. Rows without a session bypass the state."""
+    ttl, columns = ttl_seconds * 1_000_000, df.columns
+
+    def step(pdf, state):
+        last = state[0] if state else None
+        keep = []
+        for ts in pdf["ts"]:
+            us = _us(ts)
+            keep.append(last is None or us - last >= ttl)
+            if keep[-1]:
+                last = us
+        return pdf.loc[keep, columns], (last,)
+
+    keys = ["detector", "type", "value_hash", "session_id"]
+    keyed = _valued(df.where("session_id <> ''"), keys, step, "us bigint", None, keep_ms)
     return keyed.unionByName(df.where("session_id = ''"))
 
 
@@ -214,20 +197,36 @@ def finding_ttl_fast(df: DataFrame, ttl: str = "30 minutes") -> DataFrame:
     return keyed.unionByName(df.where("session_id = ''"))
 
 
-def text_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, max_hashes: int = 5000) -> DataFrame:
-    return _apply(df, ["session_id"], TextDedup(df.columns, ttl_seconds, max_hashes), _flag("skipped"))
+def text_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, max_hashes: int = 5000, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    return _apply(df, ["session_id"], TextDedup(df.columns, ttl_seconds, max_hashes), _flag("skipped"), keep_ms)
+
+
+def rate_limit(df: DataFrame, capacity: int, refill_seconds: float, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    """Admit framework findings at a bounded rate per (detector, type); others always pass."""
+    rate, columns = capacity / (refill_seconds * 1_000_000), df.columns
 
+    def step(pdf, state):
+        last, tokens = state if state else (None, float(capacity))
+        admit = []
+        for ts in pdf["ts"]:
+            us = _us(ts)
+            if last is not None:
+                tokens = min(float(capacity), tokens + max(us - last, 0) * rate)
+            last = us
+            admit.append(tokens >= 1.0)
+            tokens -= 1.0 if admit[-1] else 0.0
+        return pdf.assign(admitted=admit)[[*columns, "admitted"]], (last, tokens)
 
-def rate_limit(df: DataFrame, capacity: int, refill_seconds: float) -> DataFrame:
-    return _apply(df, ["detector", "type"], TokenBucket(df.columns, capacity, refill_seconds), _flag("admitted"))
+    limited = _valued(df.where("origin = 'framework'"), ["detector", "type"], step, "us bigint, tokens double", _flag("admitted"), keep_ms)
+    return limited.unionByName(df.where("origin <> 'framework'").withColumn("admitted", F.lit(True)))
 
 
-def unsolicited(df: DataFrame) -> DataFrame:
-    return _apply(df, ["session_id"], ResponseTracker(df.columns), _flag("valid"))
+def unsolicited(df: DataFrame, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    return _apply(df, ["session_id"], ResponseTracker(df.columns), _flag("valid"), keep_ms)
 
 
-def tool_binding(df: DataFrame) -> DataFrame:
-    return _apply(df, ["session_id"], ToolBinding(df.columns), _flag("known"))
+def tool_binding(df: DataFrame, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    return _apply(df, ["session_id"], ToolBinding(df.columns), _flag("known"), keep_ms)
 
 
 def live_counters(findings: DataFrame, every: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
