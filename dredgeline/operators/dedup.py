@@ -1,8 +1,8 @@
 """Repeats across requests and over time.
 
 Order-dependent rules are split into islands, stretches of a key's history that cannot
-influence each other, so that no key gathers whole in one task. Windows run over
-(key, time bucket) and a per-bucket summary carries state across buckets.
+influence each other. Windows run over (key, time bucket) and a per-bucket summary carries
+state across buckets; replays stream through sorted partitions in constant memory.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,45 +47,75 @@ def islands(df: DataFrame, keys: Sequence[str], us: str, gap_us: int, strict: bo
     return out.withColumn(name, F.col("_i_n") + F.col("_i_off")).select(*df.columns, name)
 
 
+def pieces(df: DataFrame, keys: Sequence[str], us: str, gap_us: int, name: str = "island") -> DataFrame:
+    """Coarser islands, for replays that a pause of ``gap_us`` resets.
+
+    Time is cut into buckets of the pause's width; an empty bucket is such a pause, so each
+    run of consecutive non-empty buckets can be replayed on its own. The only per-key window
+    runs over the distinct buckets.
+    """
+    keys = list(keys)
+    x = df.withColumn("_i_b", F.floor(F.col(us) / F.lit(gap_us)))
+    w = W.partitionBy(*keys).orderBy("_i_b")
+    runs = x.select(*keys, "_i_b").distinct().withColumn("_i_new", (F.col("_i_b") - F.coalesce(F.lag("_i_b").over(w), F.lit(-2)) > 1).cast("int"))
+    runs = runs.withColumn(name, F.sum("_i_new").over(w)).select(*keys, "_i_b", name)
+    return x.join(runs, [*keys, "_i_b"]).select(*df.columns, name)
+
+
+def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, out: str) -> DataFrame:
+    """Run ``step(state, us) -> (keep, state)`` over each key's rows in order; keep those it keeps.
+
+    Rows are hashed by key, sorted inside the partition and streamed through in Arrow
+    batches: memory stays constant however many rows a key has, and there is no per-key
+    call overhead. Returns the ``out`` column of the kept rows.
+    """
+    keys, order = list(keys), list(order)
+    schema = T.StructType([T.StructField(out, df.schema[out].dataType)])
+
+    def run(batches):
+        last_key, state = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cols = [pdf[k].to_numpy() for k in keys]
+            change = np.ones(len(pdf), dtype=bool)
+            change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            change[0] = last_key != tuple(c[0] for c in cols)
+            keep = np.zeros(len(pdf), dtype=bool)
+            for i, (new, us) in enumerate(zip(change.tolist(), pdf[order[0]].tolist())):
+                keep[i], state = step(None if new else state, us)
+            last_key = tuple(c[-1] for c in cols)
+            yield pdf.loc[keep, [out]]
+
+    cols = list(dict.fromkeys([*keys, *order, out]))
+    return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 # ---- finding TTL ------------------------------------------------------------------------------
-def greedy_thinning(times: np.ndarray, ttl: int) -> np.ndarray:
-    """Mask of the times kept when each kept one silences the next ``ttl``; times ascend."""
-    keep = np.zeros(len(times), dtype=bool)
-    i = 0
-    while i < len(times):
-        keep[i] = True
-        i = int(np.searchsorted(times, times[i] + ttl, side="left"))
-    return keep
+def _ttl_step(ttl: int):
+    """Keep a time unless it falls within ``ttl`` of the last kept one."""
+    def step(last, us):
+        return (True, us) if last is None or us - last >= ttl else (False, last)
+
+    return step
 
 
 def finding_ttl(findings: DataFrame, ts: str = "ts", value: str = "value", session: str = "session_id", row_id: str = "id",
                 ttl_seconds: int = TTL_SECONDS, detector: str = "detector", ftype: str = "type") -> DataFrame:
     """Findings to record: not within ``ttl`` of the last *recorded* equal finding of the session.
 
-    Rows without a session always pass. Repeats at the same instant collapse first, and a
-    row at least one ``ttl`` after its predecessor starts an island, so only rows that truly
-    compete are replayed; islands of a single row never leave the JVM.
+    Rows without a session always pass. Repeats at the same instant collapse first (map-side),
+    and a pause of one ``ttl`` starts a new piece that is replayed on its own.
     """
     ttl = int(ttl_seconds * 1_000_000)
     keys = ["_d", "_t", "_vh", "_s"]
-    anon = findings.where(F.col(session) == "")
     x = findings.where(F.col(session) != "").select(
         F.col(detector).alias("_d"), F.col(ftype).alias("_t"), F.substring(F.sha2(F.col(value), 256), 1, 16).alias("_vh"),
-        F.col(session).alias("_s"), _us(ts).alias("_us"), F.col(row_id).alias("_id"))
-    x = x.groupBy(*keys, "_us").agg(F.min("_id").alias("_id"))
-    x = islands(x, keys, "_us", ttl, strict=False)
-    sizes = x.groupBy(*keys, "island").agg(F.count("*").alias("_size"))
-    x = x.join(sizes, [*keys, "island"])
-    single = x.where("_size = 1").select("_id")
-    id_type = findings.schema[row_id].dataType
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us", kind="stable")
-        return pdf.loc[greedy_thinning(pdf["_us"].to_numpy(), ttl), ["_id"]]
-
-    many = x.where("_size > 1").groupBy(*keys, "island").applyInPandas(replay, T.StructType([T.StructField("_id", id_type)]))
-    kept = single.unionByName(many).withColumnRenamed("_id", row_id)
-    return anon.unionByName(findings.where(F.col(session) != "").join(kept, row_id, "left_semi").select(*findings.columns))
+        F.col(session).alias("_s"), _us(ts).alias("_us"), F.col(row_id))
+    x = x.groupBy(*keys, "_us").agg(F.min(row_id).alias(row_id))
+    kept = replay(pieces(x, keys, "_us", ttl), [*keys, "island"], ["_us"], _ttl_step(ttl), row_id)
+    return findings.where(F.col(session) == "").unionByName(
+        findings.where(F.col(session) != "").join(kept, row_id, "left_semi").select(*findings.columns))
 
 
 # ---- cross-request text dedup ------------------------------------------------------------------
@@ -162,40 +191,30 @@ def resend_counts(findings: DataFrame, skips: DataFrame, session: str = "session
 
 
 # ---- rate limit -----------------------------------------------------------------------------------
-def token_bucket(times: np.ndarray, capacity: int, refill_seconds: float) -> np.ndarray:
-    """Admission mask of one key's events (microseconds, ascending); starts with a full bucket."""
-    rate = capacity / (refill_seconds * 1_000_000)
-    admit = np.zeros(len(times), dtype=bool)
-    tokens, last = float(capacity), None
-    for i, t in enumerate(times):
-        if last is not None:
-            tokens = min(float(capacity), tokens + (t - last) * rate)
-        last = t
-        if tokens >= 1.0:
-            tokens -= 1.0
-            admit[i] = True
-    return admit
+def _bucket_step(capacity: int, refill_seconds: float):
+    """Take a token if there is one; a bucket starts full and refills linearly."""
+    rate, full = capacity / (refill_seconds * 1_000_000), float(capacity)
+
+    def step(state, us):
+        tokens = full if state is None else min(full, state[1] + (us - state[0]) * rate)
+        return (True, (us, tokens - 1.0)) if tokens >= 1.0 else (False, (us, tokens))
+
+    return step
 
 
 def rate_limit(findings: DataFrame, capacity: int, refill_seconds: float, ts: str = "ts", row_id: str = "id",
                origin: str = "origin", keys: Sequence[str] = ("detector", "type")) -> DataFrame:
     """Adds ``admitted``: framework findings pass a token bucket per (detector, type).
 
-    A pause of ``refill_seconds`` fills the bucket, so a key's history falls into islands
-    that are replayed independently. Detector findings always pass.
+    A pause of ``refill_seconds`` fills the bucket, so a key's history falls into pieces that
+    are replayed independently. Detector findings always pass.
     """
-    gap = int(refill_seconds * 1_000_000)
-    keys = list(keys)
-    fw = findings.where(F.col(origin) == "framework")
-    x = islands(fw.select(*keys, _us(ts).alias("_us"), F.col(row_id).alias("_id")), keys, "_us", gap, strict=False)
-    schema = T.StructType([T.StructField("_id", findings.schema[row_id].dataType)])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_id"], kind="stable")
-        return pdf.loc[~token_bucket(pdf["_us"].to_numpy(), capacity, refill_seconds), ["_id"]]
-
-    dropped = x.groupBy(*keys, "island").applyInPandas(replay, schema).withColumnRenamed("_id", row_id).withColumn("_drop", F.lit(True))
-    return findings.join(dropped, row_id, "left").withColumn("admitted", F.col("_drop").isNull()).select(*findings.columns, "admitted")
+    gap, keys = int(refill_seconds * 1_000_000), list(keys)
+    fw = findings.where(F.col(origin) == "framework").select(*keys, _us(ts).alias("_us"), F.col(row_id))
+    kept = replay(pieces(fw, keys, "_us", gap), [*keys, "island"], ["_us", row_id], _bucket_step(capacity, refill_seconds), row_id)
+    kept = kept.withColumn("_ok", F.lit(True))
+    return findings.join(kept, row_id, "left").withColumn(
+        "admitted", (F.col(origin) != "framework") | F.col("_ok").isNotNull()).select(*findings.columns, "admitted")
 
 
 def suppression_counts(limited: DataFrame, keys: Sequence[str] = ("detector", "type")) -> DataFrame:

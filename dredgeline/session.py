@@ -34,8 +34,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spread before it. Inputs that already have enough splits pass unchanged: no shuffle at
     cluster scale. (A split without a row group counts as a split, hence ``min_partitions``.)
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    want = min_partitions or cores
+    # Two tasks per core even out texts of very different length.
+    return df.repartition(max(want, 2 * cores)) if df.rdd.getNumPartitions() < want else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
