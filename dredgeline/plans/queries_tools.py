@@ -139,7 +139,7 @@ def _w05(spark, sf):
 
 @query("l18_tool_call_verdict", f"""
 WITH b AS (SELECT e.event_id AS msg_no, k, event_type, coalesce(NOT (e.event_id > bound) OR list_contains(known_tools, {_TOOLNAME}), true) AS known FROM {_E} e LEFT JOIN {_INV} i USING (user_id) WHERE {_KIND} = 'call')
-SELECT msg_no, CASE WHEN event_type = 'error' THEN 'blocked' WHEN k % 12 = 4 THEN 'blocked' ELSE 'alerted' END AS status, 1 AS finding_count FROM b""")
+SELECT msg_no, CASE WHEN event_type = 'error' THEN 'blocked' WHEN k % 12 = 4 THEN 'blocked' ELSE 'alerted' END AS status, CAST(1 AS BIGINT) AS finding_count FROM b""")
 def _l18(spark, sf):
     m = tooling.parse_messages(_messages(spark, sf))
     calls = tooling.bind_calls(tooling.tool_calls(m), tooling.tool_lists(m))
@@ -214,7 +214,7 @@ def _x03(spark, sf):
 
 
 @query("x09_session_escalation", with_findings("""
-SELECT session_id, greatest(sum(CASE detector WHEN 'secrets' THEN 3.0 WHEN 'pii' THEN 2.0 WHEN 'custom' THEN -0.5 ELSE 0.0 END), 0.0) AS score FROM f GROUP BY 1"""))
+SELECT session_id, CAST(greatest(sum(CASE detector WHEN 'secrets' THEN 3.0 WHEN 'pii' THEN 2.0 WHEN 'custom' THEN -0.5 ELSE 0.0 END), 0.0) AS DOUBLE) AS score FROM f GROUP BY 1"""))
 def _x09(spark, sf):
     s = findings(spark, sf).withColumn("signal", F.expr("CASE detector WHEN 'secrets' THEN 'block' WHEN 'pii' THEN 'unknown_tool' WHEN 'custom' THEN 'clean' ELSE 'none' END"))
     return tooling.escalation(s).select("session_id", F.col("score").cast("double").alias("score"))
