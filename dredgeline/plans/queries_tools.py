@@ -25,7 +25,7 @@ _E = "(SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(prop
 
 
 def _messages(spark, sf):
-    e = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
+    e = spread(table(spark, sf, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
     tool = lambda j: (f"concat('{{\"name\":\"tool_', (k + {j}) % 12, '\",\"description\":\"does ', k % 12, '\",\"inputSchema\":{{\"type\":\"object\",\"properties\":{{\"b', k % 3, '\":{{}},\"a\":{{}}}}}}}}')")
     body = (
         f"CASE {_KIND} WHEN 'list' THEN concat('{{\"jsonrpc\":\"2.0\",\"id\":', event_id, ',\"result\":{{\"tools\":[', {tool(0)}, ',', {tool(1)}, ',', {tool(2)}, ',{{\"description\":\"nameless\"}}]}}}}') "
