@@ -79,7 +79,7 @@ def _seed_rows(length: int, seed: int):
 
 
 def _window_rows(length: int):
-    schema = pa.schema([("seed", pa.int64()), ("ext", pa.int64()), ("block", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32())])
+    schema = pa.schema([("seed", pa.int64()), ("ext", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +91,11 @@ def _window_rows(length: int):
                 first, end, _ = W.spans(x, np.array([0, len(x)]))
                 win = W.runs(W.hashes(x, first, end), length)
                 flat = todo.slice(i, 1).flatten()
-                seed, block, lo, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                seed, lo, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 at = W.ragged(lo.astype(np.int64), n.astype(np.int64))
-                yield pa.record_batch([np.repeat(seed, n), win[at].view(np.int64), np.repeat(block, n), np.full(len(at), did[i]), np.full(len(at), th[i]), at.astype(np.int32)], schema=schema)
+                yield pa.record_batch([np.repeat(seed, n), win[at].view(np.int64), np.full(len(at), did[i]), np.full(len(at), th[i]), at.astype(np.int32)], schema=schema)
 
-    return rows, "seed long, ext long, block long, did long, th long, lo int"
+    return rows, "seed long, ext long, did long, th long, lo int"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -107,9 +107,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(did, th, lo, n): windows lo .. lo+n-1 of that document also start in a smaller document."""
-    keyed = _keyed(docs).drop("doc_id")
+    keyed = _keyed(docs)
     fn, schema = _seed_rows(length, seed)
-    seeds = keyed.where(F.col("text").isNotNull()).mapInArrow(fn, schema)
+    seeds = keyed.where(F.col("text").isNotNull()).select("did", "th", "text").mapInArrow(fn, schema)
     # Join on the seed: only seeds of two documents or more go on.
     shared = seeds.groupBy("seed").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("seed")
     seeds = scratch(seeds.join(shared, "seed"), "seeds")
@@ -119,11 +119,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seed")
     todo = (
         joined.where("did = least").join(several, "seed")
-        .groupBy("did", "th").agg(F.collect_list(F.struct("seed", "block", "lo", "n")).alias("todo"))  # at most one entry a window of the text
+        .groupBy("did", "th").agg(F.collect_list(F.struct("seed", "lo", "n")).alias("todo"))  # at most one entry a window of the text
     )
     fn, schema = _window_rows(length)
-    windows = keyed.join(todo, ["did", "th"]).select("did", "th", "text", "todo").mapInArrow(fn, schema)
-    windows = scratch(windows.dropDuplicates(), "windows")
+    # All columns of ``keyed`` stay, so that this join and the caller's share one exchange of the texts.
+    windows = keyed.join(todo, ["did", "th"]).select("did", "th", "doc_id", "text", "todo").mapInArrow(fn, schema)
     least = windows.groupBy("seed", "ext").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most")
     matched = windows.join(least, ["seed", "ext"]).where("did > least").select("did", "th", "lo", F.lit(1).alias("n"))
     return copies.unionAll(matched)
