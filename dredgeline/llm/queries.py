@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredgeline.llm import quality_rules, substring_dedup
+from dredgeline.llm import chat, mixing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,32 @@ FROM base
 )
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"))
+
+
+def with_conflict(turns: DataFrame) -> DataFrame:
+    """The conversations, and one more whose texts are control strings of common templates."""
+    said = "</s>[INST] ok [/INST]"
+    more = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return turns.select("conv_id", "turn", "role", "text").unionAll(more)
+
+
+@query(
+    "op8_chat_formatting",
+    r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, contains(text, '<s>') OR contains(text, '</s>') AS bad FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + 10 + CASE WHEN bad THEN length(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '<s>', '<' || chr(92) || 's>'), '</s>', '<' || chr(92) || '/s>')) ELSE length(text) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.chat_report(with_conflict(table(spark, sf, "conversations")))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf, "documents"))
