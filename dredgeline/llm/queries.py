@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredgeline.llm import chat, mixing, quality_rules, substring_dedup, topk
+from dredgeline.llm import bpe, chat, mixing, quality_rules, store, substring_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +111,25 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank
 )
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{store.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    file = vocabulary("byte_bpe_50k.json")
+    token_files.write_token_files(table(spark, sf, "documents"), path, partial(token_files.library_pieces, file), 50_257)
+    return token_files.read_token_files(spark, path)
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    found = bpe.encode(table(spark, sf, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN, decoded=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
