@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredgeline.llm import bpe, chat, jaccard_join, mixing, quality_rules, store, substring_dedup, token_files, topk
+from dredgeline.llm import bloom_lm, bpe, chat, jaccard_join, mixing, quality_rules, store, substring_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +152,8 @@ FROM d JOIN walk ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY
 )
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_bloom_lm")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return bloom_lm.score_texts(table(spark, sf, "documents"))
