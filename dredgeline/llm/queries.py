@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredgeline.llm import bloom_lm, bpe, chat, jaccard_join, mixing, quality_rules, store, substring_dedup, token_files, topk
+from dredgeline.llm import bloom_lm, bpe, chat, jaccard_join, knn_quality, mixing, quality_rules, store, substring_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,3 +157,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_bloom_lm")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return bloom_lm.score_texts(table(spark, sf, "documents"))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return knn_quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
