@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dredgeline.llm import words as W
 from dredgeline.llm.pieces import Pieces
@@ -26,7 +27,7 @@ WIDE = 64
 #: Cells of a matrix.
 CELLS = 1 << 19
 #: Distinct pre-tokens that a worker keeps.
-KEPT = 500_000
+KEPT = 400_000
 _workers: dict[tuple[str, str], "Vocabulary"] = {}
 
 
@@ -99,11 +100,11 @@ class Vocabulary:
                 rank[k] = self.look(ids[k], ids[k + 1])
         return ids
 
-    def encode(self, pieces: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > KEPT:
             self.known = {}
         known, none = self.known, np.zeros(0, np.int32)
-        cut = [self.cut(p) for p in pieces]
+        cut = [self.cut(p.decode()) for p in pieces]
         new = list({p for parts in cut for p in parts if p not in known})
         raw = [p.encode() for p in new]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
@@ -130,8 +131,9 @@ class Vocabulary:
             self.narrow(m, out, np.array(rows))
             i = stop
         known.update(zip(new, out, strict=True))
-        for parts in cut:
-            yield known[parts[0]] if len(parts) == 1 else np.concatenate([none, *(known[p] for p in parts)])
+        found = [known[p] for parts in cut for p in parts]
+        size = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        return np.concatenate([none, *found]), np.diff(size[np.concatenate(([0], np.cumsum([len(parts) for parts in cut])))])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -145,22 +147,29 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def _encode(path: str, pattern: str, decoded: bool):
-    names = ["doc_id", "ids"] + ["decoded"] * decoded
+    names = ["rest", "ids"] + ["decoded"] * decoded
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            column = batch.column("text")
-            _, off = W.utf8(column)
+            data, off = W.utf8(batch.column("text"))
             for i, j in W.chunks(off):
-                flat, at, sizes = v.pieces.rows([t or "" for t in column.slice(i, j - i).to_pylist()])
-                stop = np.concatenate(([0], np.cumsum(v.pieces.counts(at, sizes))))
-                out = [batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(stop.astype(np.int32), flat)]
+                flat, n = v.pieces.rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                stop = np.concatenate(([0], np.cumsum(n)))
+                out = [batch.column("rest").slice(i, j - i), pa.ListArray.from_arrays(stop.astype(np.int32), flat)]
                 if decoded:
                     out.append(pa.array([v.decode(flat[a:b].tolist()) for a, b in zip(stop[:-1], stop[1:], strict=True)], pa.binary()))
                 yield pa.record_batch(out, names=names)
 
-    return rows, "doc_id long, ids array<int>" + ", decoded binary" * decoded
+    return rows
+
+
+def encode_rows(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> DataFrame:
+    """All columns of ``docs`` with ids (and decoded, the ids' bytes) after them; see :func:`encode`."""
+    names = docs.columns
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"))
+    schema = T.StructType([T.StructField("rest", packed.schema["rest"].dataType), *T.StructType.fromDDL("ids array<int>" + ", decoded binary" * decoded)])
+    return packed.mapInArrow(_encode(path, pattern, decoded), schema).select(*(F.col(f"rest.`{c}`") for c in names), "ids", *["decoded"] * decoded)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
@@ -170,8 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     Equal rows give equal rows, a null doc_id stays null, an empty table gives an empty table, other
     columns are ignored.
     """
-    fn, schema = _encode(path, pattern, decoded)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fn, schema)
+    return encode_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, pattern, decoded).drop("text")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

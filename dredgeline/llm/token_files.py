@@ -29,6 +29,8 @@ from dredgeline.llm.store import scratch
 END_ID = 0
 #: Ids in a block (the last document may exceed them) and in a part, about.
 BLOCK, PART = 1 << 16, 1 << 22
+#: White space, and first bytes of white space beyond ASCII: pieces with them are encoded alone.
+ODD = frozenset((9, 10, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3))
 _workers: dict[str, Pieces] = {}
 
 
@@ -40,9 +42,27 @@ def library_pieces(path: str) -> Pieces:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
-        def encode(pieces: list[str]) -> Iterator[np.ndarray]:
-            for k in range(0, len(pieces), 20_000):
-                yield from (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(pieces[k : k + 20_000], add_special_tokens=False))
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of every id: a character stands for a byte
+        size[list(vocab.values())] = [len(t) for t in vocab]
+
+        def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            # Pieces of a space and what follows it are encoded in one string: the next space ends each of them.
+            join = [p[0] == 32 and len(p) > 1 and p.count(b" ") == 1 and not ODD.intersection(p) for p in pieces]
+            order = [k for k, j in enumerate(join) if j] + [k for k, j in enumerate(join) if not j]
+            n = sum(join)
+            texts = [b"".join(pieces[k] for k in order[i : min(i + 256, n)]).decode() for i in range(0, n, 256)] + [pieces[k].decode() for k in order[n:]]
+            found = [np.zeros(0, np.int32)]
+            for k in range(0, len(texts), 1000):
+                found += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts[k : k + 1000], add_special_tokens=False)]
+            ids = np.concatenate(found)
+            # The ids' bytes tell where a piece ends.
+            stop = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(pieces[k]) for k in order])) + 1
+            start = np.concatenate(([0], stop[:-1]))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            count = (stop - start)[back]
+            return ids[W.ragged(start[back], count)], count
 
         _workers[path] = Pieces(encode)
     return _workers[path]
@@ -57,11 +77,9 @@ def _encode(encoder: Callable[[], Pieces], width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         pieces = encoder()
         for batch in batches:
-            column = batch.column("text")
-            _, off = W.utf8(column)
+            data_all, off = W.utf8(batch.column("text"))
             for i, j in W.chunks(off):
-                flat, at, sizes = pieces.rows([t or "" for t in column.slice(i, j - i).to_pylist()])
-                n = pieces.counts(at, sizes)
+                flat, n = pieces.rows(data_all[off[i] : off[j]], off[i : j + 1] - off[i])
                 data = np.insert(flat, np.cumsum(n), END_ID).astype(width)
                 stop = np.cumsum(n + 1)
                 raw = [data[a:b].tobytes() for a, b in zip(np.concatenate(([0], stop[:-1])), stop, strict=True)]
