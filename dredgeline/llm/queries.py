@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dredgeline.llm import bloom_lm, bpe, chat, jaccard_join, knn_quality, mixing, quality_rules, store, substring_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return knn_quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

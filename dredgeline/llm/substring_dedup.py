@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dredgeline.llm import words as W
 from dredgeline.llm.store import scratch
@@ -98,16 +99,16 @@ def _window_rows(length: int):
     return rows, "seed long, ext long, did long, th long, lo int"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents as (did, th, doc_id, text): a null id counts as the largest, th tells rows of one id apart."""
+def _keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Documents as (did, th, rest, text): a null id counts as the largest, th tells rows of one id apart, rest holds the other columns."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.col("text")).alias("th"), F.col("doc_id"), F.col("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.col("text")).alias("th"),
+        F.struct(*(F.col(f"`{c}`") for c in columns)).alias("rest"), F.col("text"),
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(did, th, lo, n): windows lo .. lo+n-1 of that document also start in a smaller document."""
-    keyed = _keyed(docs)
     fn, schema = _seed_rows(length, seed)
     seeds = keyed.where(F.col("text").isNotNull()).select("did", "th", "text").mapInArrow(fn, schema)
     # Join on the seed: only seeds of two documents or more go on.
@@ -123,22 +124,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     )
     fn, schema = _window_rows(length)
     # All columns of ``keyed`` stay, so that this join and the caller's share one exchange of the texts.
-    windows = keyed.join(todo, ["did", "th"]).select("did", "th", "doc_id", "text", "todo").mapInArrow(fn, schema)
+    windows = keyed.join(todo, ["did", "th"]).select("did", "th", "rest", "text", "todo").mapInArrow(fn, schema)
     least = windows.groupBy("seed", "ext").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most")
     matched = windows.join(least, ["seed", "ext"]).where("did > least").select("did", "th", "lo", F.lit(1).alias("n"))
     return copies.unionAll(matched)
 
 
 def _cut(length: int, with_text: bool):
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))]
-    schema = pa.schema(fields + ([("kept_text", pa.large_string())] if with_text else []))
+    fields = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))]
+    fields += [("kept_text", pa.string())] if with_text else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = W.utf8(batch.column("text"))
-            ids, found = batch.column("doc_id"), batch.column("found")
+            found, nulls = batch.column("found"), batch.column("text").is_null()
             for i, j in W.chunks(off, 8 << 20):
-                out: list[list] = [[] for _ in schema]
+                out: list[list] = [[] for _ in fields]
                 for k in range(i, j):
                     text = data[off[k] : off[k + 1]].tobytes()
                     words = text.split()
@@ -155,15 +156,23 @@ def _cut(length: int, with_text: bool):
                         cuts = [{"first": int(a), "n": int(b - a)} for a, b in zip(begin, stop, strict=True)]
                         words = [w for a, b in zip(np.concatenate(([0], stop)), np.concatenate((begin, [total])), strict=True) for w in words[a:b]]
                     kept = b" ".join(words)
-                    row = [ids[k].as_py(), total, total - len(words), hashlib.sha256(kept).hexdigest(), cuts]
+                    row = [total, total - len(words), hashlib.sha256(kept).hexdigest(), cuts]
                     if with_text:  # an untouched text keeps its white space
-                        row.append(None if batch.column("text").is_null()[k].as_py() else (kept if cuts else text).decode("utf-8", "replace"))
+                        row.append(None if nulls[k].as_py() else (kept if cuts else text).decode("utf-8", "replace"))
                     for col, v in zip(out, row, strict=True):
                         col.append(v)
-                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+                yield pa.record_batch([batch.column("rest").slice(i, j - i)] + [pa.array(v, kind) for v, (_, kind) in zip(out, fields, strict=True)], names=["rest"] + [n for n, _ in fields])
 
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,n:int>>"
-    return rows, ddl + (", kept_text string" if with_text else "")
+    return rows
+
+
+def _cut_documents(docs: DataFrame, columns: list[str], length: int, seed: int, with_text: bool) -> DataFrame:
+    keyed = _keyed(docs, columns)
+    found = repeated_spans(keyed, length, seed).groupBy("did", "th").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
+    rows = keyed.join(found, ["did", "th"], "left")
+    ddl = "n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,n:int>>" + ", kept_text string" * with_text
+    schema = T.StructType([T.StructField("rest", keyed.schema["rest"].dataType), *T.StructType.fromDDL(ddl)])
+    return rows.select("rest", "text", "found").mapInArrow(_cut(length, with_text), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
@@ -174,6 +183,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
     Rows with one ``doc_id`` never cut each other; a null ``doc_id`` counts as the largest. Equal
     rows give equal rows. An empty table gives an empty table; other columns are ignored.
     """
-    found = repeated_spans(docs, length, seed).groupBy("did", "th").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
-    fn, schema = _cut(length, with_text)
-    return _keyed(docs).join(found, ["did", "th"], "left").select("doc_id", "text", "found").mapInArrow(fn, schema)
+    return _cut_documents(docs, ["doc_id"], length, seed, with_text).select("rest.doc_id", "n_words", "n_removed", "kept_sha256", "spans", *["kept_text"] * with_text)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``docs`` with the repeated words gone from ``text`` (see :func:`remove_repeats`); texts without any stay as they are, all other columns too."""
+    rest = [c for c in docs.columns if c != "text"]
+    out = _cut_documents(docs, rest, length, seed, True)
+    return out.select(*(F.col("kept_text").alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
