@@ -141,12 +141,13 @@ def plan(slim: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """
     sources = scratch(source_targets(slim.groupBy("__s", "__no").agg(F.sum("size").alias("source_size"))), "mix-sources")
     blocks = slim.groupBy("__s", "__no", "__block").agg(F.sum("size").alias("words")).join(sources, ["__s", "__no"])
-    epochs = blocks.withColumn("e", F.explode(F.array(*(F.lit(e) for e in range(REPEATS)))))
+    epochs = blocks.where("words > 0").withColumn("e", F.explode(F.array(*(F.lit(e) for e in range(REPEATS)))))
     h = _hash(seed, F.col("__s"), F.col("__no").cast("string"), F.col("e").cast("string"), F.col("__block").cast("string"))
-    # Blocks of over a fiftieth of their source (there are none in a large source) go first, so that small ones meet the target.
-    order = Win.partitionBy("__s", "__no").orderBy("e", F.col("words") * 50 <= F.col("source_size"), h, "__block")
+    # Blocks of over a fiftieth of their source (there are none in a large source) go first if they fit, so that small ones meet the target.
+    fits = F.col("words") <= F.col("target") - F.col("e") * F.col("source_size")
+    order = Win.partitionBy("__s", "__no").orderBy("e", ~fits, F.col("words") * 50 <= F.col("source_size"), h, "__block")
     epochs = epochs.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Win.unboundedPreceding, -1)), F.lit(0))).withColumn("rank", F.row_number().over(order) - 1)
-    drawn = scratch(epochs.withColumn("room", F.col("target") - F.col("before")).where("room > 0 AND words > 0"), "mix-blocks")
+    drawn = scratch(epochs.withColumn("room", F.col("target") - F.col("before")).where("room > 0"), "mix-blocks")
     # Of the block that does not fit whole, the first documents are drawn as far as they do.
     cut = slim.join(drawn.where("words > room").select("__s", "__no", "__block", "e", "room"), ["__s", "__no", "__block"])
     inside = Win.partitionBy("__s", "__no", "__block", "e").orderBy("__key")
