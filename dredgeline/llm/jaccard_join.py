@@ -34,6 +34,8 @@ from dredgeline.llm.components import components
 from dredgeline.llm.store import scratch
 
 N, PERCENT = 3, 90
+#: Cost of scanning an entry of a list, in keys written and shuffled.
+SCAN = 1 / 8
 #: Cells of the frequency sketch, in groups of SLAB that are added up together.
 CELLS, SLAB = 1 << 20, 1 << 12
 LAST = 2**63 - 1
@@ -132,13 +134,16 @@ def _prefix(n: int, percent: int, levels):
 
 
 def boundary(prefixes: DataFrame, percent: int) -> int:
-    """Largest size of a light set: the cut with the least total of subset keys below and list entries above."""
+    """Largest size of a light set: the cut with the least total of subset keys below and list keys and entries above.
+
+    The sketch counts documents; the copies in a set's own class stand in no list and are taken off.
+    """
     p = slack(F.col("size"), percent)
     by = prefixes.groupBy(F.floor(F.log2("size") * 4).alias("band")).agg(
-        F.max("size").alias("top"), F.sum((p + 2) * (p + 1) / 2).alias("light"), F.sum(p + 1 + F.col("scanned")).alias("heavy")
+        F.max("size").alias("top"), F.sum((p + 2) * (p + 1) / 2).alias("light"), F.sum(p + 1 + SCAN * F.greatest(F.lit(0.0), F.col("scanned") - (p + 2) * (F.col("copies") - 1))).alias("heavy")
     ).orderBy("band").collect()  # a few bands per power of two
     cost = [sum(r.light for r in by[:k]) + sum(r.heavy for r in by[k:]) for k in range(len(by) + 1)]
-    k = int(np.argmin(cost))
+    k = max(range(len(cost)), key=lambda k: (-cost[k], k))  # of equals the larger
     return by[k - 1].top if k else 0
 
 
@@ -198,7 +203,7 @@ def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple
     """(documents with did, th, size and fp; links (a, b) found between classes; classes (fp, component label))."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), F.col("text"))
     described = scratch(keyed.mapInArrow(*_describe(n)), "sets")
-    classes = described.where("size > 0").groupBy("fp").agg(F.min(F.struct("did", "th")).alias("r"), F.max("size").alias("size")).select("fp", "r.did", "r.th", "size")
+    classes = described.where("size > 0").groupBy("fp").agg(F.min(F.struct("did", "th")).alias("r"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")).select("fp", "r.did", "r.th", "size", "copies")
     classes = scratch(classes, "classes")
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(keyed, n))
     # The text passes once more, now sorted by the common order; a copy's prefix is dropped by the join.
