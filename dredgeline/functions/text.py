@@ -71,23 +71,27 @@ def meaningful(c, min_length: int = 8, ratio: float = 0.7) -> Column:
     return (F.length(c) >= min_length) & (F.length(F.regexp_replace(c, "[^ -~]", "")) / F.length(c) >= ratio)
 
 
-def _decoded_array(runs_sql: str, to_binary: str, keep: str, min_len: int, max_len: int) -> str:
+def cut_sql(text: str, max_len: int | None) -> str:
+    return text if max_len is None else f"substr({text}, 1, {max_len})"
+
+
+def _decoded_array(runs_sql: str, to_binary: str, keep: str, min_len: int, max_len: int | None) -> str:
     """SQL: matched runs -> decoded, meaningful, capped strings (with the run itself)."""
     text = f"translate(make_valid_utf8(cast({to_binary} as string)), '\\uFFFD', '')"
     return (
         f"transform(filter(transform(filter({runs_sql}, s -> {keep}), s -> {text}), "
         f"d -> length(d) >= {min_len} AND length(regexp_replace(d, '[^ -~]', '')) / length(d) >= 0.7), "
-        f"d -> substr(d, 1, {max_len}))"
+        f"d -> {cut_sql('d', max_len)})"
     )
 
 
-def base64_texts_sql(text: str, min_len: int = 8, max_len: int = 10_000) -> str:
+def base64_texts_sql(text: str, min_len: int = 8, max_len: int | None = None) -> str:
     runs = f"regexp_extract_all({text}, {sql_str(BASE64_RUN)}, 0)"
     padded = "try_to_binary(concat(s, repeat('=', pmod(-length(s), 4))), 'base64')"
     return _decoded_array(runs, padded, "true", min_len, max_len)
 
 
-def hex_texts_sql(text: str, min_len: int = 8, max_len: int = 10_000) -> str:
+def hex_texts_sql(text: str, min_len: int = 8, max_len: int | None = None) -> str:
     runs = f"regexp_extract_all({text}, {sql_str(HEX_RUN)}, 0)"
     return _decoded_array(runs, "unhex(s)", "length(s) % 2 = 0", min_len, max_len)
 

@@ -149,7 +149,7 @@ def detected_tools(seen: DataFrame, ts: str = "ts", order: str = "id") -> DataFr
         F.coalesce(latest("description"), F.lit("")).alias("description"), F.coalesce(latest("input_schema"), F.lit("{}")).alias("input_schema"))
 
 
-def tool_calls(calls: DataFrame, session_id: str = "", limit: int | None = 100, ts: str = "timestamp") -> DataFrame:
+def tool_calls(calls: DataFrame, session_id: str = "", limit: int | None = None, ts: str = "timestamp") -> DataFrame:
     x = calls.where(F.col("session_id") == session_id) if session_id else calls
     out = x.orderBy(F.desc(ts), F.desc("id"))
     return out.limit(limit) if limit else out

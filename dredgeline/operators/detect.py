@@ -60,7 +60,7 @@ class Rule:
 
     @property
     def java(self) -> str:
-        return cat.JAVA_FLAGS + self.pattern
+        return cat.JAVA_FLAGS + java_pattern(self.pattern)
 
     @property
     def groups(self) -> int:
@@ -97,11 +97,28 @@ def poison_rules(action: str = "alert") -> list[Rule]:
             for i, (n, p) in enumerate(cat.POISON_PACK)]
 
 
+def java_pattern(pattern: str) -> str:
+    """Named groups and their references in the dialect of the scan, which has no underscore in names."""
+    names = {n: f"g{i}" for i, n in enumerate(re.findall(r"\(\?P<(\w+)>", pattern))}
+    for n, g in names.items():
+        pattern = pattern.replace(f"(?P<{n}>", f"(?<{g}>").replace(f"(?P={n})", f"\\k<{g}>")
+    return pattern
+
+
 def valid_regex(pattern: str) -> bool:
+    """True if the scan's own engine takes the pattern (tested on the driver) and its groups can be counted."""
     try:
         re.compile(pattern)
     except re.error:
         return False
+    spark = SparkSession.getActiveSession()
+    jvm = spark._jvm if spark else None
+    if jvm is None:
+        return True
+    try:
+        jvm.java.util.regex.Pattern.compile(cat.JAVA_FLAGS + java_pattern(pattern))
+    except Exception:  # noqa: BLE001  a Java error that only names the pattern
+        return False
     return True
 
 
@@ -227,12 +244,14 @@ def scan(
     guards: bool = True,
     keep: Sequence[str] | None = None,
     mask=tx.mask_short,
+    stop_at_block: bool = False,
 ) -> DataFrame:
     """Run rules over a text column; one output row per accepted match.
 
     Output: ``keep`` columns (default: all but the text) and detector, type, severity,
     action, location, value, value_preview, rule_no (scan order) and match_no.
     ``first_only`` takes the first match of each rule (injection and poisoning packs).
+    ``stop_at_block`` drops, inside the row, matches of rules after the first accepted one that blocks.
     """
     rules = list(rules)
     carried = [c for c in (keep if keep is not None else df.columns) if c != text]
@@ -241,7 +260,9 @@ def scan(
     guard = {r: (_guard_sql(r) if guards else None) for r in rules}
     used = " ".join(g for g in guard.values() if g)
     if "_lower" in used:
-        src = src.withColumn("_lower", F.lower("_text"))
+        # The patterns fold four letters to ASCII that lower() leaves apart.
+        folded = F.when(F.col("_text").rlike("[\u017f\u0131\u0130\u212a]"), F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))
+        src = src.withColumn("_lower", F.lower(folded))
     for h in _HEADS:
         words = [x for r in rules if guard[r] and _head(r) == h for x in cat.GUARDS[r.name][0][0]]
         if words:
@@ -259,7 +280,10 @@ def scan(
     hits = f"flatten(array_compact(array({', '.join(arms)})))"
     # Outer explode and a filter: a plain explode makes the optimizer infer "size(...) > 0"
     # below it, which runs every rule twice.
-    out = src.select(*carried, "_loc", F.explode_outer(F.expr(hits)).alias("_hit")).where("_hit IS NOT NULL")
+    found = F.expr(hits)
+    if stop_at_block and any(r.action == "block" for r in rules):
+        found = F.get(F.transform(F.array(found), lambda h: _upto_block(h, rules)), F.lit(0))
+    out = src.select(*carried, "_loc", F.explode_outer(found).alias("_hit")).where("_hit IS NOT NULL")
     value = F.col("_hit.value")
     table = ", ".join(
         f"struct({', '.join(tx.sql_str(x) for x in (r.detector, r.name, r.severity, r.action, r.validator))})" for r in rules
@@ -282,6 +306,18 @@ def scan(
     return out.where(val.passes(F.col("_validator"), F.col("value"), names)).drop("_validator")
 
 
+def _upto_block(hits: Column, rules: Sequence[Rule]) -> Column:
+    """The hits of one text up to the first rule that blocks with an accepted match."""
+    blocks = [i for i, r in enumerate(rules) if r.action == "block"]
+
+    def accepted(h: Column) -> Column:
+        names = F.get(F.array(*(F.lit(r.validator) for r in rules)), h["rule_no"])
+        return h["rule_no"].isin(blocks) & (h["value"] != "") & val.passes(names, h["value"], sorted({r.validator for r in rules if r.action == "block" and r.validator}))
+
+    cut = F.array_min(F.transform(F.filter(hits, accepted), lambda h: h["rule_no"]))
+    return F.filter(hits, lambda h: h["rule_no"] <= F.coalesce(cut, F.lit(len(rules))))
+
+
 def entropy_gate(findings: DataFrame, rules: Sequence[Rule], threshold: float = 4.5) -> DataFrame:
     """Drop low-entropy matches of rules flagged ``entropy_context`` (off on the rule-table path)."""
     flagged = [r.name for r in rules if r.entropy_context]

@@ -62,13 +62,13 @@ PAGE_FILTERS = ("severity", "detector", "provider", "session_id", "account_id",
                 "client_name", "hostname", "username", "sdk_name", "runtime", "intercept_mode", "original_host", "origin")
 
 
-def since_days(ts: str, as_of: str, days: int, most: int = 365) -> Column:
+def since_days(ts: str, as_of: str, days: int) -> Column:
     """From midnight of the day ``days`` back."""
-    return F.col(ts) >= F.date_sub(F.to_date(F.lit(as_of)), max(1, min(days, most)))
+    return F.col(ts) >= F.date_sub(F.to_date(F.lit(as_of)), max(1, days))
 
 
-def since_hours(ts: str, as_of: str, hours: int, most: int = 168) -> Column:
-    n = max(1, min(hours, most))
+def since_hours(ts: str, as_of: str, hours: int) -> Column:
+    n = max(1, hours)
     return F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL '{n}' HOUR")
 
 

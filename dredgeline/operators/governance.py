@@ -82,7 +82,7 @@ def fleet_tools(agents: DataFrame, tools: DataFrame) -> DataFrame:
         F.count("*").alias("installed"), s("proxy_configured", "configured"), s("routing_active", "routing"))
 
 
-def fleet_gaps(agents: DataFrame, tools: DataFrame, limit: int | None = 100) -> DataFrame:
+def fleet_gaps(agents: DataFrame, tools: DataFrame, limit: int | None = None) -> DataFrame:
     live = agents.where(F.col("status") != "deregistered").select("agent_id", "hostname")
     out = tools.where(~F.col("proxy_configured")).join(live, "agent_id").select(
         "agent_id", "hostname", "client_id", "display_name", "proxy_config_type",

@@ -144,40 +144,43 @@ def prompt_field(system: Column, patterns: Sequence[str], path: bool = False) ->
     return F.substring(val, 1, 512 if path else 256)
 
 
-def session_fingerprint(v: str = "_v", provider: str = "provider") -> Column:
-    """``fp:`` and 12 hex digits over provider, system prompt and first messages; '' if bare."""
-    first512 = lambda e: f"substr({e}, 1, 512)"
+def session_fingerprint(v: str = "_v", provider: str = "provider", chars: int | None = None, digits: int = 64) -> Column:
+    """``fp:`` and a hash over provider, system prompt and first messages; '' if bare.
+
+    Whole texts and the whole SHA-256 by default; ``chars`` and ``digits`` shorten both.
+    """
+    part = lambda e: f"substr({e}, 1, {chars})" if chars else e
 
     def content(m: str) -> str:
         first = f"try_variant_get({m}, '$.content[0]', 'variant')"
         return (
             f"CASE WHEN try_variant_get({m}, '$', 'map<string,variant>') IS NULL THEN NULL "
             f"WHEN {_get(m, '$.content')} IS NULL THEN '' "
-            f"WHEN {_str(m, '$.content')} IS NOT NULL THEN {first512(_str(m, '$.content'))} "
-            f"WHEN try_variant_get({first}, '$', 'map<string,variant>') IS NOT NULL THEN {first512('coalesce(' + _str(m, '$.content[0].text') + ', ' + chr(39) * 2 + ')')} END"
+            f"WHEN {_str(m, '$.content')} IS NOT NULL THEN {part(_str(m, '$.content'))} "
+            f"WHEN try_variant_get({first}, '$', 'map<string,variant>') IS NOT NULL THEN {part('coalesce(' + _str(m, '$.content[0].text') + ', ' + chr(39) * 2 + ')')} END"
         )
 
     def messages(key: str, n: int) -> str:
         return f"transform(slice({_list(v, '$.' + key)}, 1, {n}), m -> {content('m')})"
 
     sys_a = (
-        f"CASE WHEN {_get(v, '$.system')} IS NULL THEN '' WHEN {_str(v, '$.system')} IS NOT NULL THEN {first512(_str(v, '$.system'))} "
-        f"WHEN try_variant_get({v}, '$.system[0]', 'map<string,variant>') IS NOT NULL THEN {first512('coalesce(' + _str(v, '$.system[0].text') + ', ' + chr(39) * 2 + ')')} END"
+        f"CASE WHEN {_get(v, '$.system')} IS NULL THEN '' WHEN {_str(v, '$.system')} IS NOT NULL THEN {part(_str(v, '$.system'))} "
+        f"WHEN try_variant_get({v}, '$.system[0]', 'map<string,variant>') IS NOT NULL THEN {part('coalesce(' + _str(v, '$.system[0].text') + ', ' + chr(39) * 2 + ')')} END"
     )
     a = f"concat(array({sys_a}), {messages('messages', 2)})"
     item = "coalesce(" + ", ".join([
-        f"CASE WHEN {_str(v, '$.input')} IS NOT NULL THEN {first512(_str(v, '$.input'))} END",
-        f"CASE WHEN {_str(v, '$.input[0]')} IS NOT NULL THEN {first512(_str(v, '$.input[0]'))} END",
+        f"CASE WHEN {_str(v, '$.input')} IS NOT NULL THEN {part(_str(v, '$.input'))} END",
+        f"CASE WHEN {_str(v, '$.input[0]')} IS NOT NULL THEN {part(_str(v, '$.input[0]'))} END",
         content(f"variant_get({v}, '$.input[0]', 'variant')"),
     ]) + ")"
-    instr = f"CASE WHEN coalesce({_str(v, '$.instructions')}, '') <> '' THEN {first512(_str(v, '$.instructions'))} END"
+    instr = f"CASE WHEN coalesce({_str(v, '$.instructions')}, '') <> '' THEN {part(_str(v, '$.instructions'))} END"
     o = f"CASE WHEN size({_list(v, '$.messages')}) > 0 THEN {messages('messages', 3)} ELSE array({instr}, {item}) END"
     g_first = lambda m: (f"CASE WHEN try_variant_get({m}, '$.parts[0]', 'map<string,variant>') IS NOT NULL "
-                         f"THEN {first512('coalesce(' + _str(m, '$.parts[0].text') + ', ' + chr(39) * 2 + ')')} END")
+                         f"THEN {part('coalesce(' + _str(m, '$.parts[0].text') + ', ' + chr(39) * 2 + ')')} END")
     g = f"concat(array({g_first(f'variant_get({v}, ' + chr(39) + '$.systemInstruction' + chr(39) + ', ' + chr(39) + 'variant' + chr(39) + ')')}), transform(slice({_list(v, '$.contents')}, 1, 2), m -> {g_first('m')}))"
     parts = f"array_compact(CASE {provider} WHEN 'anthropic' THEN {a} WHEN 'openai' THEN {o} WHEN 'gemini' THEN {g} END)"
     return F.expr(
-        f"CASE WHEN size({parts}) >= 1 THEN concat('fp:', substr(sha2(array_join(concat(array({provider}), {parts}), '\\n'), 256), 1, 12)) ELSE '' END"
+        f"CASE WHEN size({parts}) >= 1 THEN concat('fp:', substr(sha2(array_join(concat(array({provider}), {parts}), '\\n'), 256), 1, {digits})) ELSE '' END"
     )
 
 

@@ -24,7 +24,7 @@ def oversized(body, limit: int) -> Column:
     return F.octet_length(F.col(body) if isinstance(body, str) else body) > limit
 
 
-def _children_sql(text: str, whole: str, base64: bool, hexa: bool, url: bool, esc: bool, min_len: int, max_len: int) -> str:
+def _children_sql(text: str, whole: str, base64: bool, hexa: bool, url: bool, esc: bool, min_len: int, max_len: int | None) -> str:
     """The decoded children of one text, as an array of (encoding, text)."""
     parts = []
     if base64:
@@ -34,7 +34,7 @@ def _children_sql(text: str, whole: str, base64: bool, hexa: bool, url: bool, es
     for on, name, val in ((url, "url", f"{whole}.url"), (esc, "unicode", f"{whole}.esc")):
         if on:
             ok = f"length({val}) >= {min_len} AND length(regexp_replace({val}, '[^ -~]', '')) / length({val}) >= 0.7"
-            parts.append(f"CASE WHEN {ok} THEN array(struct('{name}' as encoding, substr({val}, 1, {max_len}) as text)) "
+            parts.append(f"CASE WHEN {ok} THEN array(struct('{name}' as encoding, {tx.cut_sql(val, max_len)} as text)) "
                          "ELSE cast(array() as array<struct<encoding string, text string>>) END")
     return f"concat({', '.join(parts)})"
 
@@ -49,7 +49,7 @@ def decode_fields(
     url: bool = True,
     esc: bool = True,
     min_len: int = 8,
-    max_len: int = 10_000,
+    max_len: int | None = None,
     sanitize_decoded: bool = True,
 ) -> DataFrame:
     """Expand each text row to the raw text plus every decoded variant.

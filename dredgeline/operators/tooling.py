@@ -74,19 +74,19 @@ def scan_arguments(calls: DataFrame, rules: Sequence[detect.Rule], allowed: Sequ
 
 
 def scan_responses(texts: DataFrame, rules: Sequence[detect.Rule], prefix: str = "mcp.", keep: Sequence[str] = ("msg_no",),
-                   injection: Sequence[detect.Rule] | None = None, limit: int = 1_048_576) -> DataFrame:
+                   injection: Sequence[detect.Rule] | None = None, limit: int | None = None) -> DataFrame:
     """Detectors plus injection patterns over response text, with a location prefix."""
-    t = texts.withColumn("text", tx.sanitize(F.substring("text", 1, limit)))
+    t = texts.withColumn("text", tx.sanitize(F.substring("text", 1, limit) if limit else "text"))
     found = detect.scan(t, [r for r in rules if r.detector != "injection"], "text", F.lit(f"{prefix}response.content"), keep=keep)
     inj = detect.injections(t, "text", f"{prefix}response.content" if prefix != "response." else "response.content", injection, keep=keep)
     return found.unionByName(inj)
 
 
 def scan_frames(frames: DataFrame, rules: Sequence[detect.Rule], keep: Sequence[str] = ("frame_id", "direction"),
-                injection: Sequence[detect.Rule] | None = None, limit: int = 1_048_576) -> DataFrame:
+                injection: Sequence[detect.Rule] | None = None, limit: int | None = None) -> DataFrame:
     """Frames both ways through the detectors; inbound ones through the injection pack too."""
     prefix = F.concat(F.lit("ws."), F.col("direction"))
-    t = frames.withColumn("_t", tx.sanitize(F.substring("text", 1, limit)))
+    t = frames.withColumn("_t", tx.sanitize(F.substring("text", 1, limit) if limit else "text"))
     rules = [r for r in rules if r.detector != "injection"]
     found = detect.scan(t, rules, "_t", F.concat(prefix, F.lit("."), prefix), keep=keep)
     inj = detect.injections(frames.where(F.col("direction") == "inbound"), "text", F.lit("ws.inbound"), injection, keep=keep)

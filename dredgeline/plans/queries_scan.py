@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from dredgeline.functions import catalogue as cat
@@ -115,8 +117,27 @@ _BLOCK = ("email", "generic_password", "aws_access_key", "database_url")
 WITH h AS {HITS}, c AS (SELECT doc_id, min(rule_no) AS cut FROM h WHERE type IN {_BLOCK} GROUP BY doc_id)
 SELECT doc_id, type, value FROM h LEFT JOIN c USING (doc_id) WHERE cut IS NULL OR rule_no <= cut""")
 def _d02(spark, sf):
-    f = seeded_findings(spark, sf).withColumn("action", F.when(F.col("type").isin(*_BLOCK), "block").otherwise(""))
-    return detect.stop_after_block(f, ["doc_id"]).select("doc_id", "type", "value")
+    rules = [replace(r, action="block" if r.name in _BLOCK else "") for r in RULES]
+    return detect.scan(seeded(spark, sf), rules, keep=["doc_id"], stop_at_block=True).select("doc_id", "type", "value")
+
+
+_ENCODED = f"""concat(text, CASE doc_id % 5 WHEN 0 THEN concat(' ', base64(encode('contact mail@example.org for us', 'UTF-8')))
+ WHEN 1 THEN concat(' ', hex(encode('contact mail@example.org for us', 'UTF-8'))) WHEN 2 THEN concat(' contact%20mail', doc_id, '%40example.org%20now')
+ WHEN 3 THEN concat(' mail', doc_id, '\\\\u0040\\\\u0065xample.org') ELSE '' END)""".replace("{i}", "")
+
+
+@query("default_scan_documents")  # NFKC and decoding have no SQL counterpart; tests hold the planted values
+def _default_documents(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.expr(_ENCODED).alias("text"))
+    return jobs.scan_documents(d, key="doc_id").select("doc_id", "detector", "type", "severity", "action", "location", "count", F.sha2("value", 256).alias("value_hash"))
+
+
+@query("default_scan_requests")
+def _default_requests(spark, sf):
+    c = table(spark, sf, "conversations")
+    body = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.expr("concat(text, CASE WHEN (conv_id + turn) % 3 = 0 THEN concat(' mail', conv_id, '@example.org') ELSE '' END)").alias("content")))).alias("m")).select(
+        F.col("conv_id").alias("req_id"), F.lit("openai").alias("provider"), F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("body"))
+    return jobs.scan_requests(body).select("req_id", "detector", "type", "action", "location", "count", F.sha2("value", 256).alias("value_hash"))
 
 
 @query("w02_first_block_window", f"SELECT doc_id, min(rule_no) AS cut FROM {HITS} WHERE type IN {_BLOCK} GROUP BY doc_id")

@@ -370,10 +370,10 @@ def _s10(spark, sf):
     return stores.read_audit(spark, path).select("request_id", "finding_count", "account_id")
 
 
-@query("s12_csv_export", with_findings("SELECT concat(CAST(id AS STRING), ',', detector, ',\"', concat(location, ', \"\"', severity, '\"\"'), '\",', value) AS line FROM f"))
+@query("s12_csv_export", with_findings("SELECT concat(CAST(id AS STRING), ',', detector, ',\"', concat(location, ', \"\"', severity, '\"\"'), '\",', sha256(value)) AS line FROM f"))
 def _s12(spark, sf):
-    f = findings(spark, sf).withColumn("note", F.concat("location", F.lit(', "'), "severity", F.lit('"')))
-    return f.select(stores.csv_line(["id", "detector", "note", "value"]).alias("line"))
+    f = findings(spark, sf).withColumn("value_hash", F.sha2("value", 256)).withColumn("note", F.concat("location", F.lit(', "'), "severity", F.lit('"')))
+    return f.select(stores.csv_line(["id", "detector", "note", "value_hash"]).alias("line"))
 
 
 # ---- governance --------------------------------------------------------------------------------------------------
@@ -413,7 +413,7 @@ def _j04(spark, sf):
 SELECT agent_id, hostname, client_id, display_name, proxy_config_type, CASE WHEN proxy_config_type <> 'unsupported' THEN 1 ELSE 0 END AS actionable
 FROM ({_TOOL}) t JOIN ({_AGENT}) a USING (agent_id) WHERE NOT proxy_configured AND a.status <> 'deregistered'""")
 def _j05(spark, sf):
-    return governance.fleet_gaps(*_fleet(spark, sf), limit=None)
+    return governance.fleet_gaps(*_fleet(spark, sf))
 
 
 @query("a25_fleet_counts", f"SELECT status, count(*) AS cnt FROM ({_AGENT}) a GROUP BY 1")

@@ -42,7 +42,7 @@ def _t04(spark, sf):
 
 
 _RATIO = "length(regexp_replace(text, '[^ -~]', '', 'g')) / length(text)"
-_WHOLE = f"SELECT doc_id, md5(substr(text, 1, 10000)) AS md5 FROM documents WHERE length(text) >= 8 AND {_RATIO} >= 0.7"
+_WHOLE = f"SELECT doc_id, md5(text) AS md5 FROM documents WHERE length(text) >= 8 AND {_RATIO} >= 0.7"
 
 
 def _whole(df, encoding):
@@ -333,8 +333,8 @@ def _e17(spark, sf):
 
 
 @query("e18_session_fingerprint", f"""
-WITH l AS (SELECT doc_id, string_agg(substr(line, 1, 512), chr(10) ORDER BY k) AS s FROM {LINES_SQL} q WHERE k < 3 GROUP BY doc_id)
-SELECT doc_id, concat('fp:', substr(sha256(concat('anthropic', chr(10), s)), 1, 12)) AS fp FROM l""")
+WITH l AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS s FROM {LINES_SQL} q WHERE k < 3 GROUP BY doc_id)
+SELECT doc_id, concat('fp:', sha256(concat('anthropic', chr(10), s))) AS fp FROM l""")
 def _e18(spark, sf):
     d = body_a(docs(spark, sf)).select("doc_id", F.lit("anthropic").alias("provider"), F.expr("try_parse_json(body)").alias("_v"))
     # Third message of body_a holds a tool result, so only plain and text blocks enter the fingerprint.

@@ -247,9 +247,9 @@ def _keyed(spark, sf):
     return f.select("id", F.col("timestamp").cast("timestamp").alias("ts"), "detector", F.col("event_type").alias("type"), tx.sha16("value").alias("value_hash"), "session_id")
 
 
-@query("r01_streaming_scan", f"SELECT doc_id, type, value FROM {hits_sql(RULES, 'documents')} h")
+@query("r01_streaming_scan", f"SELECT doc_id, type, sha256(value) AS value_hash FROM {hits_sql(RULES, 'documents')} h")
 def _r01(spark, sf):
-    s = detect.scan(_stream(spark, sf, "documents"), RULES, keep=["doc_id"]).select("doc_id", "type", "value")
+    s = detect.scan(_stream(spark, sf, "documents"), RULES, keep=["doc_id"]).select("doc_id", "type", F.sha2("value", 256).alias("value_hash"))
     return _drain(spark, s, "r01")
 
 

@@ -28,7 +28,8 @@ class ScanConfig:
     allow_paths: Sequence[str] = ()
     decode: bool = True
     decode_depth: int = 2
-    budget: int | None = textprep.MAX_SCAN_CHARS  # None: scan whole texts
+    budget: int | None = None  # characters of a request that are scanned, newest first; None: all
+    max_decoded: int | None = None  # characters kept of a decoded text; None: all
     detect_rules: bool = True
     detect_proprietary: bool = True
     entropy_gate: bool = False
@@ -44,7 +45,7 @@ def _detect(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig) -> DataFrame
     rules = detect.active_rules(cfg.rules, licensed=cfg.licensed, skip=cfg.plugins.skip_rules) if cfg.detect_rules else []
     parts = []
     if rules:
-        parts.append(detect.scan(texts, rules, "text", "path", keep=keep))
+        parts.append(detect.scan(texts, rules, "text", "path", keep=keep, stop_at_block=cfg.stop_at_block and not cfg.entropy_gate))
     if cfg.detect_proprietary:
         # Rule numbers after the rule table: findings keep detector order within a field.
         for i, part in enumerate((detect.sensitive_files(texts.select(*keep, "path", "source_filename")).drop("source_filename"),
@@ -72,14 +73,14 @@ def scan_texts(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig | None = N
     x = filters.drop_allowed_paths(texts, cfg.allow_paths)
     x = textprep.sanitize_frame(x)
     if cfg.decode:
-        x = textprep.decode_fields(x, max_depth=cfg.decode_depth).drop("encoding")
+        x = textprep.decode_fields(x, max_depth=cfg.decode_depth, max_len=cfg.max_decoded).drop("encoding")
     else:
         x = x.withColumn("variant", F.array().cast("array<int>"))
     if cfg.distinct_texts:
         found = _scan_distinct(x, keys, cfg)
     else:
         found = _detect(x, keys, cfg)
-    if cfg.stop_at_block:
+    if cfg.stop_at_block and (cfg.detect_proprietary or cfg.entropy_gate or cfg.plugins.detectors):  # else cut inside the row
         found = detect.stop_after_block(found, [*keys, "field_no", "variant"])
     found = policy.collapse(found, keys, ORDER)
     return found.withColumn("action", policy.resolve_action(cfg.overrides, cfg.default_action))

@@ -102,7 +102,7 @@ AUDIT_SCHEMA = (
 )
 
 
-def read_audit(spark: SparkSession, path: str, limit: int | None = 10_000) -> DataFrame:
+def read_audit(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Newest entries first, malformed lines dropped, ``finding_count`` added."""
     df = spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     out = df.withColumn("finding_count", F.coalesce(F.size("findings"), F.lit(0))).orderBy(F.desc("timestamp"), F.desc("request_id"))
@@ -145,8 +145,9 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 # ---- exports ----------------------------------------------------------------------------------------------
+#: The columns of both exports, in order.
 FINDINGS_CSV = ("id", "timestamp", "detector", "finding_type", "severity", "location", "action_taken", "provider", "model", "value_preview",
-                "account_id", "session_id", "client_name")
+                "account_id", "session_id", "client_name", "origin")
 AUDIT_CSV = ("timestamp", "request_id", "provider", "model", "endpoint", "action", "finding_count", "scan_duration_ms", "request_size_bytes", "passed")
 
 

@@ -68,70 +68,63 @@ def _valued(df: DataFrame, keys: list[str], step, state_schema: str, extra: T.St
 class TextDedup(_Processor):
     """Mark texts an earlier, committed request of the session already carried."""
 
-    def __init__(self, columns: list[str], ttl_seconds: int = TTL_SECONDS, max_hashes: int = 5000):
-        self.columns, self.ttl, self.max_hashes = columns, ttl_seconds * 1_000_000, max_hashes
+    def __init__(self, columns: list[str], ttl_seconds: int = TTL_SECONDS):
+        self.columns, self.ttl = columns, ttl_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", T.StructType([T.StructField("h", T.StringType())]), _long("us"), ttlDurationMs=self.keep_ms)
-        self.meta = handle.getValueState("meta", T.StructType([T.StructField("us", T.LongType()), T.StructField("n", T.LongType())]), ttlDurationMs=self.keep_ms)
+        self.meta = handle.getValueState("meta", _long("us"), ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["ts", "req_id", "field_no"])
-        last, n = self.meta.get() if self.meta.exists() else (None, 0)
+        last = self.meta.get()[0] if self.meta.exists() else None
         skipped = []
         for _, req in pdf.groupby(["ts", "req_id"], sort=False):
             us = _us(req["ts"].iloc[0])
             if last is not None and us - last > self.ttl:
                 self.seen.clear()
-                n = 0
             last = us
             old = [self.seen.containsKey((h,)) for h in req["text_hash"]]
             skipped += old
             action, stripped = req["action"].iloc[0], bool(req["stripped"].iloc[0])
             if action not in ("block", "redact") or (action == "block" and stripped):
                 for h, was in zip(req["text_hash"], old):
-                    if not was and n < self.max_hashes and not self.seen.containsKey((h,)):
+                    if not was:
                         self.seen.updateValue((h,), (us,))
-                        n += 1
-        self.meta.update((last, n))
+        self.meta.update((last,))
         yield pdf.assign(skipped=skipped)[[*self.columns, "skipped"]]
 
 
 class ResponseTracker(_Processor):
     """Flag responses whose id was never sent; ids serve once."""
 
-    def __init__(self, columns: list[str], max_pending: int = 10_000):
-        self.columns, self.max_pending = columns, max_pending
+    def __init__(self, columns: list[str]):
+        self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pending = handle.getMapState("pending", T.StructType([T.StructField("id", T.StringType())]), _long("n"), ttlDurationMs=self.keep_ms)
-        self.seeded = handle.getValueState("seeded", T.StructType([T.StructField("next", T.LongType()), T.StructField("size", T.LongType())]))
+        self.seeded = handle.getValueState("seeded", _long("n"), ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["ts", "msg_no"])
-        nxt, size = self.seeded.get() if self.seeded.exists() else (0, 0)
+        sent = self.seeded.exists()
         valid = []
         for direction, mid in zip(pdf["direction"], pdf["msg_id"]):
             if mid is None or pd.isna(mid):
                 valid.append(True)
             elif direction == "out":
-                if not self.pending.containsKey((mid,)):
-                    self.pending.updateValue((mid,), (nxt,))
-                    nxt, size = nxt + 1, size + 1
-                    if size > self.max_pending:
-                        oldest = min(self.pending.iterator(), key=lambda kv: kv[1][0])[0]
-                        self.pending.removeKey(oldest)
-                        size -= 1
+                self.pending.updateValue((mid,), (1,))
+                sent = True
                 valid.append(True)
-            elif nxt == 0:
+            elif not sent:
                 valid.append(True)
             else:
                 hit = self.pending.containsKey((mid,))
                 if hit:
                     self.pending.removeKey((mid,))
-                    size -= 1
                 valid.append(bool(hit))
-        self.seeded.update((nxt, size))
+        if sent:
+            self.seeded.update((1,))
         yield pdf.assign(valid=valid)[[*self.columns, "valid"]]
 
 
@@ -142,8 +135,8 @@ class ToolBinding(_Processor):
         self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tools = handle.getMapState("tools", T.StructType([T.StructField("name", T.StringType())]), _long("n"))
-        self.bound = handle.getValueState("bound", _long("n"))
+        self.tools = handle.getMapState("tools", T.StructType([T.StructField("name", T.StringType())]), _long("n"), ttlDurationMs=self.keep_ms)
+        self.bound = handle.getValueState("bound", _long("n"), ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["ts", "msg_no"])
@@ -197,8 +190,8 @@ def finding_ttl_fast(df: DataFrame, ttl: str = "30 minutes") -> DataFrame:
     return keyed.unionByName(df.where("session_id = ''"))
 
 
-def text_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, max_hashes: int = 5000, keep_ms: int | None = KEEP_MS) -> DataFrame:
-    return _apply(df, ["session_id"], TextDedup(df.columns, ttl_seconds, max_hashes), _flag("skipped"), keep_ms)
+def text_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    return _apply(df, ["session_id"], TextDedup(df.columns, ttl_seconds), _flag("skipped"), keep_ms)
 
 
 def rate_limit(df: DataFrame, capacity: int, refill_seconds: float, keep_ms: int | None = KEEP_MS) -> DataFrame:

@@ -72,6 +72,37 @@ def test_guards_lose_no_match(spark):
     assert key(detect.scan(df, rules)) == key(detect.scan(df, rules, guards=False))
 
 
+def test_guards_fold_as_the_patterns_do(spark):
+    df = spark.createDataFrame([(0, 'pa\u017f\u017fword = "hunter2hunter2"'), (1, 'AP\u0130_\u212aEY = "abcdefghij0123456789abcdef"')], "id int, text string")
+    rules = detect.active_rules(detect.community_rules())
+    key = lambda d: sorted(map(tuple, d.select("id", "type", "value").collect()))
+    assert key(detect.scan(df, rules)) == key(detect.scan(df, rules, guards=False)) != []
+
+
+def test_pattern_dialect(spark):
+    assert detect.valid_regex(r"(?P<my_tok>[a-z]+)-(?P=my_tok)") and not detect.valid_regex("(?P<tok>[a-z") and not detect.valid_regex(r"(?(1)a|b)")
+    rules = detect.active_rules([detect.Rule("twice", r"(?P<my_tok>[a-z]+)-(?P=my_tok)", "custom", "high", use_group=False), detect.Rule("broken", "(", "custom", "high")])
+    df = spark.createDataFrame([("see abc-abc here",)], "text string")
+    assert [r.value for r in detect.scan(df, rules).select("value").collect()] == ["abc-abc"]
+
+
+def test_block_cut_inside_the_row(spark):
+    rules = [detect.Rule(f"r{i}", p, "custom", "high", action=a, validator=v, use_group=False) for i, (p, a, v) in enumerate([("a+", "", ""), (r"\d{16}", "block", "luhn"), ("b+", "block", ""), ("c+", "", "")])]
+    df = spark.createDataFrame([(0, "a c 4111111111111111 b"), (1, "a c 4111111111111112 b"), (2, "a c"), (3, "c b a")], "id int, text string")
+    got = detect.scan(df, rules, keep=["id"], stop_at_block=True)
+    want = detect.stop_after_block(detect.scan(df, rules, keep=["id"]), ["id"])
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in got.columns) for r in want.collect())
+
+
+def test_nothing_is_cut_by_default(spark):
+    """Values behind 200 000 characters of a request and behind 10 000 decoded ones are found."""
+    long = "word " * 44_000 + "mail far@example.org"
+    decoded = base64.b64encode(("word " * 3_000 + "mail deep@example.org now").encode()).decode()
+    docs = spark.createDataFrame([(1, long), (2, decoded)], "file long, text string")
+    found = jobs.scan_documents(docs).where("type = 'email'").select("file", "value").collect()
+    assert sorted(map(tuple, found)) == [(1, "far@example.org"), (2, "deep@example.org")]
+
+
 @pytest.mark.parametrize("name,value,ok", [
     ("ssn_range", "123-45-6789", True), ("ssn_range", "666-45-6789", False), ("ssn_range", "123-00-6789", False), ("ssn_range", "x", False),
     ("luhn", "4111 1111 1111 1111", True), ("luhn", "4111111111111112", False), ("luhn", "0", False),

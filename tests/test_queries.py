@@ -28,8 +28,11 @@ def test_query_matches_sql(spark, con, name):
         assert compare(df, con, sql) is None
 
 
-def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+def test_queries_without_sql():
+    """NFKC and decoding have no SQL counterpart; the training-data operators that have none are tested in their own folder."""
+    missing = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith(("op", "pipeline"))}
+    assert missing == {"default_scan_documents", "default_scan_requests"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
