@@ -27,7 +27,7 @@ WIDE = 64
 #: Cells of a matrix.
 CELLS = 1 << 19
 #: Distinct pre-tokens that a worker keeps.
-KEPT = 400_000
+KEPT = 100_000
 _workers: dict[tuple[str, str], "Vocabulary"] = {}
 
 
@@ -147,7 +147,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def _encode(path: str, pattern: str, decoded: bool):
-    names = ["rest", "ids"] + ["decoded"] * decoded
+    names = ["rest", "text", "ids"] + ["decoded"] * decoded
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
@@ -156,20 +156,23 @@ def _encode(path: str, pattern: str, decoded: bool):
             for i, j in W.chunks(off):
                 flat, n = v.pieces.rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 stop = np.concatenate(([0], np.cumsum(n)))
-                out = [batch.column("rest").slice(i, j - i), pa.ListArray.from_arrays(stop.astype(np.int32), flat)]
+                out = [batch.column("rest").slice(i, j - i), batch.column("text").slice(i, j - i), pa.ListArray.from_arrays(stop.astype(np.int32), flat)]
                 if decoded:
                     out.append(pa.array([v.decode(flat[a:b].tolist()) for a, b in zip(stop[:-1], stop[1:], strict=True)], pa.binary()))
                 yield pa.record_batch(out, names=names)
+            del data, off, batch
+            W.release()
 
     return rows
 
 
 def encode_rows(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> DataFrame:
     """All columns of ``docs`` with ids (and decoded, the ids' bytes) after them; see :func:`encode`."""
-    names = docs.columns
-    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"))
-    schema = T.StructType([T.StructField("rest", packed.schema["rest"].dataType), *T.StructType.fromDDL("ids array<int>" + ", decoded binary" * decoded)])
-    return packed.mapInArrow(_encode(path, pattern, decoded), schema).select(*(F.col(f"rest.`{c}`") for c in names), "ids", *["decoded"] * decoded)
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
+    schema = T.StructType([T.StructField("rest", packed.schema["rest"].dataType), *T.StructType.fromDDL("text string, ids array<int>" + ", decoded binary" * decoded)])
+    out = packed.mapInArrow(_encode(path, pattern, decoded), schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns), "ids", *["decoded"] * decoded)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:

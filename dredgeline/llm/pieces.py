@@ -16,7 +16,7 @@ import numpy as np
 from dredgeline.llm import words as W
 
 #: Distinct pieces that a worker keeps.
-KEPT = 2_000_000
+KEPT = 1_000_000
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 #: White space in any reading of it: control characters 28 to 31 count in some.

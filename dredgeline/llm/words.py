@@ -153,3 +153,8 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(starts - ends + counts, counts)
+
+
+def release() -> None:
+    """Give freed Arrow memory back to the system between batches."""
+    pa.default_memory_pool().release_unused()
