@@ -69,7 +69,7 @@ class Rule:
 
 def _pack(rows: Sequence[tuple], **kw) -> list[Rule]:
     return [
-        Rule(n, p, d, s, validator=v, entropy_context=e, tags=tuple(t), description=ds, rule_id=i + 1, **kw)
+        Rule(n, p, d, s, validator=v, entropy_context=e, tags=tuple(t), description=ds or n.replace("_", " "), rule_id=i + 1, **kw)
         for i, (n, p, d, s, v, e, t, ds) in enumerate(rows)
     ]
 
