@@ -206,11 +206,16 @@ def _x02(spark, sf):
     return seeded_findings(spark, sf, [rule]).select("doc_id", "value")
 
 
-@query("x03_evaluate_hook", "SELECT doc_id AS req_id, 'log' AS action FROM documents")
+@query("x03_evaluate_hook", f"SELECT doc_id AS req_id, CASE WHEN count(DISTINCT type) > 1 THEN 'block' ELSE 'alert' END AS action FROM {hits_sql(RULES, 'documents')} h GROUP BY 1")
 def _x03(spark, sf):
-    d = docs(spark, sf).select(F.col("doc_id").alias("req_id"))
-    plug = Plugins(evaluate=lambda f, default: default(f).withColumn("action", F.lit("log")))
-    return plug.run_evaluate(d, lambda f: f.withColumn("action", F.lit("pass"))).select("req_id", "action")
+    """A hook that blocks requests with findings of more than one type and leaves the rest to the default."""
+    found = detect.scan(docs(spark, sf), RULES, keep=["doc_id"]).withColumnRenamed("doc_id", "req_id")
+
+    def evaluate(f, default):
+        several = f.groupBy("req_id").agg((F.count_distinct("type") > 1).alias("several"))
+        return default(f).join(several, "req_id").withColumn("action", F.when(F.col("several"), "block").otherwise(F.col("action")))
+
+    return Plugins(evaluate=evaluate).run_evaluate(found, lambda f: f.groupBy("req_id").agg(F.lit("alert").alias("action"))).select("req_id", "action")
 
 
 @query("x09_session_escalation", with_findings("""

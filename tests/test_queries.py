@@ -37,3 +37,8 @@ def test_queries_without_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["j12_dismissed_pairs", "j13_rule_overlap", "a30_overlap_clusters", "x03_evaluate_hook", "d02_first_block_cutoff"])
+def test_sql_compares_something(name):
+    assert len(duck("/root/testdata/sf0.01").execute(entry.oracle_sql()[name]).fetchall()) > 1
