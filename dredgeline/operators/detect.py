@@ -245,18 +245,22 @@ def scan(
     keep: Sequence[str] | None = None,
     mask=tx.mask_short,
     stop_at_block: bool = False,
+    proprietary: str | None = None,
 ) -> DataFrame:
     """Run rules over a text column; one output row per accepted match.
 
     Output: ``keep`` columns (default: all but the text) and detector, type, severity,
     action, location, value, value_preview, rule_no (scan order) and match_no.
     ``first_only`` takes the first match of each rule (injection and poisoning packs).
+    ``proprietary`` names the column of file names: file and keyword checks then are further
+    arms of the same array, numbered after the rules, so the text is read once.
     ``stop_at_block`` drops, inside the row, matches of rules after the first accepted one that blocks.
     """
     rules = list(rules)
+    held = {n: (s, f"CASE WHEN _sev = '{s}' THEN array(_file) END") for n, s in (("blocked_file_pattern", "critical"), ("sensitive_file_pattern", "warning"))}
     carried = [c for c in (keep if keep is not None else df.columns) if c != text]
     loc = F.lit("") if location is None else (F.col(location) if isinstance(location, str) else location)
-    src = df.select(*carried, F.col(text).alias("_text"), loc.alias("_loc"))
+    src = df.select(*carried, F.col(text).alias("_text"), loc.alias("_loc"), *([F.col(proprietary).alias("_file")] if proprietary else []))
     guard = {r: (_guard_sql(r) if guards else None) for r in rules}
     used = " ".join(g for g in guard.values() if g)
     if "_lower" in used:
@@ -275,6 +279,13 @@ def scan(
     for i, r in enumerate(rules):
         arm = f"transform({one(r, '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
         arms.append(f"CASE WHEN {guard[r]} THEN {arm} END" if guard[r] else arm)
+    if proprietary:
+        src = src.withColumns({"_up": F.upper("_text"), "_sev": _file_level("_file", cat.FILE_GLOBS_CRITICAL, cat.FILE_GLOBS_WARNING)})
+        for name, severity, words in (("confidential_keyword", "critical", cat.KEYWORDS_CRITICAL), ("sensitive_keyword", "warning", cat.KEYWORDS_WARNING)):
+            held[name] = (severity, f"filter(array({', '.join(map(tx.sql_str, words))}), k -> contains(_up, k))")
+        for name, (severity, values) in held.items():
+            arms.append(f"transform({values}, (v, j) -> struct({len(rules)} as rule_no, j as match_no, v as value))")
+            rules.append(Rule(name, "", "proprietary", severity))
     if not arms:
         arms = ["cast(NULL as array<struct<rule_no int, match_no int, value string>>)"]
     hits = f"flatten(array_compact(array({', '.join(arms)})))"
@@ -297,7 +308,7 @@ def scan(
         F.col("_r.col4").alias("action"),
         F.col("_loc").alias("location"),
         value.alias("value"),
-        mask(value).alias("value_preview"),
+        (F.when(F.col("_r.col1") == "proprietary", value).otherwise(mask(value)) if proprietary else mask(value)).alias("value_preview"),
         F.col("_hit.rule_no").alias("rule_no"),
         F.col("_hit.match_no").alias("match_no"),
         F.col("_r.col5").alias("_validator"),
@@ -369,6 +380,13 @@ def _finding(carried, detector, ftype, severity, location, value, preview):
     ]
 
 
+def _file_level(filename: str, critical: Sequence[str], warning: Sequence[str]) -> Column:
+    f = F.col(filename)
+    base = F.element_at(F.split(f, "/"), -1)
+    hit = lambda g: tx.matches_glob(base, g) | tx.matches_glob(f, g)
+    return F.when(f == "", None).when(hit(critical), "critical").when(hit(warning), "warning")
+
+
 def sensitive_files(
     df: DataFrame,
     filename: str = "source_filename",
@@ -377,10 +395,7 @@ def sensitive_files(
     warning: Sequence[str] = cat.FILE_GLOBS_WARNING,
 ) -> DataFrame:
     """One finding per field whose file name (base name or whole path) matches a glob."""
-    f = F.col(filename)
-    base = F.element_at(F.split(f, "/"), -1)
-    hit = lambda g: tx.matches_glob(base, g) | tx.matches_glob(f, g)
-    level = F.when(f == "", None).when(hit(critical), "critical").when(hit(warning), "warning")
+    f, level = F.col(filename), _file_level(filename, critical, warning)
     ftype = F.when(F.col("_sev") == "critical", "blocked_file_pattern").otherwise("sensitive_file_pattern")
     carried = [c for c in df.columns if c not in ("text", location)]
     return (

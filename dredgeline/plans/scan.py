@@ -43,20 +43,11 @@ def _detect(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig) -> DataFrame
     """Findings of every enabled detector over (keys, field_no, path, text, source_filename)."""
     keep = [*keys, "field_no", "variant"]
     rules = detect.active_rules(cfg.rules, licensed=cfg.licensed, skip=cfg.plugins.skip_rules) if cfg.detect_rules else []
-    parts = []
-    if rules:
-        parts.append(detect.scan(texts, rules, "text", "path", keep=keep, stop_at_block=cfg.stop_at_block and not cfg.entropy_gate))
-    if cfg.detect_proprietary:
-        # Rule numbers after the rule table: findings keep detector order within a field.
-        for i, part in enumerate((detect.sensitive_files(texts.select(*keep, "path", "source_filename")).drop("source_filename"),
-                                  detect.keywords(texts.select(*keep, "path", "text"), carry=keep))):
-            parts.append(part.select(*keep, "detector", "type", "severity", "action", "location", "value", "value_preview",
-                                     F.lit(len(rules) + i).alias("rule_no"), F.lit(0).alias("match_no")))
-    if not parts:
+    if not rules and not cfg.detect_proprietary:
         raise ValueError("every detector is switched off")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # Rules, file names and keywords are arms of one array: the prepared text is evaluated once.
+    out = detect.scan(texts, rules, "text", "path", keep=keep, stop_at_block=cfg.stop_at_block and not cfg.entropy_gate,
+                      proprietary="source_filename" if cfg.detect_proprietary else None)
     if cfg.entropy_gate:
         out = detect.entropy_gate(out, rules)
     out = cfg.plugins.run_detectors(texts, out)
@@ -80,7 +71,7 @@ def scan_texts(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig | None = N
         found = _scan_distinct(x, keys, cfg)
     else:
         found = _detect(x, keys, cfg)
-    if cfg.stop_at_block and (cfg.detect_proprietary or cfg.entropy_gate or cfg.plugins.detectors):  # else cut inside the row
+    if cfg.stop_at_block and (cfg.entropy_gate or cfg.plugins.detectors):  # else cut inside the row
         found = detect.stop_after_block(found, [*keys, "field_no", "variant"])
     found = policy.collapse(found, keys, ORDER)
     return found.withColumn("action", policy.resolve_action(cfg.overrides, cfg.default_action))
