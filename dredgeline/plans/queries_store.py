@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -168,6 +169,23 @@ def _s13(spark, sf):
     return stores.export_rules(_rules(spark, sf), tier="custom", detector="ECONOMY").select("rule_id", "name", "severity")
 
 
+@query("s05_rule_bundle", f"SELECT doc_id, type, sha256(value) AS value_hash FROM {HITS}")
+def _s05(spark, sf):
+    """The rule table as a bundle, with a broken rule added: written, read back, scanned."""
+    path = work_dir(spark, "bundle")
+    named = detect.rules_frame(spark, [*RULES, replace(RULES[0], name="broken", pattern="(?P<x>[a-z", rule_id=10_000)]).orderBy("rule_id")
+    named.agg(F.collect_list(F.struct("name", "pattern", "detector", "severity", "action", "tier", "description", "tags", "validator", "entropy_context")).alias("rules")).write.mode("overwrite").json(path)
+    rules = detect.active_rules(detect.rules_from_frame(stores.read_rule_bundle(spark, path).where("valid")))
+    return seeded_findings(spark, sf, rules).select("doc_id", "type", F.sha2("value", 256).alias("value_hash"))
+
+
+@query("s08_baseline_source", f"SELECT detector, type, CAST(doc_id AS STRING) AS file, sha256(value) AS value_hash FROM {HITS}")
+def _s08(spark, sf):
+    path = work_dir(spark, "baseline")
+    stores.write_baseline(seeded_findings(spark, sf).withColumn("file", F.col("doc_id").cast("string")), path)
+    return stores.read_baseline(spark, path)
+
+
 _CONN = "SELECT o_orderkey AS id, epoch(o_orderdate) AS connected_at, o_totalprice / 1000 AS duration_seconds, o_custkey % 50 AS frames_sent, o_custkey % 70 AS frames_received, o_orderkey % 4 AS findings_count FROM orders"
 
 
