@@ -15,8 +15,9 @@ write against entries that lists would have scanned, summed by set size over the
 
 Links inside a list: first every member is checked against the list's smallest member. What is
 linked by then is one component, and only members of different components are paired further, so a
-group of many near copies never makes all its pairs. Pairs are cut by size and by position in the
-prefix, then checked exactly on the whole texts.
+group of many near copies never makes all its pairs. Pairs are cut by size, by position in the
+prefix and by a parity sketch of the whole sets (512 bins; bins of different parity each prove a
+shingle that only one set has), then checked exactly on the whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from dredgeline.llm.store import scratch
 N, PERCENT = 3, 90
 #: Cost of scanning an entry of a list, in keys written and shuffled.
 SCAN = 1 / 8
+#: Words of 64 bits in a set's parity sketch.
+PARITY = 8
 #: Cells of the frequency sketch, in groups of SLAB that are added up together.
 CELLS, SLAB = 1 << 20, 1 << 12
 LAST = 2**63 - 1
@@ -114,23 +117,25 @@ def slack(size: int | np.ndarray | Column, percent: int) -> Column | int | np.nd
 
 
 def _prefix(n: int, percent: int, levels):
-    names = ["did", "th", "size", "prefix", "scanned"]
+    names = ["did", "th", "size", "prefix", "scanned", *(f"p{k}" for k in range(PARITY))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
             did, th = batch.column("did"), batch.column("th")
             for i, j, sets in _sets(batch, n):
-                keep, cost = [], []
-                for s in sets:
+                keep, cost, parity = [], [], np.zeros((len(sets), PARITY), np.int64)
+                for k, s in enumerate(sets):
+                    odd = np.bincount((s >> np.uint64(21) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+                    parity[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
                     lv = level[(s % np.uint64(CELLS)).astype(np.int64)]
                     p = s[np.lexsort((s, lv))[: slack(len(s), percent) + 2]]
                     keep.append(p.tobytes())
                     # Entries that the lists of this prefix are expected to hold beside the set's own.
                     cost.append(float((np.exp2(np.sort(lv)[: len(p)].astype(np.float64)) - 1).sum()))
-                yield pa.record_batch([did.slice(i, j - i), th.slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array(keep, pa.binary()), pa.array(cost, pa.float64())], names=names)
+                yield pa.record_batch([did.slice(i, j - i), th.slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array(keep, pa.binary()), pa.array(cost, pa.float64()), *(pa.array(np.ascontiguousarray(x)) for x in parity.T)], names=names)
 
-    return rows, "did long, th long, size int, prefix binary, scanned double"
+    return rows, "did long, th long, size int, prefix binary, scanned double, " + ", ".join(f"p{k} long" for k in range(PARITY))
 
 
 def boundary(prefixes: DataFrame, percent: int) -> int:
@@ -181,12 +186,24 @@ def _check(n: int, percent: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (W.utf8(batch.column(c)) for c in ("text_a", "text_b"))
+            ids = [batch.column(c).to_numpy() for c in ("a", "b")]
+            texts = [W.utf8(batch.column(c)) for c in ("text_a", "text_b")]
             linked = []
-            for k in range(len(batch)):
-                x, y = (shingles(W.LOWER[d[o[k] : o[k + 1]]], np.array([0, o[k + 1] - o[k]]), n)[0] for d, o in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            for i, j in W.chunks(texts[0][1] + texts[1][1]):
+                sides = []
+                for own, (data, off) in zip(ids, texts, strict=True):
+                    # A text stands in many pairs: each is cut once a chunk, all in one go.
+                    _, one, back = np.unique(own[i:j], return_index=True, return_inverse=True)
+                    parts = [data[off[i + k] : off[i + k + 1]] for k in one]
+                    sets = shingles(W.LOWER[np.concatenate(parts)], np.concatenate(([0], np.cumsum([len(p) for p in parts]))), n)
+                    sides.append((sets, back))
+                for k in range(j - i):
+                    x, y = (sets[back[k]] for sets, back in sides)
+                    if len(x) > len(y):
+                        x, y = y, x
+                    at = np.searchsorted(y, x)
+                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=names)
 
     return rows, "a long, b long, linked boolean"
@@ -199,6 +216,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & ((100 + percent) * common >= percent * (sa + sb))
 
 
+def _parities_agree(a: str, b: str, percent: int) -> Column:
+    """False only for sets that cannot link: bins of different parity hold at least one shingle of one set alone."""
+    apart = sum(F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(PARITY))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+
+
 def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with did, th, size and fp; links (a, b) found between classes; classes (fp, component label))."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), F.col("text"))
@@ -231,13 +254,14 @@ def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple
     first = verify(star.select(F.col("h.fp").alias("a"), F.col("l.fp").alias("b")).distinct(), "star")
     label = components(first.where("linked").select("a", "b"))
     # Pairs of different components in one list that were not checked yet.
-    member = lists.select("key", "fp", "size", "pos").join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    several = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    member = scratch(member.join(several, "key"), "members")
+    about = prefixes.select("fp", *(f"p{k}" for k in range(PARITY))).join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = lists.select("key", "fp", "size", "pos").join(scratch(about, "labels"), "fp")
+    several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    member = scratch(labelled.join(several, "key"), "members")
     x = member.where((2 * percent) * F.col("size") <= (100 + percent) * (F.col("size") - F.col("pos"))).alias("x")  # the smaller of a pair needs no more of its prefix
     y = member.alias("y")
     order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.fp") < F.col("y.fp")))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & order & _may_link("x", "y", percent))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & order & _may_link("x", "y", percent) & _parities_agree("x", "y", percent))
     cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = verify(cross, "cross")
     links = first.unionAll(second).where("linked").select("a", "b")
