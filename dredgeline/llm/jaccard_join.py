@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from dredgeline.llm import words as W
@@ -254,15 +255,18 @@ def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple
     first = verify(star.select(F.col("h.fp").alias("a"), F.col("l.fp").alias("b")).distinct(), "star")
     label = components(first.where("linked").select("a", "b"))
     # Pairs of different components in one list that were not checked yet.
-    about = prefixes.select("fp", *(f"p{k}" for k in range(PARITY))).join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    labelled = lists.select("key", "fp", "size", "pos").join(scratch(about, "labels"), "fp")
+    label = scratch(label.select(F.col("node").alias("fp"), "label"), "labels")
+    labelled = lists.select("key", "fp", "size", "pos").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    member = scratch(labelled.join(several, "key"), "members")
+    # A pair stands in all lists that both are in; it is made in the first of them, by the order that all sets share.
+    earlier = Win.partitionBy("fp").orderBy("pos", "key").rowsBetween(Win.unboundedPreceding, -1)
+    member = labelled.join(several, "key").withColumn("earlier", F.collect_list("key").over(earlier))
+    member = scratch(member.join(prefixes.select("fp", *(f"p{k}" for k in range(PARITY))), "fp"), "members")
     x = member.where((2 * percent) * F.col("size") <= (100 + percent) * (F.col("size") - F.col("pos"))).alias("x")  # the smaller of a pair needs no more of its prefix
     y = member.alias("y")
     order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.fp") < F.col("y.fp")))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & order & _may_link("x", "y", percent) & _parities_agree("x", "y", percent))
-    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & order & _may_link("x", "y", percent) & _parities_agree("x", "y", percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = verify(cross, "cross")
     links = first.unionAll(second).where("linked").select("a", "b")
     label = components(links)
