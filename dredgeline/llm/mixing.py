@@ -153,7 +153,7 @@ def plan(slim: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     inside = Win.partitionBy("__s", "__no", "__block", "e").orderBy("__key")
     cut = cut.groupBy("__s", "__no", "__block", "e", "room", "__key").agg(F.sum("size").alias("size"))  # rows of one id go together
     cut = cut.withColumn("sum", F.sum("size").over(inside)).where("sum <= room").groupBy("__s", "__no", "__block", "e").agg(F.max("__key").alias("upto"), F.max("sum").alias("part"))
-    quotas = split_quotas(drawn.groupBy("i").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
+    quotas = scratch(split_quotas(drawn.groupBy("i").agg(F.count(F.lit(1)).alias("quota")), shards, seed), "mix-quotas")
     ranks = quotas.where("n > 0").select("i", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
     drawn = drawn.join(ranks, ["i", "rank"], "left").join(cut, ["__s", "__no", "__block", "e"], "left")
     upto = F.when(F.col("words") <= F.col("room"), F.lit(ALL)).otherwise(F.coalesce("upto", F.lit(-1)))
