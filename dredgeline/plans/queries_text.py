@@ -315,10 +315,10 @@ def _e16(spark, sf):
 @query("e17_session_identity", f"""
 WITH l AS (SELECT doc_id, max(CASE WHEN k = 0 THEN line END) AS l0, max(CASE WHEN k = 1 THEN line END) AS l1,
    max(CASE WHEN k = 2 THEN line END) AS l2 FROM {LINES_SQL} q GROUP BY doc_id),
-p AS (SELECT doc_id, concat('anthropic', chr(10), substr(l0, 1, 512), CASE WHEN l1 IS NOT NULL THEN concat(chr(10), substr(l1, 1, 512)) ELSE '' END,
-   CASE WHEN l2 IS NOT NULL THEN concat(chr(10), substr(l2, 1, 512)) ELSE '' END) AS s FROM l)
+p AS (SELECT doc_id, concat('anthropic', chr(10), l0, CASE WHEN l1 IS NOT NULL THEN concat(chr(10), l1) ELSE '' END,
+   CASE WHEN l2 IS NOT NULL THEN concat(chr(10), l2) ELSE '' END) AS s FROM l)
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('hdr', CAST(doc_id AS STRING)) WHEN 1 THEN concat('meta', CAST(doc_id AS STRING))
-   ELSE concat('fp:', substr(sha256(s), 1, 12)) END AS session_id,
+   ELSE concat('fp:', sha256(s)) END AS session_id,
  CASE doc_id % 4 WHEN 1 THEN concat('acct', CAST(doc_id AS STRING)) WHEN 2 THEN 'plain' ELSE '' END AS account_id,
  CASE WHEN doc_id % 2 = 0 THEN '1.2.3.4' ELSE '9.9.9.9' END AS source_ip_resolved FROM p""")
 def _e17(spark, sf):
