@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of every group of near copies."""
-    return jaccard_join.drop_near_copies(docs)
+    """One document, that with the smallest doc_id, of every group of near copies: sets of five-word shingles that agree by 0.8."""
+    return jaccard_join.drop_near_copies(docs, n=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from dredgeline.llm import words as W
 from dredgeline.llm.components import components
 from dredgeline.llm.store import scratch
 
+#: The contract of op10_ngram_jaccard; the pipeline's stage takes 5 and 80.
 N, PERCENT = 3, 90
 #: Cost of scanning an entry of a list, in keys written and shuffled.
 SCAN = 1 / 8
