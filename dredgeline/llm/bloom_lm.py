@@ -5,10 +5,14 @@ arrays, one row per hash bucket; a bucket's reducer merges them. Everything is c
 training texts.
 
 Filter: a count c is quantised to 1 + floor(log2 c) levels, and an n-gram goes into the filter once
-for every level up to its own. A reader probes level after level until a miss; false positives can only
-raise a count, each further level with the filter's error rate once more. Each bucket
-has a segment of ``BITS`` bits for each entry, but all segments together hold ``FILTER_MB`` at most
-(beyond that the error rate rises with the corpus), so the broadcast is bounded.
+for every level up to its own. A reader probes level after level until a miss or the highest level of the
+segment; false positives can only raise a count, each further level with the filter's error rate once
+more. Each bucket has a segment of ``BITS`` bits for each entry, whatever the corpus, so the error rate
+stays the same.
+
+Reading: segments of up to ``FILTER_MB`` in all are broadcast. A larger filter stays where it is: texts are
+packed into groups of about ``GROUP`` bytes, a group's distinct n-grams go to the segments of their
+buckets, and their levels come back to the group as one byte each.
 
 Scores: the pair's count is smoothed towards the word's share, P(w|h) = (c(hw) + mu P(w)) / (c(h) + mu)
 with all counts read from the filter. The base score needs exact counts: the ``TOP`` most frequent words are
@@ -18,6 +22,7 @@ broadcast, all others are joined.
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +34,17 @@ from dredgeline.llm import words as W
 from dredgeline.llm.store import scratch
 
 BUCKETS, BITS, FILTER_MB, TOP, MU = 512, 10, 64, 1 << 20, 400.0
+#: Largest segment in bits, 1 GB: a binary value of Spark and Arrow holds less than 2 GB.
+MOST = 1 << 33
+#: Bytes of text in a group, and groups whose n-grams meet a segment at once.
+GROUP, ASKING = 4 << 20, 4096
+#: N-grams looked up at once in a segment.
+PROBED = 1 << 18
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 WORD, PAIR = 0, 1
 SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+#: Bits of a key that a segment goes by: five bytes, which a million others in it share with a chance of 1e-6.
+INSIDE = np.uint64((1 << 40) - 1)
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 1_500_000
 
@@ -99,7 +112,7 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def _places(keys: np.ndarray, lv: int, bits: np.ndarray, probes: int) -> Iterator[np.ndarray]:
-    h = W.mix(keys + np.array([lv], np.uint64) * W.K2)
+    h = W.mix((keys & INSIDE) + np.array([lv], np.uint64) * W.K2)
     step = W.mix(h ^ W.K1) | np.uint64(1)
     for _ in range(probes):
         yield (h % bits).astype(np.int64)
@@ -107,7 +120,7 @@ def _places(keys: np.ndarray, lv: int, bits: np.ndarray, probes: int) -> Iterato
 
 
 def _build(bits_each: int, most: int, probes: int):
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("distinct", pa.int64()), ("total", pa.int64()), ("entries", pa.int64()), ("segment", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("distinct", pa.int64()), ("total", pa.int64()), ("entries", pa.int64()), ("top", pa.int64()), ("segment", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def segment(group: pa.Table) -> pa.Table:
         ks, cs = [], []
@@ -117,32 +130,35 @@ def _build(bits_each: int, most: int, probes: int):
             cs.append(np.frombuffer(raw, np.uint8 if len(raw) == len(ks[-1]) else np.int64).astype(np.int64))
         k, c = _sum(ks, cs)
         lv = level(c)
-        size = max(8, min(most, bits_each * int(lv.sum())) // 8)
+        size = max(8, -(-bits_each * int(lv.sum()) // 8))
+        if size * 8 > most:
+            raise ValueError(f"a segment of {size} bytes: more BUCKETS are needed")
         seg = np.zeros(size, np.uint8)
         for j in range(1, int(lv.max(initial=0)) + 1):
             for at in _places(k[lv >= j], j, np.uint64(size * 8), probes):
                 np.bitwise_or.at(seg, at >> 3, (1 << (at & 7)).astype(np.uint8))
         kind = group.column("kind")[0].as_py()
         word = kind == WORD
-        return pa.table([[kind], [group.column("bucket")[0].as_py()], [len(k)], [int(c.sum())], [int(lv.sum())], [seg.tobytes()], [k.tobytes() if word else b""], [c.tobytes() if word else b""]], schema=schema)
+        return pa.table([[kind], [group.column("bucket")[0].as_py()], [len(k)], [int(c.sum())], [int(lv.sum())], [int(lv.max(initial=0))], [seg.tobytes()], [k.tobytes() if word else b""], [c.tobytes() if word else b""]], schema=schema)
 
-    return segment, "kind int, bucket int, distinct long, total long, entries long, segment binary, keys binary, counts binary"
+    return segment, "kind int, bucket int, distinct long, total long, entries long, top long, segment binary, keys binary, counts binary"
 
 
 class Filter:
-    """Quantised counts of both orders; picklable, of bounded size."""
+    """Quantised counts of both orders; picklable."""
 
     def __init__(self, probes: int) -> None:
         self.probes = probes
         self.bits = np.full(2 * BUCKETS, 1, np.uint64)
         self.start = np.full(2 * BUCKETS, -1, np.int64)
+        self.top = np.zeros(2 * BUCKETS, np.int64)
         self.data = np.zeros(0, np.uint8)
 
     def fill(self, segments: Iterator) -> "Filter":
         parts, at = [], 0
         for r in segments:
             slot = r.kind * BUCKETS + r.bucket
-            self.bits[slot], self.start[slot] = len(r.segment) * 8, at
+            self.bits[slot], self.start[slot], self.top[slot] = len(r.segment) * 8, at, r.top
             parts.append(r.segment)
             at += len(r.segment)
         self.data = np.frombuffer(b"".join(parts), np.uint8)
@@ -150,6 +166,9 @@ class Filter:
 
     def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Expected count of each n-gram, 0 if its first level misses."""
+        return expected(self.levels(keys, kind))
+
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         slot = (keys >> SHIFT).astype(np.int64) + kind * BUCKETS
         lv = np.zeros(len(keys), np.int64)
         live = np.flatnonzero(self.start[slot] >= 0)
@@ -162,55 +181,152 @@ class Filter:
             live = live[there]
             lv[live] = j
             j += 1
-        return np.where(lv > 0, (np.exp2(lv - 1) + np.exp2(lv) - 1) / 2, 0.0)
+            live = live[self.top[slot[live]] >= j]
+        return lv
+
+
+def expected(lv: np.ndarray) -> np.ndarray:
+    lv = lv.astype(np.float64)
+    return np.where(lv > 0, (np.exp2(lv - 1) + np.exp2(lv) - 1) / 2, 0.0)
 
 
 def _places_of(keys: np.ndarray, lv: int, bits: np.ndarray, probes: int):
     """As :func:`_places`, each probe only for the keys that are left."""
-    h = W.mix(keys + np.array([lv], np.uint64) * W.K2)
+    h = W.mix((keys & INSIDE) + np.array([lv], np.uint64) * W.K2)
     step = W.mix(h ^ W.K1) | np.uint64(1)
     for i in range(probes):
         yield lambda k, i=np.uint64(i): ((h[k] + i * step[k]) % bits[k]).astype(np.int64)
 
 
-def _score(model, top, total: int, distinct: int, mu: float):
+def _scorer(keys: np.ndarray, exact: np.ndarray, total: int, distinct: int, mu: float):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"]
     rest_type = pa.struct([("h", pa.int64()), ("n", pa.int32())])
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<h:long,n:int>>"
+    table, below = W.Lookup(keys), total + 0.5 * (distinct + 1)
+
+    def score(doc_id, held, data: np.ndarray, off: np.ndarray, counts) -> pa.RecordBatch:
+        """Scores of the texts in ``data``; ``counts`` reads the filter for sorted distinct n-grams of a kind."""
+        t, row = tokens(data, off)
+        doc = np.repeat(np.arange(len(row) - 1), np.diff(row))
+        k, back = np.unique(t, return_inverse=True)
+        at = table.find(k)
+        found = at >= 0
+        base = np.where(found, np.log10((np.where(found, exact[at], 0) + 0.5) / below), 0.0)
+        word = counts(k, WORD)
+        share = (word + 0.5) / below
+        g, second = pairs(t, row)
+        gk, gback = np.unique(g, return_inverse=True)
+        pair = counts(gk, PAIR)[gback]
+        p = share[back]
+        before = word[back[second - 1]]
+        p[second] = (np.minimum(pair, before) + mu * p[second]) / (before + mu)
+        n = len(row) - 1
+        # Words beyond the broadcast table, per document.
+        left = np.flatnonzero(~found[back])
+        pos, times = np.unique(doc[left] * np.int64(len(k)) + back[left], return_counts=True)
+        each = np.bincount(pos // max(1, len(k)), minlength=n)
+        rest = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(each))).astype(np.int32), pa.StructArray.from_arrays([k[pos % max(1, len(k))].view(np.int64), pa.array(times, pa.int32())], fields=list(rest_type)))
+        return pa.record_batch([
+            doc_id, held, np.diff(row), np.bincount(doc, found[back], n).astype(np.int64),
+            np.bincount(doc, base[back], n), np.bincount(doc, np.log10(p), n), rest,
+        ], names=names)
 
+    return score
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<h:long,n:int>>"
+
+
+def _score(model, top, total: int, distinct: int, mu: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, exact = top.value
-        table, lm = W.Lookup(keys), model.value
-        below = total + 0.5 * (distinct + 1)
+        score, lm = _scorer(*top.value, total, distinct, mu), model.value
         for batch in batches:
             data, off = W.utf8(batch.column("text"))
             for i, j in W.chunks(off):
-                t, row = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                doc = np.repeat(np.arange(len(row) - 1), np.diff(row))
-                k, back = np.unique(t, return_inverse=True)
-                at = table.find(k)
-                found = at >= 0
-                base = np.where(found, np.log10((np.where(found, exact[at], 0) + 0.5) / below), 0.0)
-                word = lm.counts(k, WORD)
-                share = (word + 0.5) / below
-                g, second = pairs(t, row)
-                gk, gback = np.unique(g, return_inverse=True)
-                pair = lm.counts(gk, PAIR)[gback]
-                p = share[back]
-                before = word[back[second - 1]]
-                p[second] = (np.minimum(pair, before) + mu * p[second]) / (before + mu)
-                n = len(row) - 1
-                # Words beyond the broadcast table, per document.
-                left = np.flatnonzero(~found[back])
-                pos, times = np.unique(doc[left] * np.int64(len(k)) + back[left], return_counts=True)
-                each = np.bincount(pos // max(1, len(k)), minlength=n)
-                rest = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(each))).astype(np.int32), pa.StructArray.from_arrays([k[pos % max(1, len(k))].view(np.int64), pa.array(times, pa.int32())], fields=list(rest_type)))
-                yield pa.record_batch([
-                    batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), np.diff(row), np.bincount(doc, found[back], n).astype(np.int64),
-                    np.bincount(doc, base[back], n), np.bincount(doc, np.log10(p), n), rest,
-                ], names=names)
-
-    return rows, ddl
+                yield score(batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], lm.counts)
+
+    return rows, SCORED
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a group of texts; its number is the partition's and its place in that."""
+    from pyspark import TaskContext
+
+    grp = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        data, off = W.utf8(batch.column("text"))
+        for i, j in W.chunks(off, GROUP):
+            part = batch.slice(i, j - i)
+            yield pa.record_batch([pa.array([grp], pa.int64()), *(pa.array([part.column(c).to_pylist()], t) for c, t in (("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())))),
+                                   pa.array([(off[i : j + 1] - off[i]).tolist()], pa.list_(pa.int64())), pa.array([pa.compress(data[off[i] : off[j]].tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["grp", "ids", "held", "off", "data"])
+            grp += 1
+
+
+def _text(data: pa.Scalar, off: np.ndarray) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data.as_py(), int(off[-1]), codec="zstd", asbytes=True), np.uint8) if off[-1] else np.zeros(0, np.uint8)
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for grp, off, data in zip(batch.column("grp"), batch.column("off"), batch.column("data"), strict=True):
+            off = off.values.to_numpy()
+            t, row = tokens(_text(data, off), off)
+            for kind, g in ((WORD, t), (PAIR, pairs(t, row)[0])):
+                k = np.unique(g)
+                cut = np.searchsorted(k >> SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cut))
+                k = k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # INSIDE
+                yield pa.record_batch([pa.array(np.full(len(some), grp.as_py()), pa.int64()), pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()), pa.array([k[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], names=["grp", "kind", "bucket", "asked"])
+
+
+def _answer(probes: int):
+    schema = pa.schema([("grp", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary())])
+
+    def levels(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        if not len(asked):
+            return schema.empty_table()
+        lm = Filter(probes).fill(Segment(*r.values()) for r in segment.select(Segment._fields).to_pylist())
+        kind, bucket = (asked.column(c)[0].as_py() for c in ("kind", "bucket"))
+        asks = [k.as_py() for k in asked.column("asked")]
+        raw = np.frombuffer(b"".join(asks), np.uint8).reshape(-1, 5)
+        lv = np.zeros(len(raw), np.uint8)
+        for i in range(0, len(raw), PROBED):
+            k = np.zeros((len(raw[i : i + PROBED]), 8), np.uint8)
+            k[:, :5] = raw[i : i + PROBED]
+            lv[i : i + PROBED] = lm.levels(k.view("<u8").ravel() | np.uint64(bucket) << SHIFT, kind)
+        end = np.cumsum([len(x) // 5 for x in asks])
+        found = [lv[e - len(x) // 5 : e].tobytes() for e, x in zip(end, asks, strict=True)]
+        return pa.table([asked.column("grp"), asked.column("kind"), asked.column("bucket"), pa.array(found, pa.binary())], schema=schema)
+
+    return levels, "grp long, kind int, bucket int, levels binary"
+
+
+Segment = namedtuple("Segment", "kind bucket top segment")
+
+
+def _score_group(top, total: int, distinct: int, mu: float):
+    def scores(group: pa.Table, answers: pa.Table) -> pa.Table:
+        score = _scorer(*top.value, total, distinct, mu)
+        # Buckets are the leading bits of a key: in their order, levels stand as sorted distinct keys do.
+        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "levels")), strict=True))
+        by = {kind: expected(np.frombuffer(b"".join(x for k, _, x in got if k == kind), np.uint8)) for kind in (WORD, PAIR)}
+        one = group.select(["ids", "held", "off", "data"]).slice(0, 1)
+        ids, held, off, data = (one.column(c)[0] for c in one.column_names)
+        return pa.Table.from_batches([score(ids.values, held.values, _text(data, off.values.to_numpy()), off.values.to_numpy(), lambda _, kind: by[kind])])
+
+    return scores, SCORED
+
+
+def score_by_join(rows: DataFrame, segments: DataFrame, top, probes: int, total: int, distinct: int, mu: float) -> DataFrame:
+    """As a broadcast of the filter would score ``rows``, with each n-gram sent to its segment."""
+    groups = scratch(rows.mapInArrow(_pack, "grp long, ids array<long>, held array<boolean>, off array<long>, data binary"), "lm-groups")
+    turns = max(1, -(-groups.count() // ASKING))
+    asked = groups.select("grp", "off", "data").mapInArrow(_ask, "grp long, kind int, bucket int, asked binary").withColumn("turn", F.pmod(F.xxhash64("grp"), F.lit(turns)).cast("int"))
+    read = segments.select(*Segment._fields).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    key = ["kind", "bucket", "turn"]
+    fn, ddl = _answer(probes)
+    answers = asked.groupBy(key).cogroup(read.groupBy(key)).applyInArrow(fn, ddl)
+    fn, ddl = _score_group(top, total, distinct, mu)
+    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(fn, ddl)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +341,13 @@ def score_texts(docs: DataFrame, held: Column | None = None, mu: float = MU, fil
     Learns from the rows that ``held`` does not mark. Null text is the empty text: one end token. A
     repeated row counts each time and is scored each time; a null doc_id stays null. With no
     training row every count is 0. An empty table gives an empty table; other columns are ignored.
+    The scores do not depend on ``filter_mb``, the size up to which the filter is broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (held_out(F.col("doc_id")) if held is None else held).alias("held_out"))
-    most, probes = filter_mb * 2**23 // (2 * BUCKETS), 4
+    probes = 4
     counted = rows.where(~F.col("held_out")).select("text").mapInArrow(_count, "kind int, bucket int, keys binary, counts binary")
-    segments = scratch(counted.groupBy("kind", "bucket").applyInArrow(*_build(BITS, most, probes)), "lm-segments")
+    segments = scratch(counted.groupBy("kind", "bucket").applyInArrow(*_build(BITS, MOST, probes)), "lm-segments")
     total, distinct = segments.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     words = segments.where(F.col("kind") == WORD).select("keys", "counts").mapInArrow(_words, "h long, c long")
     # The smallest count whose words all fit the broadcast table.
@@ -243,9 +360,14 @@ def score_texts(docs: DataFrame, held: Column | None = None, mu: float = MU, fil
         bar = c
     frequent = words.where(F.col("c") >= bar).toArrow()
     known = (frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy())
-    model = spark.sparkContext.broadcast(Filter(probes).fill(segments.select("kind", "bucket", "segment").toLocalIterator()))
-    fn, ddl = _score(model, spark.sparkContext.broadcast(known), total, distinct, mu)
-    scored = scratch(rows.mapInArrow(fn, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    top_words = spark.sparkContext.broadcast(known)
+    if segments.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0] <= filter_mb << 20:
+        model = spark.sparkContext.broadcast(Filter(probes).fill(segments.select("kind", "bucket", "top", "segment").toLocalIterator()))
+        fn, ddl = _score(model, top_words, total, distinct, mu)
+        scores = rows.mapInArrow(fn, ddl)
+    else:
+        scores = score_by_join(rows, segments, top_words, probes, total, distinct, mu)
+    scored = scratch(scores.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.n").join(words.where(F.col("c") < bar), "h", "left")
     below = float(total + 0.5 * (distinct + 1))
     more = rest.groupBy("row").agg(

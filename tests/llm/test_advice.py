@@ -54,3 +54,29 @@ def test_stage_drops_near_copies_of_five_words(spark):
     same(kept.select("doc_id"), [(x[0],) for x, c in zip(rows, smallest_ids(rows, 5, 80)) if c is None or c == x[0]])
     ids = {x.doc_id for x in kept.select("doc_id").collect()}
     assert 1000 in ids and not ids & {1001, 1002, 1003, 1004, 1005, 1006}
+
+
+def test_scores_do_not_depend_on_the_broadcast_bound(spark, monkeypatch):
+    """The filter has its 10 bits an entry on both sides of the bound, and unseen pairs miss there."""
+    from dredgeline.llm import bloom_lm
+
+    monkeypatch.setattr(bloom_lm, "GROUP", 4000)
+    monkeypatch.setattr(bloom_lm, "ASKING", 3)
+    docs = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+    by = {mb: sorted(map(tuple, bloom_lm.score_texts(docs, filter_mb=mb).collect()), key=repr) for mb in (64, 0)}
+    assert len(by[0]) == len(by[64]) == len(corpus())
+    for x, y in zip(by[0], by[64]):
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:])
+
+
+def test_probes_end_at_the_highest_level():
+    """A full segment answers with its highest level instead of probing on."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from dredgeline.llm import bloom_lm
+
+    full = [SimpleNamespace(kind=bloom_lm.PAIR, bucket=b, top=3, segment=b"\xff" * 8) for b in range(bloom_lm.BUCKETS)]
+    keys = np.arange(100, dtype=np.uint64) << np.uint64(56)
+    assert set(bloom_lm.Filter(4).fill(iter(full)).levels(keys, bloom_lm.PAIR)) == {3}
