@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dredgeline.llm import bloom_lm, bpe, chat, jaccard_join, knn_quality, mixing, quality_rules, store, substring_dedup, token_files, topk
+from dredgeline.llm import bloom_lm, bpe, chat, filter_audit, jaccard_join, knn_quality, mixing, quality_rules, store, substring_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,6 +165,35 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return knn_quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT *, min(doc_id) OVER (PARTITION BY t) < doc_id AS again FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN again THEN 'E' ELSE '' END AS fails,
+  coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM e LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, filter_order[1:step - 1] AS done, filter_order[step:step] AS x FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)),
+r AS (SELECT part, filter_order, CAST(step AS INT) AS step, x,
+  sum(CASE WHEN translate(fails, done || x, '') = fails THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN translate(fails, done, '') = fails AND contains(fails, x) THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN translate(fails, done, '') <> fails AND contains(fails, x) THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN translate(fails, done, '') = fails AND contains(fails, x) THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN translate(fails, done, '') = fails AND contains(fails, x) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
