@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dredgeline.llm import bloom_lm, bpe, chat, filter_audit, jaccard_join, knn_quality, mixing, quality_rules, store, substring_dedup, token_files, topk
+from dredgeline.llm import bloom_lm, bpe, chat, filter_audit, fingerprints, jaccard_join, knn_quality, mixing, quality_rules, store, substring_dedup, token_files, topk, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,6 +194,39 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf, "documents"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out as common table expressions."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, part, min(far * {entries} + entry) % {entries} AS entry, min(far) AS far FROM (
+  SELECT p.r, p.part, c.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))) AS far FROM p JOIN c{k} c ON p.part = c.part) GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, entry, i, sum(y)::BIGINT AS s, count(*) AS n FROM (
+  SELECT a.part, a.entry, generate_subscripts(p.x, 1) AS i, unnest(p.x) AS y FROM a{k} a JOIN p ON a.r = p.r AND a.part = p.part) GROUP BY part, entry, i),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN
+  (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{k} GROUP BY part, entry) m ON c.part = m.part AND c.entry = m.entry)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)),
+p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS x FROM (SELECT *, unnest(range({parts})) AS part FROM v)),
+c0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries}),
+{",".join(steps)},
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN v USING (r), b
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
