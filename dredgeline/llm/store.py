@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Spark's own setting: shuffle files go when the statement that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Statements run inside free their shuffle files at their end, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from those files.
 
     The lineage is cut, a lost executor costs no recomputation, and each later reader sees the
-    same rows. Every call takes a new path.
+    same rows. Every call takes a new path. The shuffles that made the table are not needed once it
+    stands, so their files are freed at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with without_old_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
