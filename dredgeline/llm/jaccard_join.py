@@ -41,6 +41,8 @@ N, PERCENT = 3, 90
 SCAN = 1 / 8
 #: Words of 64 bits in a set's parity sketch.
 PARITY = 8
+#: Keys of a set, the first in the common order, that a pair's first shared list is looked up in.
+FIRST = 64
 #: Cells of the frequency sketch, in groups of SLAB that are added up together.
 CELLS, SLAB = 1 << 20, 1 << 12
 LAST = 2**63 - 1
@@ -224,8 +226,13 @@ def _parities_agree(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
 
-def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with did, th, size and fp; links (a, b) found between classes; classes (fp, component label))."""
+def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with did, th, size and fp; links (a, b) between classes; classes (fp, component label, did)).
+
+    The links are those that make the components, not all there are: sets already in one component
+    are not compared again. With ``every`` all pairs that lists hold are compared and no link between
+    classes is missing, at the price of all pairs inside a group of near copies.
+    """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), F.col("text"))
     described = scratch(keyed.mapInArrow(*_describe(n)), "sets")
     classes = described.where("size > 0").groupBy("fp").agg(F.min(F.struct("did", "th")).alias("r"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")).select("fp", "r.did", "r.th", "size", "copies")
@@ -258,20 +265,23 @@ def linked_classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple
     # Pairs of different components in one list that were not checked yet.
     label = scratch(label.select(F.col("node").alias("fp"), "label"), "labels")
     labelled = lists.select("key", "fp", "size", "pos").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    if every:
+        labelled = labelled.withColumn("label", F.col("fp"))
     several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    # A pair stands in all lists that both are in; it is made in the first of them, by the order that all sets share.
-    earlier = Win.partitionBy("fp").orderBy("pos", "key").rowsBetween(Win.unboundedPreceding, -1)
-    member = labelled.join(several, "key").withColumn("earlier", F.collect_list("key").over(earlier))
+    # A pair stands in all lists that both are in. It is made where none of the first keys, in the order that all sets share, comes earlier in both.
+    order = Win.partitionBy("fp").orderBy("pos", "key")
+    member = labelled.join(several, "key").withColumn("first", F.when(F.row_number().over(order) <= FIRST, F.col("key")))
+    member = member.withColumn("earlier", F.collect_list("first").over(order.rowsBetween(Win.unboundedPreceding, -1))).drop("first")
     member = scratch(member.join(prefixes.select("fp", *(f"p{k}" for k in range(PARITY))), "fp"), "members")
     x = member.where((2 * percent) * F.col("size") <= (100 + percent) * (F.col("size") - F.col("pos"))).alias("x")  # the smaller of a pair needs no more of its prefix
     y = member.alias("y")
     order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.fp") < F.col("y.fp")))
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & order & _may_link("x", "y", percent) & _parities_agree("x", "y", percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
-    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = verify(cross, "cross")
     links = first.unionAll(second).where("linked").select("a", "b")
     label = components(links)
-    named = classes.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "did")
+    named = classes.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "did", F.col("th").alias("rep_th"))
     return described, links, named
 
 
@@ -291,10 +301,32 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     return out.select(F.nullif("did", F.lit(LAST)).alias("doc_id"), "th", F.col("size").alias("n_shingles"), F.nullif("component", F.lit(LAST)).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, n_links): with how many other rows of ``docs`` each one is linked, its equals included."""
+    described, links, _ = linked_classes(docs, n, percent, every=True)
+    rows = described.where("size > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("rows"))
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beyond = both.join(rows, F.col("b") == F.col("fp")).groupBy("a").agg(F.sum("rows").alias("beyond"))
+    per_class = rows.join(beyond, F.col("fp") == F.col("a"), "left").select("fp", (F.col("rows") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    out = described.join(per_class, "fp", "left")
+    return out.select(F.nullif("did", F.lit(LAST)).alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+
+
 def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of every component: that with its smallest doc_id. Rows without words all stay."""
-    found = jaccard_components(docs, n, percent)
-    lost = found.where("component_id < coalesce(doc_id, 9223372036854775807)").select("doc_id", "th").distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__th": F.xxhash64("text")})
-    kept = keyed.join(lost.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("th").alias("__th")), ["__id", "__th"], "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with exactly one row of every component; rows without words all stay.
+
+    It is a row with the smallest doc_id (null is the largest); of several rows with that id the one
+    with the least hash of its text, then the least hash of the whole row. All columns stay,
+    whatever their names.
+    """
+    described, _, named = linked_classes(docs, n, percent)
+    best = named.groupBy("label").agg(F.min(F.struct("did", "rep_th")).alias("best"))
+    of = named.join(best, "label").select("fp", "best")
+    fate = described.where("size > 0").groupBy("did", "th", "fp").agg(F.count(F.lit(1)).alias("rows")).join(of, "fp")
+    lost = F.struct("did", F.col("th").alias("rep_th")) != F.col("best")
+    # Only rows that go, or that have an equal row, need to meet the texts.
+    fate = fate.select(F.col("did").alias("fate_did"), F.col("th").alias("fate_th"), lost.alias("lost"), "rows").where("lost OR rows > 1")
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = packed.join(fate, (F.col("did") == F.col("fate_did")) & (F.col("th") == F.col("fate_th")), "left").where("lost IS NULL OR NOT lost")
+    place = F.row_number().over(Win.partitionBy("did", "th").orderBy(F.xxhash64("row"), F.to_json("row")))
+    return kept.withColumn("place", F.when(F.col("rows").isNull(), 1).otherwise(place)).where("place = 1").select("row.*")

@@ -7,34 +7,7 @@ import pytest
 pytest.importorskip("dredgeline.llm")
 pytest.importorskip("public_tokenizers")
 
-from test_llm import SCHEMA, corpus, lower, same  # noqa: E402
-
-
-def shingle_sets(rows, n):
-    out = []
-    for _, t, *_ in rows:
-        w = lower(t)
-        out.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
-    return out
-
-
-def smallest_ids(rows, n, percent):
-    """Per row the smallest doc_id that its links reach; None where that is null."""
-    sets, big, parent = shingle_sets(rows, n), 2**63 - 1, list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                parent[find(i)] = find(j)
-    least: dict = {}
-    for i, (d, *_) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), big), big if d is None else d)
-    return [None if least[find(i)] == big else least[find(i)] for i in range(len(rows))]
+from test_llm import SCHEMA, brute_components, corpus, same  # noqa: E402
 
 
 def test_stage_drops_near_copies_of_five_words(spark):
@@ -51,7 +24,8 @@ def test_stage_drops_near_copies_of_five_words(spark):
         rows.append((1000 + k, " ".join(w), "en", "s1", 1))
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
-    same(kept.select("doc_id"), [(x[0],) for x, c in zip(rows, smallest_ids(rows, 5, 80)) if c is None or c == x[0]])
+    found = brute_components(rows, 5, 80)
+    same(kept.select("doc_id"), [(c,) for c in {c for _, k, c in found if k}] + [(d,) for d, k, _ in found if not k])
     ids = {x.doc_id for x in kept.select("doc_id").collect()}
     assert 1000 in ids and not ids & {1001, 1002, 1003, 1004, 1005, 1006}
 

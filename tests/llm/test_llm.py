@@ -10,6 +10,7 @@ from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("dredgeline.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -180,7 +181,7 @@ def test_token_files(spark, docs, empty, monkeypatch):
 
 
 # ---- 3 -------------------------------------------------------------------------------------------
-def test_quality_rules(spark, docs, clashing, empty):
+def brute_quality(rows):
     def features(t):
         text = t or ""
         w = [x.decode() for x in ws(t)]
@@ -190,10 +191,15 @@ def test_quality_rules(spark, docs, clashing, empty):
         return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(lines), sum("A" <= c <= "Z" for c in text)
 
     want = []
-    for i, t, *_ in corpus():
+    for i, t, *_ in rows:
         n, chars, sym, dup, rep, lines, cap = features(t)
         base = n < 50 or 100 * rep > 50 * n
         want.append((i, n, chars, sym, dup, rep, base, not (base or 10 * sym > n or 2 * dup > lines or 2 * cap > chars or not 2 * n <= chars <= 15 * n)))
+    return want
+
+
+def test_quality_rules(spark, docs, clashing, empty):
+    want = brute_quality(corpus())
     same(quality_rules.judge(docs), want)
     kept = quality_rules.keep_good(clashing)
     assert kept.columns == clashing.columns
@@ -204,12 +210,16 @@ def test_quality_rules(spark, docs, clashing, empty):
 
 
 # ---- 4 -------------------------------------------------------------------------------------------
-def test_bpe_matches_the_library(docs, clashing, empty):
+def rank_library():
     import tiktoken
 
     with open(RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_matches_the_library(docs, clashing, empty):
+    library = rank_library()
     got = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True)
     same(got.selectExpr("doc_id", "ids", "CAST(decoded AS string)").rdd.map(lambda r: (r[0], tuple(r[1]), r[2])).toDF("doc_id long, ids array<int>, t string").selectExpr("doc_id", "array_join(CAST(ids AS array<string>), ',')", "t"),
          [(i, ",".join(map(str, library.encode_ordinary(t or ""))), t or "") for i, t, *_ in corpus()])
@@ -381,11 +391,12 @@ def test_top_k(spark):
 
 
 # ---- 10 ------------------------------------------------------------------------------------------
-def brute_components(rows, percent=90):
-    sets = []
-    for _, t, *_ in rows:
-        w = lower(t)
-        sets.append({tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set()))
+def shingle_sets(rows, n):
+    return [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()) for w in (lower(t) for _, t, *_ in rows)]
+
+
+def brute_components(rows, n=3, percent=90):
+    sets = shingle_sets(rows, n)
     n, big = len(rows), 2**63 - 1
     parent = list(range(n))
 
@@ -425,13 +436,27 @@ def test_jaccard_edges(spark, clashing, empty):
             else:
                 w[r.randrange(len(w))] = f"m{g}{k}"
     same(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id"), brute_components(rows))
-    kept = jaccard_join.drop_near_copies(clashing)
-    assert kept.columns == clashing.columns
     found = brute_components(corpus())
-    same(kept.select("doc_id"), [(d,) for d, _, c in found if c is None or c == d])
+    # One row of every component, whatever repeats; rows without words all stay.
+    want = [(c,) for c in {c for _, k, c in found if k and c is not None}] + [(d,) for d, k, _ in found if not k] + [(None,)]
+    for names in ({}, {"did": "__id", "th": "row", "key": "rows", "lo": "fate_did", "fp": "place", "found": "lost"}):
+        given = clashing.withColumnsRenamed(names)
+        kept = jaccard_join.drop_near_copies(given)
+        assert kept.columns == given.columns
+        same(kept.select("doc_id"), want)
+        assert kept.exceptAll(given).count() == 0
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.drop_near_copies(empty).count() == 0
 
 
+def test_every_link(spark, docs):
+    """No link between different texts is missing, also inside a component."""
+    rows = corpus()
+    sets = shingle_sets(rows, 3)
+    links = [sum(i != j and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) if a else 0 for i, a in enumerate(sets)]
+    assert max(links) > 8
+    same(jaccard_join.link_counts(docs), [(d, len(s), k) for (d, *_), s, k in zip(rows, sets, links)])
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(50)] + [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(200)] + [(5, 5), (7, 6)]
@@ -451,19 +476,36 @@ def test_components(spark):
 
 # ---- pipeline ------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, docs):
+    """Every stage against a brute-force version of it on what the one before kept; the mix against its report."""
     import corpus_pipeline as p
 
-    at, rows = docs, corpus()
+    at, library = docs, rank_library()
     for name, stage in p.STAGES:
         out = store.scratch(stage(spark, at, ""), "test-stage")
         if name != p.STAGES[-1][0]:
             assert out.columns == docs.columns
+        before = [tuple(r) for r in at.collect()]
+        if name == "quality rules":
+            same(out.select("doc_id", "text"), [(x[0], t) for x, (_, t, *_) in zip(brute_quality(before), before) if x[-1]])
         if name == "n-gram Jaccard join":
-            before = [tuple(r) for r in at.collect()]
-            same(out.select("doc_id"), [(d,) for d, _, c in brute_components(before) if c is None or c == d])
+            found = brute_components(before, 5, 80)
+            assert len(before) > out.count()
+            same(out.select("doc_id"), [(c,) for c in {c for _, k, c in found if k}] + [(d,) for d, k, _ in found if not k])
         if name == "substring dedup":
-            before = [tuple(r) for r in at.collect()]
             same(out.selectExpr("doc_id", "sha2(array_join(array_remove(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), ''), ' '), 256)"), [(i, h) for i, _, _, h in brute_substring(before)])
+        if name == "mixing sources":
+            taken = {r.doc_id: r.taken // r.size for r in mixing.mix_report(at).collect() if r.taken}
+            assert Counter(r.doc_id for r in out.select("doc_id").collect()) == taken
+            assert out.exceptAll(at.unionAll(at)).count() == 0
+        if name == "byte-level BPE":
+            same(out.select("doc_id", "n_tokens", F.array_join(F.col("ids").cast("array<string>"), ","), "round_trip"), [(r[0], len(x), ",".join(map(str, x)), True) for r in before for x in [library.encode_ordinary(r[1] or "")]])
         at = out
-    assert at.count() and at.where("NOT round_trip OR n_tokens <> size(ids)").count() == 0
-    assert len(rows) > at.count() > 0
+    assert len(corpus()) > at.count() > 0
+
+
+def test_pipeline_on_no_rows(spark, empty, tmp_path):
+    import corpus_pipeline as p
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    out = p.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "source", "n_tokens", "ids", "round_trip"]
