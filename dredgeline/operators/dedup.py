@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,30 +93,107 @@ def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, out:
 
 
 # ---- finding TTL ------------------------------------------------------------------------------
-def _ttl_step(ttl: int):
-    """Keep a time unless it falls within ``ttl`` of the last kept one."""
-    def step(last, us):
-        return (True, us) if last is None or us - last >= ttl else (False, last)
+#: Time spans of one TTL that a block of a key's history holds.
+SPAN = 8
+_TTL_KEYS = ["_d", "_t", "_vh", "_s"]
 
-    return step
+
+def _hops(t: np.ndarray, ttl: int) -> np.ndarray:
+    """Position of the next kept time after each of the sorted ``t``; itself where that lies beyond them."""
+    after = np.searchsorted(t, t + ttl)
+    return np.where(after < len(t), after, np.arange(len(t)))
+
+
+def _exits(t: np.ndarray, ttl: int) -> np.ndarray:
+    """For each time, if it is kept: from when on the next time after ``t`` is kept. Pointers are doubled until they stand at the last kept time."""
+    hop = _hops(t, ttl)
+    while True:
+        further = hop[hop]
+        if (further == hop).all():
+            return t[hop] + ttl
+        hop = further
+
+
+def jump_table(times: DataFrame, keys: Sequence[str], ttl: int, span: int = SPAN) -> DataFrame:
+    """``keys``, block, upto, leave: what a block of a key's history does to the time from which a finding is kept.
+
+    Who enters with ``s`` finds the first row with ``upto >= s`` and leaves with its ``leave``; without
+    such a row ``s`` stays. Only times of the block's first TTL, and one more, can be the first that is
+    kept there, and neighbours that leave alike are one row. ``times`` has ``keys``, block and _us; each block is a
+    group of its own, so a single dense key is worked by as many tasks as it has blocks.
+    """
+    schema = T.StructType([*(times.schema[k] for k in keys), T.StructField("block", T.LongType()), T.StructField("upto", T.LongType()), T.StructField("leave", T.LongType())])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_us"].to_numpy())
+        leave = _exits(t, ttl)
+        n = min(len(t), int(np.searchsorted(t, pdf["block"].iloc[0] * ttl * span + ttl)) + 1)
+        last = np.append(leave[1:n] != leave[: n - 1], True)  # of a run with equal exits
+        head = pdf.iloc[[0]][[*keys, "block"]]
+        return head.loc[head.index.repeat(int(last.sum()))].assign(upto=t[:n][last], leave=leave[:n][last])
+
+    return times.select(*keys, "block", "_us").groupBy(*keys, "block").applyInPandas(block, schema)
+
+
+def entries(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys``, block, s: the state in which each block is entered (the least long at first).
+
+    The tables of a key, not its rows, are run through in order, in sorted partitions and constant
+    memory: at most a row for each time in the first TTL of a block.
+    """
+    keys = list(keys)
+    schema = T.StructType([*(table.schema[k] for k in keys), T.StructField("block", T.LongType()), T.StructField("s", T.LongType())])
+    least = -(2**63)
+
+    def run(batches):
+        last_key, last_block, s, done = None, None, least, True
+        for pdf in batches:
+            out = []
+            for *key, block, upto, leave in pdf[[*keys, "block", "upto", "leave"]].itertuples(index=False, name=None):
+                if key != last_key:
+                    last_key, last_block, s = key, None, least
+                if block != last_block:
+                    last_block, done = block, False
+                    out.append((*key, block, s))
+                if not done and upto >= s:
+                    s, done = leave, True
+            yield pd.DataFrame(out, columns=[*keys, "block", "s"])
+
+    return table.repartition(*keys).sortWithinPartitions(*keys, "block", "upto").mapInPandas(run, schema)
+
+
+def _walk(ttl: int, row_id: str):
+    def block(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows[[row_id]]
+        rows = rows.sort_values("_us", kind="stable")
+        t = rows["_us"].to_numpy()
+        at, kept = int(np.searchsorted(t, entry["s"].iloc[0])), []
+        while at < len(t):  # at most one step for each TTL of the block
+            kept.append(at)
+            at = int(np.searchsorted(t, t[at] + ttl))
+        return rows.iloc[kept][[row_id]]
+
+    return block
 
 
 def finding_ttl(findings: DataFrame, ts: str = "ts", value: str = "value", session: str = "session_id", row_id: str = "id",
-                ttl_seconds: int = TTL_SECONDS, detector: str = "detector", ftype: str = "type") -> DataFrame:
+                ttl_seconds: int = TTL_SECONDS, detector: str = "detector", ftype: str = "type", span: int = SPAN) -> DataFrame:
     """Findings to record: not within ``ttl`` of the last *recorded* equal finding of the session.
 
-    Rows without a session always pass. Repeats at the same instant collapse first (map-side),
-    and a pause of one ``ttl`` starts a new piece that is replayed on its own.
+    Rows without a session or a time always pass; repeats at the same instant collapse first (map-side). A key's
+    history is cut into blocks of ``span`` TTLs. Each block says, on its own, in which state it is left for any
+    state it is entered in (:func:`jump_table`); these tables are run through (:func:`entries`), and
+    each block, again on its own, keeps its findings.
     """
-    ttl = int(ttl_seconds * 1_000_000)
-    keys = ["_d", "_t", "_vh", "_s"]
-    x = findings.where(F.col(session) != "").select(
-        F.col(detector).alias("_d"), F.col(ftype).alias("_t"), F.substring(F.sha2(F.col(value), 256), 1, 16).alias("_vh"),
-        F.col(session).alias("_s"), _us(ts).alias("_us"), F.col(row_id))
-    x = x.groupBy(*keys, "_us").agg(F.min(row_id).alias(row_id))
-    kept = replay(pieces(x, keys, "_us", ttl), [*keys, "island"], ["_us"], _ttl_step(ttl), row_id)
-    return findings.where(F.col(session) == "").unionByName(
-        findings.where(F.col(session) != "").join(kept, row_id, "left_semi").select(*findings.columns))
+    ttl, keys = int(ttl_seconds * 1_000_000), _TTL_KEYS
+    has = (F.coalesce(F.col(session), F.lit("")) != "") & F.col(ts).isNotNull()
+    x = findings.where(has).select(F.col(detector).alias("_d"), F.col(ftype).alias("_t"), F.sha2(F.col(value), 256).alias("_vh"), F.col(session).alias("_s"), _us(ts).alias("_us"), F.col(row_id))
+    x = x.groupBy(*keys, "_us").agg(F.min(row_id).alias(row_id)).withColumn("block", F.floor(F.col("_us") / F.lit(ttl * span)))
+    entry = entries(jump_table(x, keys, ttl, span), keys)
+    group = [*keys, "block"]
+    kept = x.groupBy(*group).cogroup(entry.groupBy(*group)).applyInPandas(_walk(ttl, row_id), T.StructType([findings.schema[row_id]]))
+    return findings.where(~has).unionByName(findings.where(has).join(kept, row_id, "left_semi").select(*findings.columns))
 
 
 # ---- cross-request text dedup ------------------------------------------------------------------
@@ -135,11 +213,10 @@ def seen_texts(
     blocked or redacted (a blocked request whose history was stripped commits afterwards),
     so a text is skipped exactly when an earlier request of the same session, with no idle
     time above the TTL in between, committed it. That is a minimum per (session, text) and a
-    join, not a replay. The reference also stops remembering after 5,000 texts per session
-    to save memory; that cap is not applied here.
+    join, not a replay. No number of texts per session is too large.
     """
     us, ttl = "_us", int(ttl_seconds * 1_000_000)
-    x = fields.withColumn(us, _us(ts)).withColumn("_h", F.substring(F.sha2(F.col(text), 256), 1, 16))
+    x = fields.withColumn(us, _us(ts)).withColumn("_h", F.sha2(F.col(text), 256))
     commit = ~F.col(action).isin("block", "redact")
     if stripped:
         commit = commit | ((F.col(action) == "block") & F.col(stripped))
@@ -156,19 +233,6 @@ def seen_texts(
     return out.withColumn("skipped", F.coalesce(earlier, F.lit(False))).select(*fields.columns, "skipped")
 
 
-def dirty_requests_action(fields: DataFrame, findings: DataFrame, req: str = "req_id", default: str = "alert") -> DataFrame:
-    """Request actions for :func:`seen_texts` when they are derived, not logged.
-
-    A field with a block or redact finding is never committed, so it is always scanned anew
-    and its request is never committed: the action over all fields decides commits the same
-    way as the action over the new fields does.
-    """
-    from dredgeline.operators.policy import winning_action
-
-    won = winning_action(findings, [req], default).select(req, "action")
-    return fields.join(won, req, "left").withColumn("action", F.coalesce("action", F.lit("pass")))
-
-
 def resend_counts(findings: DataFrame, skips: DataFrame, session: str = "session_id", ts: str = "ts", row_id: str = "id",
                   bucket_seconds: int = 3600) -> DataFrame:
     """Per stored finding: how many later requests of its session re-sent known text.
@@ -225,20 +289,22 @@ def suppression_counts(limited: DataFrame, keys: Sequence[str] = ("detector", "t
 UPSERT_KEY = ("content_hash", "session_id", "namespace_id")
 
 
-def upsert(stored: DataFrame | None, new: DataFrame, ts: str = "timestamp", row_id: str = "id") -> DataFrame:
+def upsert(stored: DataFrame | None, new: DataFrame, ts: str = "timestamp", row_id: str = "id", order: Sequence[str] = ()) -> DataFrame:
     """New store snapshot: keyed rows merge, rows without hash or session are appended.
 
-    A merged row keeps the columns of its first record, takes the latest timestamp and adds
-    up ``seen_count``. All of it is one partial aggregate, so a value seen by a third of all
-    rows shrinks before the shuffle.
+    A merged row keeps the columns of its first record (by ``order``, else time and id), takes the
+    latest timestamp and adds up ``seen_count``. All of it is one partial aggregate over one read of
+    either side, so a value seen by a third of all rows shrinks before the shuffle. Rows that do not merge
+    carry a number of their own in the key.
     """
     new = new if "seen_count" in new.columns else new.withColumn("seen_count", F.lit(1).cast("bigint"))
     both = new if stored is None else stored.unionByName(new.select(*stored.columns))
     keyed = (F.col("content_hash") != "") & (F.col("session_id") != "")
     rest = [c for c in both.columns if c not in UPSERT_KEY and c not in (ts, "seen_count")]
-    first = F.min_by(F.struct(*rest), F.struct(F.col(ts), F.col(row_id))).alias("_f")
-    merged = both.where(keyed).groupBy(*UPSERT_KEY).agg(first, F.max(ts).alias(ts), F.sum("seen_count").alias("seen_count"))
-    return merged.select(*UPSERT_KEY, ts, "seen_count", "_f.*").select(*both.columns).unionByName(both.where(~keyed))
+    alone = both.withColumn("_alone", F.when(~F.coalesce(keyed, F.lit(False)), F.monotonically_increasing_id()))
+    first = F.min_by(F.struct(*rest), F.struct(*(order or (ts, row_id)))).alias("_f")
+    merged = alone.groupBy(*UPSERT_KEY, "_alone").agg(first, F.max(ts).alias(ts), F.sum("seen_count").alias("seen_count"))
+    return merged.select(*UPSERT_KEY, ts, "seen_count", "_f.*").select(*both.columns)
 
 
 def retain(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:

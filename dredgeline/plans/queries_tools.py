@@ -249,7 +249,7 @@ def _stream_findings(spark, sf):
 
 def _keyed(spark, sf):
     f = _stream_findings(spark, sf)
-    return f.select("id", F.col("timestamp").cast("timestamp").alias("ts"), "detector", F.col("event_type").alias("type"), tx.sha16("value").alias("value_hash"), "session_id")
+    return f.select("id", F.col("timestamp").cast("timestamp").alias("ts"), "detector", F.col("event_type").alias("type"), F.sha2("value", 256).alias("value_hash"), "session_id")
 
 
 @query("r01_streaming_scan", f"SELECT doc_id, type, sha256(value) AS value_hash FROM {hits_sql(RULES, 'documents')} h")
@@ -270,7 +270,7 @@ c AS (SELECT session_id, ep, k, min((ts, id)) AS first FROM e WHERE action NOT I
 SELECT id AS req_id, coalesce(c.first < (e.ts, e.id), false) AS skipped FROM e LEFT JOIN c ON c.session_id = e.session_id AND c.ep = e.ep AND c.k = e.k"""))
 def _r03(spark, sf):
     f = _stream_findings(spark, sf).select(F.col("id").alias("req_id"), F.col("timestamp").cast("timestamp").alias("ts"), "session_id", F.lit(0).alias("field_no"),
-                                           tx.sha16(F.concat(F.lit("b"), F.col("k").cast("string"))).alias("text_hash"), F.col("action_taken").alias("action"), (F.col("k") % 4 == 0).alias("stripped"))
+                                           F.sha2(F.concat(F.lit("b"), F.col("k").cast("string")), 256).alias("text_hash"), F.col("action_taken").alias("action"), (F.col("k") % 4 == 0).alias("stripped"))
     return _drain(spark, state.text_dedup(f.where("session_id <> ''"), 40000, keep_ms=None).select("req_id", "skipped"), "r03")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dredgeline.operators import dedup
 from dredgeline.operators.detect import valid_regex
 from dredgeline.operators.governance import BASELINE_KEY
 from dredgeline.operators.policy import secure_columns
+from dredgeline.sources import findings_store
 
 _RULE_JSON = ("struct<rules: array<struct<name: string, pattern: string, detector: string, severity: string, action: string, "
               "tier: string, description: string, tags: array<string>, validator: string, entropy_context: boolean>>>")
@@ -112,37 +111,16 @@ def read_audit(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 # ---- findings -------------------------------------------------------------------------------------------
 def write_findings(findings: DataFrame, path: str, hmac_key: bytes = b"", ts: str = "timestamp", batch_id: int | None = None) -> None:
-    """Merge new findings into the stored table by writing a new snapshot beside the old one.
+    """Add new findings to the stored table (:mod:`findings_store`); values are hashed before anything is written.
 
-    Layout: ``path/v=N`` with day partitions; readers take the highest finished version, so a
-    failed write leaves the old one in place. A stream passes its batch id, which fixes the
-    version: a batch replayed after a failure rewrites its own snapshot and counts once.
-    Values are hashed before anything is written.
+    A stream passes its batch id: a batch replayed after a failure counts once.
     """
-    spark = findings.sparkSession
-    version = _version(spark, path, batch_id)
     safe = secure_columns(findings, hmac_key) if "value" in findings.columns else findings
-    merged = dedup.upsert(_snapshot(spark, path, version), safe, ts)
-    target = version + 1 if batch_id is None else batch_id + 1
-    merged.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(os.path.join(path, f"v={target}"))
-
-
-def _version(spark: SparkSession, path: str, at_most: int | None = None) -> int:
-    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hp):
-        return 0
-    done = [s.getPath() for s in fs.listStatus(hp) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [int(p.getName().split("=")[1]) for p in done]
-    return max([v for v in found if at_most is None or v <= at_most] or [0])
-
-
-def _snapshot(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    return spark.read.parquet(os.path.join(path, f"v={version}")).drop("day") if version else None
+    findings_store.add(safe, path, ts, batch_id=batch_id)
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame | None:
-    return _snapshot(spark, path, _version(spark, path))
+    return findings_store.read(spark, path)
 
 
 # ---- exports ----------------------------------------------------------------------------------------------

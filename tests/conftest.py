@@ -11,6 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from dredgeline.session import get_spark
 
-    s = get_spark(shuffle_partitions=4, spark__ui__showConsoleProgress="false")
+    s = get_spark(os.environ.get("TEST_MASTER", "local[8]"), shuffle_partitions=4, spark__ui__showConsoleProgress="false")
     yield s
     s.stop()

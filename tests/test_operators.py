@@ -203,6 +203,31 @@ def test_finding_ttl_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("span", [1, 3, 8])
+def test_finding_ttl_of_a_dense_key(spark, span):
+    """One key with more findings than any other, at steps that never leave a pause, and a few sparse ones."""
+    rnd = random.Random(span)
+    us = sorted({rnd.randrange(0, 30_000_000) for _ in range(3000)} | {k * 10_000 for k in range(2000)} | {10**9, 10**9 + 999_999, 10**9 + 1_000_000})
+    rows = [(i, T0 + dt.timedelta(microseconds=t), "d", "t", "v", "hot") for i, t in enumerate(us)]
+    rows += [(10_000 + i, T0 + dt.timedelta(seconds=i), "d", None, "w", "s" if i % 2 else None) for i in range(9)] + [(20_000, None, "d", "t", "v", "hot"), (20_001, T0, "d", "t", "v", "hot")]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, detector string, type string, value string, session_id string")
+    got = {r["id"] for r in dedup.finding_ttl(df, ttl_seconds=1, span=span).collect()}
+    want, last = {i for i, ts, *_, s in rows if s is None or ts is None}, {}
+    for i, ts, d, t, v, s in sorted((r for r in rows if r[5] and r[1]), key=lambda r: (r[1], r[0])):
+        if (t, v, s) not in last or ts - last[t, v, s] >= dt.timedelta(seconds=1):
+            want.add(i)
+            last[t, v, s] = ts
+    assert got == want and 40 < len(want) < 60
+    # The key's blocks are groups of their own, on several tasks, and say what they do in fewer rows than they hold.
+    x = df.where("session_id = 'hot' AND ts IS NOT NULL").select(F.lit("k").alias("k"), dedup._us("ts").alias("_us")).withColumn("block", F.floor(F.col("_us") / (1_000_000 * span)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        table = dedup.jump_table(x, ["k"], 1_000_000, span).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in table}) > 1 and len(table) <= 1.3 * len(us) / span + 60
+
+
 def test_text_dedup_brute_force(spark):
     rnd = random.Random(4)
     rows, now = [], T0
