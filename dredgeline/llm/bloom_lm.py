@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import namedtuple
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +34,33 @@ from pyspark.sql import functions as F
 from dredgeline.llm import words as W
 from dredgeline.llm.store import scratch
 
-BUCKETS, BITS, FILTER_MB, TOP, MU = 512, 10, 64, 1 << 20, 400.0
+BITS, FILTER_MB, TOP, MU = 10, 128, 1 << 20, 400.0
+#: N-grams meant for a bucket, the fewest buckets, and the characters of text that are taken for one token.
+ENTRIES, LEAST_BUCKETS, PER_TOKEN = 1 << 18, 64, 5
 #: Largest segment in bits, 1 GB: a binary value of Spark and Arrow holds less than 2 GB.
 MOST = 1 << 33
-#: Bytes of text in a group, and groups whose n-grams meet a segment at once.
-GROUP, ASKING = 4 << 20, 4096
+#: Bytes of text in a group.
+GROUP = 4 << 20
 #: N-grams looked up at once in a segment.
 PROBED = 1 << 18
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 WORD, PAIR = 0, 1
-SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 #: Bits of a key that a segment goes by: five bytes, which a million others in it share with a chance of 1e-6.
 INSIDE = np.uint64((1 << 40) - 1)
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 1_500_000
 
 
+def n_buckets(chars: int) -> int:
+    """A power of two that gives a bucket about ENTRIES tokens of a text of so many characters."""
+    return max(LEAST_BUCKETS, 1 << (chars // PER_TOKEN // ENTRIES).bit_length())
+
+
+def shift(buckets: int) -> np.uint64:
+    """A key's bucket is its leading bits."""
+    return np.uint64(64 - buckets.bit_length() + 1)
+
+
 def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
     """The fold of a document; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
@@ -77,13 +89,13 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = {kind: ([], []) for kind in (WORD, PAIR)}
 
     def flush(kind: int) -> pa.RecordBatch:
         k, c = _sum(*held[kind])
         held[kind] = ([], [])
-        cut = np.searchsorted(k >> SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+        cut = np.searchsorted(k >> shift(buckets), np.arange(buckets + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(cut))
         small = c.max(initial=0) < 256
         c = c.astype(np.uint8 if small else np.int64)
@@ -132,7 +144,7 @@ def _build(bits_each: int, most: int, probes: int):
         lv = level(c)
         size = max(8, -(-bits_each * int(lv.sum()) // 8))
         if size * 8 > most:
-            raise ValueError(f"a segment of {size} bytes: more BUCKETS are needed")
+            raise ValueError(f"a segment of {size} bytes: more buckets are needed")
         seg = np.zeros(size, np.uint8)
         for j in range(1, int(lv.max(initial=0)) + 1):
             for at in _places(k[lv >= j], j, np.uint64(size * 8), probes):
@@ -147,17 +159,17 @@ def _build(bits_each: int, most: int, probes: int):
 class Filter:
     """Quantised counts of both orders; picklable."""
 
-    def __init__(self, probes: int) -> None:
-        self.probes = probes
-        self.bits = np.full(2 * BUCKETS, 1, np.uint64)
-        self.start = np.full(2 * BUCKETS, -1, np.int64)
-        self.top = np.zeros(2 * BUCKETS, np.int64)
+    def __init__(self, probes: int, buckets: int) -> None:
+        self.probes, self.buckets = probes, buckets
+        self.bits = np.full(2 * buckets, 1, np.uint64)
+        self.start = np.full(2 * buckets, -1, np.int64)
+        self.top = np.zeros(2 * buckets, np.int64)
         self.data = np.zeros(0, np.uint8)
 
     def fill(self, segments: Iterator) -> "Filter":
         parts, at = [], 0
         for r in segments:
-            slot = r.kind * BUCKETS + r.bucket
+            slot = r.kind * self.buckets + r.bucket
             self.bits[slot], self.start[slot], self.top[slot] = len(r.segment) * 8, at, r.top
             parts.append(r.segment)
             at += len(r.segment)
@@ -169,7 +181,7 @@ class Filter:
         return expected(self.levels(keys, kind))
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        slot = (keys >> SHIFT).astype(np.int64) + kind * BUCKETS
+        slot = (keys >> shift(self.buckets)).astype(np.int64) + kind * self.buckets
         lv = np.zeros(len(keys), np.int64)
         live = np.flatnonzero(self.start[slot] >= 0)
         j = 1
@@ -265,34 +277,35 @@ def _text(data: pa.Scalar, off: np.ndarray) -> np.ndarray:
     return np.frombuffer(pa.decompress(data.as_py(), int(off[-1]), codec="zstd", asbytes=True), np.uint8) if off[-1] else np.zeros(0, np.uint8)
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for grp, off, data in zip(batch.column("grp"), batch.column("off"), batch.column("data"), strict=True):
             off = off.values.to_numpy()
             t, row = tokens(_text(data, off), off)
             for kind, g in ((WORD, t), (PAIR, pairs(t, row)[0])):
                 k = np.unique(g)
-                cut = np.searchsorted(k >> SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+                cut = np.searchsorted(k >> shift(buckets), np.arange(buckets + 1, dtype=np.uint64))
                 some = np.flatnonzero(np.diff(cut))
                 k = k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # INSIDE
                 yield pa.record_batch([pa.array(np.full(len(some), grp.as_py()), pa.int64()), pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()), pa.array([k[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], names=["grp", "kind", "bucket", "asked"])
 
 
-def _answer(probes: int):
+def _answer(probes: int, buckets: int):
     schema = pa.schema([("grp", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary())])
 
     def levels(asked: pa.Table, segment: pa.Table) -> pa.Table:
         if not len(asked):
             return schema.empty_table()
-        lm = Filter(probes).fill(Segment(*r.values()) for r in segment.select(Segment._fields).to_pylist())
         kind, bucket = (asked.column(c)[0].as_py() for c in ("kind", "bucket"))
+        # The segment is the only one here: it takes the place of bucket 0 of a filter of one bucket.
+        lm = Filter(probes, 1).fill(Segment(r["kind"], 0, r["top"], r["segment"]) for r in segment.select(Segment._fields).to_pylist())
         asks = [k.as_py() for k in asked.column("asked")]
         raw = np.frombuffer(b"".join(asks), np.uint8).reshape(-1, 5)
         lv = np.zeros(len(raw), np.uint8)
         for i in range(0, len(raw), PROBED):
             k = np.zeros((len(raw[i : i + PROBED]), 8), np.uint8)
             k[:, :5] = raw[i : i + PROBED]
-            lv[i : i + PROBED] = lm.levels(k.view("<u8").ravel() | np.uint64(bucket) << SHIFT, kind)
+            lv[i : i + PROBED] = lm.levels(k.view("<u8").ravel(), kind)
         end = np.cumsum([len(x) // 5 for x in asks])
         found = [lv[e - len(x) // 5 : e].tobytes() for e, x in zip(end, asks, strict=True)]
         return pa.table([asked.column("grp"), asked.column("kind"), asked.column("bucket"), pa.array(found, pa.binary())], schema=schema)
@@ -316,15 +329,17 @@ def _score_group(top, total: int, distinct: int, mu: float):
     return scores, SCORED
 
 
-def score_by_join(rows: DataFrame, segments: DataFrame, top, probes: int, total: int, distinct: int, mu: float) -> DataFrame:
-    """As a broadcast of the filter would score ``rows``, with each n-gram sent to its segment."""
+def score_by_join(rows: DataFrame, segments: DataFrame, top, probes: int, buckets: int, total: int, distinct: int, mu: float) -> DataFrame:
+    """As a broadcast of the filter would score ``rows``, with each n-gram sent to its segment.
+
+    A bucket meets its segment in one task: some ENTRIES entries, and what the groups ask of it, which
+    is as much again for rare n-grams and five bytes a group for each common one.
+    """
     groups = scratch(rows.mapInArrow(_pack, "grp long, ids array<long>, held array<boolean>, off array<long>, data binary"), "lm-groups")
-    turns = max(1, -(-groups.count() // ASKING))
-    asked = groups.select("grp", "off", "data").mapInArrow(_ask, "grp long, kind int, bucket int, asked binary").withColumn("turn", F.pmod(F.xxhash64("grp"), F.lit(turns)).cast("int"))
-    read = segments.select(*Segment._fields).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    key = ["kind", "bucket", "turn"]
-    fn, ddl = _answer(probes)
-    answers = asked.groupBy(key).cogroup(read.groupBy(key)).applyInArrow(fn, ddl)
+    asked = groups.select("grp", "off", "data").mapInArrow(partial(_ask, buckets), "grp long, kind int, bucket int, asked binary")
+    key = ["kind", "bucket"]
+    fn, ddl = _answer(probes, buckets)
+    answers = asked.groupBy(key).cogroup(segments.select(*Segment._fields).groupBy(key)).applyInArrow(fn, ddl)
     fn, ddl = _score_group(top, total, distinct, mu)
     return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(fn, ddl)
 
@@ -335,19 +350,22 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)], names=["h", "c"])
 
 
-def score_texts(docs: DataFrame, held: Column | None = None, mu: float = MU, filter_mb: int = FILTER_MB, top: int = TOP) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column | None = None, mu: float = MU, filter_mb: int = FILTER_MB, top: int = TOP, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learns from the rows that ``held`` does not mark. Null text is the empty text: one end token. A
     repeated row counts each time and is scored each time; a null doc_id stays null. With no
     training row every count is 0. An empty table gives an empty table; other columns are ignored.
-    The scores do not depend on ``filter_mb``, the size up to which the filter is broadcast.
+    The scores do not depend on ``filter_mb``, the size up to which the filter is broadcast, and with many
+    ``bits`` an entry they come from the quantised counts alone.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (held_out(F.col("doc_id")) if held is None else held).alias("held_out"))
     probes = 4
-    counted = rows.where(~F.col("held_out")).select("text").mapInArrow(_count, "kind int, bucket int, keys binary, counts binary")
-    segments = scratch(counted.groupBy("kind", "bucket").applyInArrow(*_build(BITS, MOST, probes)), "lm-segments")
+    training = rows.where(~F.col("held_out"))
+    buckets = n_buckets(training.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
+    counted = training.select("text").mapInArrow(partial(_count, buckets), "kind int, bucket int, keys binary, counts binary")
+    segments = scratch(counted.groupBy("kind", "bucket").applyInArrow(*_build(bits, MOST, probes)), "lm-segments")
     total, distinct = segments.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     words = segments.where(F.col("kind") == WORD).select("keys", "counts").mapInArrow(_words, "h long, c long")
     # The smallest count whose words all fit the broadcast table.
@@ -362,11 +380,11 @@ def score_texts(docs: DataFrame, held: Column | None = None, mu: float = MU, fil
     known = (frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy())
     top_words = spark.sparkContext.broadcast(known)
     if segments.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0] <= filter_mb << 20:
-        model = spark.sparkContext.broadcast(Filter(probes).fill(segments.select("kind", "bucket", "top", "segment").toLocalIterator()))
+        model = spark.sparkContext.broadcast(Filter(probes, buckets).fill(segments.select("kind", "bucket", "top", "segment").toLocalIterator()))
         fn, ddl = _score(model, top_words, total, distinct, mu)
         scores = rows.mapInArrow(fn, ddl)
     else:
-        scores = score_by_join(rows, segments, top_words, probes, total, distinct, mu)
+        scores = score_by_join(rows, segments, top_words, probes, buckets, total, distinct, mu)
     scored = scratch(scores.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.n").join(words.where(F.col("c") < bar), "h", "left")
     below = float(total + 0.5 * (distinct + 1))

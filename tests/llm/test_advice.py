@@ -35,7 +35,6 @@ def test_scores_do_not_depend_on_the_broadcast_bound(spark, monkeypatch):
     from dredgeline.llm import bloom_lm
 
     monkeypatch.setattr(bloom_lm, "GROUP", 4000)
-    monkeypatch.setattr(bloom_lm, "ASKING", 3)
     docs = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
     by = {mb: sorted(map(tuple, bloom_lm.score_texts(docs, filter_mb=mb).collect()), key=repr) for mb in (64, 0)}
     assert len(by[0]) == len(by[64]) == len(corpus())
@@ -51,6 +50,6 @@ def test_probes_end_at_the_highest_level():
 
     from dredgeline.llm import bloom_lm
 
-    full = [SimpleNamespace(kind=bloom_lm.PAIR, bucket=b, top=3, segment=b"\xff" * 8) for b in range(bloom_lm.BUCKETS)]
+    full = [SimpleNamespace(kind=bloom_lm.PAIR, bucket=b, top=3, segment=b"\xff" * 8) for b in range(64)]
     keys = np.arange(100, dtype=np.uint64) << np.uint64(56)
-    assert set(bloom_lm.Filter(4).fill(iter(full)).levels(keys, bloom_lm.PAIR)) == {3}
+    assert set(bloom_lm.Filter(4, 64).fill(iter(full)).levels(keys, bloom_lm.PAIR)) == {3}

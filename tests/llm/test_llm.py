@@ -327,6 +327,38 @@ def test_base_scores(docs, empty, top):
         assert bloom_lm.score_texts(empty).count() == 0
 
 
+@pytest.mark.parametrize("filter_mb", [64, 0])
+def test_scores_from_quantised_counts(docs, filter_mb, monkeypatch):
+    """With so many bits that nothing collides, the scores are those of the rounded counts."""
+    monkeypatch.setattr(bloom_lm, "GROUP", 4000)
+    rows = corpus()
+    toks = [(i, lower(t) + [None]) for i, t, *_ in rows]
+    train = [w for i, w in toks if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    words, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(w, w[1:]))
+    total, distinct, mu = sum(words.values()), len(words), bloom_lm.MU
+
+    def rounded(c):
+        return (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+
+    want = []
+    for i, w in toks:
+        score = 0.0
+        for k, x in enumerate(w):
+            p = (rounded(words[x]) + 0.5) / (total + 0.5 * (distinct + 1))
+            if k:
+                before = rounded(words[w[k - 1]])
+                p = (min(rounded(pairs[w[k - 1], x]), before) + mu * p) / (before + mu)
+            score += math.log10(p)
+        want.append((repr(i), len(w), score))
+    got = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in bloom_lm.score_texts(docs, filter_mb=filter_mb, bits=200).collect())
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [bloom_lm.n_buckets(5 * n) for n in (0, 1 << 20, 64 << 18, 1 << 28)] == [64, 64, 128, 2048]
+
+
 def test_filter_never_undercounts():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2))
@@ -334,12 +366,12 @@ def test_filter_never_undercounts():
     import pyarrow as pa
 
     build, _ = bloom_lm._build(bloom_lm.BITS, 1 << 20, 4)
-    cut = np.searchsorted(keys >> bloom_lm.SHIFT, np.arange(bloom_lm.BUCKETS + 1, dtype=np.uint64))
+    cut = np.searchsorted(keys >> bloom_lm.shift(64), np.arange(64 + 1, dtype=np.uint64))
     rows = []
     for b in np.flatnonzero(np.diff(cut)):
         part = slice(cut[b], cut[b + 1])
         rows += build(pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([b], pa.int32()), "keys": [keys[part].tobytes()], "counts": [counts[part].tobytes()]})).to_pylist()
-    lm = bloom_lm.Filter(4).fill(iter([type("R", (), x) for x in rows]))
+    lm = bloom_lm.Filter(4, 64).fill(iter([type("R", (), x) for x in rows]))
     level = bloom_lm.level(counts)
     exact = (2.0 ** (level - 1) + 2.0**level - 1) / 2
     got = lm.counts(keys, bloom_lm.PAIR)
@@ -377,14 +409,18 @@ def test_top_k(spark):
     r = random.Random(4)
     rows = [(i, [r.choice([-0.5, 0.0, 0.25, r.uniform(-1, 1)]) for _ in range(6)], i % 3) for i in range(400)]
     rows += [(400, rows[7][1], 0), (450, rows[7][1], 0), (500, None, 1), (501, [0.5, None, 1.0, 0.0, 0.0, 0.0], 1), (502, [float("nan")] * 6, 1), (550, [float("inf")] * 6, 1), (600, [], 1), (None, [1.0] * 6, 1), (650, [0.0] * 6, 1), (700, [1.0, 2.0], 0), (701, [3.0, 1.0], 0), rows[50], (750, [1e30] * 6, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS v", "2 AS dim", "3 AS b").repartition(4)
+    rows += [(50, rows[50][1], 1), (50, rows[50][1], 2), (51, rows[3][1], 0), (51, rows[9][1], 0), (750, rows[9][1], 0)]  # repeated ids
+    # Large components: products past doubles, past longs, and scores that no long holds.
+    rows += [(800 + i, [x, 0.0, 1.0], 0) for i, x in enumerate((2e6, 1.5e6, 1.9e6, -2e6, 1.0))] + [(850, [3e9, -2e9, 1.0], 0), (900, [1e12, 1e12, -1e12], 0), (901, [1.1e12, 1e12, -1e12], 0), (902, [-1e12, 1e12, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS v", "2 AS dim", "3 AS b", "4 AS n", "5 AS `row`", "6 AS `no`").repartition(4)
     f32 = lambda x: float(np.float32(x))
-    ok = {i: [max(-topk.LIMIT, min(topk.LIMIT, math.floor(256 * f32(x)))) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    # Exact Python integers; only what no long holds is cut, far beyond all rows but one.
+    ok = [(i, [max(-topk.LIMIT, min(topk.LIMIT, math.floor(256 * f32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in ok:
+    for a, (q, x) in enumerate(ok):
         if q % 50 == 0:
-            score = sorted((-sum(a * b for a, b in zip(ok[q], ok[i])), i) for i in ok if i != q and len(ok[i]) == len(ok[q]))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(score)]
+            score = sorted((-sum(g * h for g, h in zip(x, y)), i) for b, (i, y) in enumerate(ok) if a != b and len(x) == len(y))[:5]
+            want += [(q, k + 1, i, max(1 - 2**63, min(2**63 - 1, -s))) for k, (s, i) in enumerate(score)]
     same(topk.top_k(df), want)
     same(topk.top_k(df, block=40, queries=3), want)
     assert topk.top_k(df.limit(0)).count() == 0
