@@ -40,7 +40,7 @@ def client_columns(ua: Column, headers: Column, clients: Sequence[Client] = CLIE
     matching prefix wins, then the header fallback, then the raw token.
     """
     browser = (ua == "") | ua.startswith("Mozilla/")
-    token = F.substring(_first_token(ua), 1, 128)
+    token = _first_token(ua)
     low = F.lower(token)
     fallback = F.map_contains_key(headers, "x-opencode-session") | (
         low.startswith("ai-sdk/") & F.map_contains_key(headers, "x-session-affinity")
@@ -100,7 +100,7 @@ def sdk_columns(ua: Column, headers: Column) -> dict[str, Column]:
     over = (lang != "") & (pkg != "")
     run = F.regexp_extract(ua, r"(?:\A|\s)runtime/(\S*)", 1)
     run = F.when((run == "") & (rt != "") & (rtv != ""), F.concat_ws("/", rt, rtv)).otherwise(run)
-    blank = lambda c: F.when(F.trim(ua) == "", "").otherwise(F.substring(c, 1, 128))
+    blank = lambda c: F.when(F.trim(ua) == "", "").otherwise(c)
     return {
         "sdk_name": blank(F.when(over, F.concat(F.lit("openai-"), lang)).otherwise(name)),
         "sdk_version": blank(F.when(over, pkg).otherwise(ver)),
@@ -115,7 +115,7 @@ def client_type(client_id: Column, headers: Column, clients: Sequence[Client] =
         ids = [c[0] for c in clients if c[2] == kind]
         if ids:
             out = F.when(client_id.isin(*ids), kind).otherwise(out)
-    return F.when(explicit != "", F.substring(explicit, 1, 64)).otherwise(out)
+    return F.when(explicit != "", explicit).otherwise(out)
 
 
 def system_text(v: str = "_v", provider: str = "provider") -> Column:
@@ -141,7 +141,7 @@ def prompt_field(system: Column, patterns: Sequence[str], path: bool = False) ->
     val = F.regexp_replace(raw, r"\A\s+|\s+\z", "")
     if path:
         val = F.regexp_replace(val, r"""\A['"]+|['"]+\z""", "")
-    return F.substring(val, 1, 512 if path else 256)
+    return val
 
 
 def session_fingerprint(v: str = "_v", provider: str = "provider", chars: int | None = None, digits: int = 64) -> Column:
@@ -198,14 +198,14 @@ def identify(
     """Add the identity columns of a request row; missing values are '' throughout.
 
     ``trusted`` names a boolean column: only trusted rows may set identity through relay
-    headers. Session id order: explicit headers, body metadata, derived fingerprint.
+    headers. Session id order: explicit headers, body metadata, derived fingerprint. Values are whole:
+    they are matched and keyed as they came; :func:`shorten` cuts them for a store that needs it.
     """
     h = F.col(headers)
     hd = lambda k: header(k, h)
-    cap = lambda c, n: F.substring(c, 1, n)
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
     ok = F.col(trusted) if trusted else F.lit(False)
-    relay = lambda k, n: F.when(ok, cap(hd(relay_prefix + k), n)).otherwise("")
+    relay = lambda k: F.when(ok, hd(relay_prefix + k)).otherwise("")
 
     out = df.withColumn("_v", F.expr(f"CASE WHEN {body} rlike '\\\\A[ \\\\t\\\\r\\\\n]*\\\\{{' THEN try_parse_json({body}) END"))
     meta = _get("_v", "$.metadata.user_id")
@@ -213,30 +213,42 @@ def identify(
     out = out.withColumn("_uid", F.expr(f"CASE WHEN {provider} = 'anthropic' THEN {uid} END"))
     out = out.withColumn("_sys", system_text("_v", provider))
     is_obj = F.expr("try_variant_get(_uid, '$', 'map<string,variant>') IS NOT NULL")
-    member = lambda k: F.coalesce(F.when(is_obj, cap(F.expr(f"try_variant_get(_uid, '$.{k}', 'string')"), 256)), F.lit(""))
-    scalar = F.coalesce(F.when(~is_obj, cap(F.expr("try_variant_get(_uid, '$', 'string')"), 256)), F.lit(""))
-    user = F.coalesce(F.when(F.col(provider) == "openai", cap(F.expr("try_variant_get(_v, '$.user', 'string')"), 256)), F.lit(""))
+    member = lambda k: F.coalesce(F.when(is_obj, F.expr(f"try_variant_get(_uid, '$.{k}', 'string')")), F.lit(""))
+    scalar = F.coalesce(F.when(~is_obj, F.expr("try_variant_get(_uid, '$', 'string')")), F.lit(""))
+    user = F.coalesce(F.when(F.col(provider) == "openai", F.expr("try_variant_get(_v, '$.user', 'string')")), F.lit(""))
 
     ua = hd("user-agent")
     key = first(hd("x-api-key"), hd("authorization"))
     bare = F.when(F.lower(key).startswith("bearer "), F.substr(key, F.lit(8))).otherwise(key)
     client = client_columns(ua, h, clients)
     cols = {
-        "account_id": first(relay("account-id", 256), member("account_uuid"), scalar, user),
-        "session_id": first(*[cap(hd(k), 256) for k in SESSION_HEADERS], member("session_id"),
+        "account_id": first(relay("account-id"), member("account_uuid"), scalar, user),
+        "session_id": first(*[hd(k) for k in SESSION_HEADERS], member("session_id"),
                             F.when(F.col("_v").isNotNull(), session_fingerprint("_v", provider)).otherwise("")),
-        "device_id": first(relay("device-id", 256), member("device_id")),
+        "device_id": first(relay("device-id"), member("device_id")),
         "source_ip_resolved": first(F.trim(F.split(hd("x-forwarded-for"), ",")[0]), F.coalesce(F.col(source_ip), F.lit(""))),
-        "working_directory": first(relay("working-dir", 512), prompt_field(F.col("_sys"), WORKDIR, path=True)),
-        "git_branch": first(relay("git-branch", 256), prompt_field(F.col("_sys"), BRANCH)),
-        "os_platform": first(relay("os-platform", 64), prompt_field(F.col("_sys"), PLATFORM)),
-        "hostname": relay("hostname", 256),
-        "username": relay("username", 256),
+        "working_directory": first(relay("working-dir"), prompt_field(F.col("_sys"), WORKDIR, path=True)),
+        "git_branch": first(relay("git-branch"), prompt_field(F.col("_sys"), BRANCH)),
+        "os_platform": first(relay("os-platform"), prompt_field(F.col("_sys"), PLATFORM)),
+        "hostname": relay("hostname"),
+        "username": relay("username"),
         "client_name": client["client_id"],
         "client_version": client["client_version"],
         "client_type": client_type(client["client_id"], h, clients),
-        "raw_user_agent": cap(ua, 512),
+        "raw_user_agent": ua,
         **sdk_columns(ua, h),
         "api_key_hash": F.when(key != "", F.substring(tx.hmac_sha256(hmac_key, bare), 1, 16)).otherwise(""),
     }
     return out.select(*df.columns, *[c.alias(k) for k, c in cols.items()])
+
+
+#: Characters that a record of the usual width keeps of each column.
+WIDTHS = {
+    "account_id": 256, "session_id": 256, "device_id": 256, "working_directory": 512, "git_branch": 256, "os_platform": 64, "hostname": 256, "username": 256,
+    "client_name": 128, "client_type": 64, "raw_user_agent": 512, "sdk_name": 128, "sdk_version": 128, "runtime": 128,
+}
+
+
+def shorten(df: DataFrame, widths: dict[str, int] = WIDTHS) -> DataFrame:
+    """An output step only: identity columns cut to ``widths``. Different long values may become equal, so join and group before it."""
+    return df.withColumns({c: F.substring(c, 1, n) for c, n in widths.items() if c in df.columns})

@@ -89,7 +89,7 @@ def scan_frames(frames: DataFrame, rules: Sequence[detect.Rule], keep: Sequence[
     t = frames.withColumn("_t", tx.sanitize(F.substring("text", 1, limit) if limit else "text"))
     rules = [r for r in rules if r.detector != "injection"]
     found = detect.scan(t, rules, "_t", F.concat(prefix, F.lit("."), prefix), keep=keep)
-    inj = detect.injections(frames.where(F.col("direction") == "inbound"), "text", F.lit("ws.inbound"), injection, keep=keep)
+    inj = detect.injections(t.where(F.col("direction") == "inbound"), "_t", F.lit("ws.inbound"), injection, keep=keep)
     return found.unionByName(inj)
 
 

@@ -11,6 +11,7 @@ from dredgeline.functions import text as tx
 from dredgeline.functions import validators as val
 from dredgeline.operators import dedup, detect, filters, governance, policy
 from dredgeline.plans import scan as jobs
+from dredgeline.plans.metrics import StageMetrics
 from dredgeline.plans.queries_text import _DIFF, body_a, diffs
 from dredgeline.plans.registry import LINES_SQL, docs, jstr, md5, query, spread, table
 from dredgeline.sources import stores
@@ -497,8 +498,14 @@ def _j02(spark, sf):
     return governance.suppress_baseline(f, base).select("doc_id", "type", "value")
 
 
-@query("l20_stage_metrics", f"SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS docs, count(*) AS findings FROM {HITS}")
+@query("l20_stage_metrics", f"""
+SELECT 'documents' AS stage, 'rows' AS measure, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'documents', 'chars', CAST(sum(length(text)) AS DOUBLE) FROM {SEEDED} s
+UNION ALL SELECT 'findings', 'rows', CAST(count(*) AS DOUBLE) FROM {HITS} UNION ALL SELECT 'requests', 'rows', CAST(count(DISTINCT doc_id) AS DOUBLE) FROM {HITS}""")
 def _l20(spark, sf):
-    f = seeded_findings(spark, sf)
-    f, _obs = jobs.observe_stage(f, "findings")
-    return f.agg(F.count("*").alias("findings")).crossJoin(table(spark, sf, "documents").agg(F.count("*").alias("docs")))
+    """One job through three stages; the table is what they measured on the way."""
+    seen = StageMetrics()
+    texts = seen.stage(seeded(spark, sf), "documents", chars=F.sum(F.length("text")))
+    found = seen.stage(detect.scan(texts, RULES, keep=["doc_id"]), "findings")
+    requests = seen.stage(found.groupBy("doc_id").agg(F.count("*").alias("n")), "requests")
+    requests.write.format("noop").mode("overwrite").save()
+    return seen.table(spark)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dredgeline.functions import text as tx
-from dredgeline.operators import dedup, detect, tooling
+from dredgeline.operators import dedup, detect, governance, tooling
 from dredgeline.plans import scan as jobs
 from dredgeline.plans.plugins import Plugins
 from dredgeline.plans.queries_scan import HITS, INJ, RULES, SEEDED, hits_sql, seeded, seeded_findings
+from dredgeline.plans.queries_text import _requests
 from dredgeline.plans.queries_store import _TTL_SQL, with_more, work_dir
 from dredgeline.plans.registry import docs, findings, jstr, md5, query, spread, table, with_findings
 from dredgeline.sources import files
+from dredgeline.streaming import chunks as chunking
 from dredgeline.streaming import state
 
 SECRETS = [r for r in RULES if r.detector != "injection"]
@@ -225,30 +229,182 @@ def _x09(spark, sf):
     return tooling.escalation(s).select("session_id", F.col("score").cast("double").alias("score"))
 
 
+@query("x04_redact_hook", f"SELECT doc_id, md5(regexp_replace(text, 'AKIA[0-9A-Z]{{16}}', '<aws_access_key of 20>', 'g')) AS md5 FROM {SEEDED} s")
+def _x04(spark, sf):
+    """A hook that puts the type and the length of a value in its place."""
+    def tagged(texts, found, default):
+        marks = found.where("action = 'redact'").groupBy("doc_id").agg(F.collect_set(F.struct("value", "type")).alias("marks"))
+        mark = lambda acc, m: F.replace(acc, m["value"], F.concat(F.lit("<"), m["type"], F.lit(" of "), F.length(m["value"]).cast("string"), F.lit(">")))
+        new = F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.aggregate("marks", F.col("text"), mark))
+        return texts.join(marks, "doc_id", "left").withColumn("text", new)
+
+    found = seeded_findings(spark, sf, [r for r in RULES if r.name == "aws_access_key"]).withColumn("action", F.lit("redact"))
+    return jobs.redact_texts(seeded(spark, sf).select("doc_id", "text"), found, jobs.ScanConfig(plugins=Plugins(redact=tagged)), ["doc_id"]).select("doc_id", md5())
+
+
+@query("x05_post_scan_hook", f"SELECT type, count(*) AS requests FROM (SELECT DISTINCT doc_id, type FROM {hits_sql(RULES, 'documents')} h) x GROUP BY 1")
+def _x05(spark, sf):
+    """A hook that keeps a table of the types it has seen; a second one that fails is reported and stops nothing."""
+    path = f"{work_dir(spark, 'x05')}/seen"
+    plug = Plugins(post_scan=[lambda results: 1 / 0, lambda results: results.groupBy("type").agg(F.count_distinct("doc_id").alias("requests")).write.parquet(path)])
+    jobs.finish(detect.scan(docs(spark, sf), RULES, keep=["doc_id"]), jobs.ScanConfig(plugins=plug))
+    if [f.hook for f in plug.failures] != ["post_scan"]:
+        raise RuntimeError(f"hooks failed: {plug.failures}")
+    return spark.read.parquet(path)
+
+
+@query("x06_response_filter_hook", f"""
+SELECT doc_id, detector, type, value FROM {hits_sql(SECRETS, SEEDED)} h WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, detector, type, value FROM {hits_sql(INJ, SEEDED, first_only=True)} h WHERE doc_id % 3 <> 0""")
+def _x06(spark, sf):
+    """A hook that lets some responses pass unscanned."""
+    plug = Plugins(response_filter=lambda texts: texts.where("doc_id % 3 <> 0"))
+    found = jobs.scan_response_texts(seeded(spark, sf).select("doc_id", "text"), jobs.ScanConfig(rules=RULES, plugins=plug), keep=["doc_id"])
+    return found.select("doc_id", "detector", "type", "value")
+
+
+def _chunk_stream(spark, sf, name, build):
+    """Documents as responses in chunks of 150 characters, which arrive out of order and in turns."""
+    t = seeded(spark, sf).select(F.col("doc_id").alias("response_id"), F.expr("regexp_extract_all(concat(text, ' '), '(?s).{1,150}', 0)").alias("parts"))
+    chunks = t.select("response_id", F.size("parts").alias("n"), F.posexplode("parts").alias("chunk_no", "text"))
+    chunks = chunks.select("response_id", "chunk_no", "text", (F.col("chunk_no") == F.col("n") - 1).alias("last"))
+    schema = []
+
+    def start(stream, base):
+        out = build(chunking.pieces(stream, keep_ms=None))
+        schema[:] = [out.schema]
+        return _to_files(out, base)
+
+    base = _in_turns(spark, chunks, F.pmod(F.floor(F.col("chunk_no") / 2) + F.col("response_id"), F.lit(TURNS)), name, start)
+    return spark.read.schema(schema[0]).parquet(f"{base}/t")
+
+
+@query("x06_response_chunk_scan", f"SELECT DISTINCT doc_id AS response_id, type, sha256(value) AS value_hash FROM {HITS}")
+def _x06b(spark, sf):
+    found = _chunk_stream(spark, sf, "x06b", lambda p: chunking.scan_pieces(p, RULES).select("response_id", "type", F.sha2("value", 256).alias("value_hash")))
+    return found.distinct()
+
+
+@query("x06_response_chunk_hook", f"SELECT doc_id AS response_id, md5(regexp_replace(concat(text, ' '), 'AKIA[0-9A-Z]{{16}}', '<key>', 'g')) AS md5 FROM {SEEDED} s")
+def _x06c(spark, sf):
+    """A hook that rewrites what is passed on; a key that lies across two chunks is rewritten whole."""
+    plug = Plugins(response_chunk=lambda pieces: pieces.withColumn("text", F.regexp_replace("text", "AKIA[0-9A-Z]{16}", "<key>")))
+    out = _chunk_stream(spark, sf, "x06c", lambda p: plug.run_response_chunk(chunking.owned(p)).select("response_id", "chunk_no", "text"))
+    whole = files.assemble_chunks(out)
+    return whole.select("response_id", md5())
+
+
+@query("x08_tool_policy_hook", f"""
+SELECT e.event_id AS msg_no, CASE WHEN event_type = 'error' THEN 'blocked' WHEN k % 12 = 4 THEN 'blocked' WHEN event_type = 'view' THEN 'alerted'
+  WHEN NOT coalesce(NOT (e.event_id > bound) OR list_contains(known_tools, {_TOOLNAME}), true) THEN 'alerted' WHEN n > 0 THEN 'alerted' ELSE 'allowed' END AS status
+FROM {_E} e LEFT JOIN {_INV} i USING (user_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM {hits_sql(SECRETS, '(SELECT event_id AS doc_id, to_json(event_type) AS text FROM events)')} h GROUP BY 1) f ON f.doc_id = e.event_id WHERE {_KIND} = 'call'""")
+def _x08(spark, sf):
+    """An evaluator that blocks calls of one kind of event and flags those of another."""
+    m = tooling.parse_messages(_messages(spark, sf))
+    calls = tooling.bind_calls(tooling.tool_calls(m), tooling.tool_lists(m)).withColumn("arguments", F.to_json(F.struct(F.col("event_type").alias("q"))))
+    plug = Plugins(tool_policy=lambda c: F.when(F.col("event_type") == "error", "block").when(F.col("event_type") == "view", "alert"))
+    found = tooling.scan_arguments(calls, SECRETS, blocked=["tool_4"])
+    return jobs.tool_call_verdicts(calls, found, jobs.ScanConfig(plugins=plug)).select("msg_no", "status")
+
+
+@query("x10_extra_clients", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'aider' WHEN 2 THEN CASE WHEN event_id % 7 = 1 THEN 'opencode' ELSE concat('ai-sdk/openai/3.', CAST(user_id AS STRING)) END
+   WHEN 3 THEN 'copilot' WHEN 4 THEN 'my_tool' ELSE '' END AS client_id, CASE WHEN event_id % 6 = 4 THEN 'My Tool' END AS mine FROM events""")
+def _x10(spark, sf):
+    """A client of the caller's own; it does not take the place of a built-in one."""
+    plug = Plugins()
+    plug.register_clients([("my_tool", "My Tool", "cli", "multi", ("mytool/",)), ("mine_too", "x", "cli", "multi", ("aider/",))])
+    c = jobs.client_columns(_requests(spark, sf), jobs.ScanConfig(plugins=plug))
+    return c.select("event_id", "client_id", F.when(F.col("client_display") == "My Tool", F.col("client_display")).alias("mine"))
+
+
+@query("x10_channel_types", with_findings("SELECT 'pager' AS channel_type, severity, count(*) AS n FROM f WHERE severity = 'critical' GROUP BY 2 UNION ALL SELECT 'digest', severity, count(*) FROM f WHERE severity IN ('high', 'critical') AND action_taken = 'block' GROUP BY 2"))
+def _x10b(spark, sf):
+    """Senders of two channel types that file what they are sent; a third type has no sender, which is reported."""
+    base = work_dir(spark, "x10")
+    channels = spark.sql("SELECT * FROM VALUES ('a', 'pager', array(), 'critical'), ('b', 'digest', array('block'), 'high'), ('c', 'fax', array('log'), 'info') AS t(channel_id, channel_type, events, min_severity)")
+    channels = channels.withColumn("events", F.col("events").cast("array<string>"))
+    alerts = governance.route_alerts(findings(spark, sf).withColumn("action", F.col("action_taken")), channels.drop("channel_type")).join(F.broadcast(channels.select("channel_id", "channel_type")), "channel_id")
+    send = lambda name: lambda rows: rows.groupBy("channel_type", "severity").agg(F.count("*").alias("n")).write.parquet(f"{base}/{name}")
+    plug = Plugins(channel_types={name: send(name) for name in ("pager", "digest")})
+    served = plug.run_channels(alerts)
+    if [f.hook for f in plug.failures] != ["channel fax"]:
+        raise RuntimeError(f"hooks failed: {plug.failures}")
+    return spark.read.parquet(*(f"{base}/{name}" for name in served))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------
 def _stream(spark, sf, name):
     """A given table as a file stream."""
     return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+TURNS = 5
+
+
+@contextmanager
+def _state_store(spark):
+    """Keyed streams keep their state in RocksDB; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def _in_turns(spark, rows, turn, name, start):
+    """Rows arrive in turns: after each, ``start(stream, folder)`` takes up the stream where it stopped. The folder."""
+    base, schema = work_dir(spark, name), rows.schema
+    with _state_store(spark):
+        for k in range(TURNS):
+            rows.where(turn == k).write.mode("append").parquet(f"{base}/in")
+            start(spark.readStream.schema(schema).parquet(f"{base}/in"), base).awaitTermination()
+    return base
+
+
+def _by_time(events):
+    """The events' turns: fifths of the time they cover."""
+    least, most = events.agg(F.min("ts"), F.max("ts")).first()
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (least, most))
+    return F.least(F.lit(TURNS - 1), F.floor((us - lo) * TURNS / F.greatest(hi - lo, F.lit(1)))).cast("int")
+
+
 def _drain(spark, df, name, mode="append"):
     """Run a stream over everything available and read its sink."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = work_dir(spark, name)
-    schema = df.schema
-    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start(f"{base}/t")
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/t")
+    with _state_store(spark):
+        _to_files(df, base, mode).awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/t")
+
+
+def _to_files(df, base, mode="append"):
+    return df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start(f"{base}/t")
+
+
+def _event_turns(spark, sf, name, build):
+    """``build(stream of events)`` over the events in turns, its state carried from one to the next; what it put out."""
+    events, schema = table(spark, sf, "events"), []
+
+    def start(stream, base):
+        out = build(stream)
+        schema[:] = [out.schema]
+        return _to_files(out, base)
+
+    base = _in_turns(spark, events, _by_time(events), name, start)
+    return spark.read.schema(schema[0]).parquet(f"{base}/t")
 
 
-def _stream_findings(spark, sf):
+def _stream_findings(events):
     from dredgeline.plans.registry import _FINDINGS
 
-    return spark.sql(_FINDINGS.format(events="{e}"), e=_stream(spark, sf, "events"))
+    return events.sparkSession.sql(_FINDINGS.format(events="{e}"), e=events)
 
 
-def _keyed(spark, sf):
-    f = _stream_findings(spark, sf)
+def _keyed(events):
+    f = _stream_findings(events)
     return f.select("id", F.col("timestamp").cast("timestamp").alias("ts"), "detector", F.col("event_type").alias("type"), F.sha2("value", 256).alias("value_hash"), "session_id")
 
 
@@ -260,7 +416,7 @@ def _r01(spark, sf):
 
 @query("r02_streaming_finding_ttl", with_more(_TTL_SQL.format(ttl=86400)))
 def _r02(spark, sf):
-    return _drain(spark, state.finding_ttl(_keyed(spark, sf), 86400, None).select("id"), "r02")
+    return _event_turns(spark, sf, "r02", lambda e: state.finding_ttl(_keyed(e), 86400, None).select("id"))
 
 
 @query("r03_streaming_text_dedup", with_more("""
@@ -269,50 +425,60 @@ e AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY ts, id) AS ep FRO
 c AS (SELECT session_id, ep, k, min((ts, id)) AS first FROM e WHERE action NOT IN ('block', 'redact') OR (action = 'block' AND k % 4 = 0) GROUP BY ALL)
 SELECT id AS req_id, coalesce(c.first < (e.ts, e.id), false) AS skipped FROM e LEFT JOIN c ON c.session_id = e.session_id AND c.ep = e.ep AND c.k = e.k"""))
 def _r03(spark, sf):
-    f = _stream_findings(spark, sf).select(F.col("id").alias("req_id"), F.col("timestamp").cast("timestamp").alias("ts"), "session_id", F.lit(0).alias("field_no"),
-                                           F.sha2(F.concat(F.lit("b"), F.col("k").cast("string")), 256).alias("text_hash"), F.col("action_taken").alias("action"), (F.col("k") % 4 == 0).alias("stripped"))
-    return _drain(spark, state.text_dedup(f.where("session_id <> ''"), 40000, keep_ms=None).select("req_id", "skipped"), "r03")
+    def build(events):
+        f = _stream_findings(events).select(F.col("id").alias("req_id"), F.col("timestamp").cast("timestamp").alias("ts"), "session_id", F.lit(0).alias("field_no"),
+                                            F.sha2(F.concat(F.lit("b"), F.col("k").cast("string")), 256).alias("text_hash"), F.col("action_taken").alias("action"), (F.col("k") % 4 == 0).alias("stripped"))
+        return state.text_dedup(f.where("session_id <> ''"), 40000, keep_ms=None).select("req_id", "skipped")
+
+    return _event_turns(spark, sf, "r03", build)
 
 
 @query("r04_streaming_upsert", with_findings("SELECT session_id, count(*) AS rows, CAST(sum(n) AS BIGINT) AS seen FROM (SELECT session_id, detector, finding_type, value, count(*) AS n FROM f WHERE session_id <> '' GROUP BY ALL) x GROUP BY 1"))
 def _r04(spark, sf):
     from dredgeline.sources.stores import read_findings
 
-    base = work_dir(spark, "r04")
-    f = _stream_findings(spark, sf).withColumnRenamed("finding_type", "type")
-    state.upsert_stream(f, f"{base}/t", f"{base}/c", b"pepper").awaitTermination()
+    def start(events, base):
+        return state.upsert_stream(_stream_findings(events).withColumnRenamed("finding_type", "type"), f"{base}/t", f"{base}/c", b"pepper")
+
+    events = table(spark, sf, "events")
+    base = _in_turns(spark, events, _by_time(events), "r04", start)
     return read_findings(spark, f"{base}/t").where("session_id <> ''").groupBy("session_id").agg(F.count("*").alias("rows"), F.sum("seen_count").alias("seen"))
 
 
 @query("r05_streaming_unsolicited", _J9)
 def _r05(spark, sf):
-    e = _stream(spark, sf, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
-    m = e.select(F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_DIR).alias("direction"), F.expr(_MID).alias("msg_id"))
-    return _drain(spark, state.unsolicited(m, None).where("direction = 'in'").select("msg_no", "msg_id", "valid"), "r05")
+    def build(events):
+        e = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
+        m = e.select(F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_DIR).alias("direction"), F.expr(_MID).alias("msg_id"))
+        return state.unsolicited(m, None).where("direction = 'in'").select("msg_no", "msg_id", "valid")
+
+    return _event_turns(spark, sf, "r05", build)
 
 
 @query("r05_streaming_tool_binding", f"""
 SELECT e.event_id AS msg_no, coalesce(NOT (e.event_id > bound) OR list_contains(known_tools, {_TOOLNAME}), true) AS known FROM {_E} e LEFT JOIN {_INV} i USING (user_id) WHERE {_KIND} = 'call'""")
 def _r05b(spark, sf):
-    e = _stream(spark, sf, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
-    m = e.where(F.expr(_KIND) != "other").select(
-        F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_KIND).alias("kind"), F.expr(_TOOLNAME).alias("tool_name"),
-        F.expr("if(event_id % 5 = 0, transform(array(0, 1, 2), j -> concat('tool_', (k + j) % 12)), cast(array() as array<string>))").alias("tool_names"))
-    return _drain(spark, state.tool_binding(m, None).where("kind = 'call'").select("msg_no", "known"), "r05b")
+    def build(events):
+        e = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
+        m = e.where(F.expr(_KIND) != "other").select(
+            F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_KIND).alias("kind"), F.expr(_TOOLNAME).alias("tool_name"),
+            F.expr("if(event_id % 5 = 0, transform(array(0, 1, 2), j -> concat('tool_', (k + j) % 12)), cast(array() as array<string>))").alias("tool_names"))
+        return state.tool_binding(m, None).where("kind = 'call'").select("msg_no", "known")
+
+    return _event_turns(spark, sf, "r05b", build)
 
 
 @query("r06_live_counters", with_findings("SELECT strftime(date_trunc('minute', timestamp), '%Y-%m-%d %H:%M') AS minute, event_type AS type, count(*) AS hits FROM f GROUP BY 1, 2"))
 def _r06(spark, sf):
-    s = _stream_findings(spark, sf).select(F.col("timestamp").cast("timestamp").alias("ts"), F.col("event_type").alias("type"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s = _stream_findings(_stream(spark, sf, "events")).select(F.col("timestamp").cast("timestamp").alias("ts"), F.col("event_type").alias("type"))
     base, name = work_dir(spark, "r06"), "r06_live_counters"
     counts = state.live_counters(s)
 
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/t/b={batch_id}")
 
-    q = counts.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{base}/c").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with _state_store(spark):
+        counts.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{base}/c").queryName(name).trigger(availableNow=True).start().awaitTermination()
     # Update mode: the last batch that carries a window holds its final count.
     out = spark.read.parquet(f"{base}/t").groupBy("window_start", "type").agg(F.max_by("hits", "b").alias("hits"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("minute"), "type", "hits")
@@ -330,8 +496,3 @@ def _r08(spark, sf):
     c = files.assemble_chunks(chunks)
     d = docs(spark, sf).select(F.col("doc_id").alias("response_id")).join(c, "response_id", "left")
     return d.select("response_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
-
-
-@query("r09_late_data", with_findings("SELECT count(*) AS late FROM f WHERE timestamp < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 MINUTE"))
-def _r09(spark, sf):
-    return state.count_late(findings(spark, sf), "2024-01-20 00:00:00", "timestamp")

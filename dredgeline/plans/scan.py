@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dredgeline.operators import detect, extract, filters, governance, policy, textprep
+from dredgeline.operators import detect, extract, filters, governance, identity, policy, textprep, tooling
 from dredgeline.plans.plugins import Plugins
 from dredgeline.session import spread
 from dredgeline.sources import files
@@ -105,8 +105,37 @@ def scan_requests(requests: DataFrame, cfg: ScanConfig | None = None, key: str =
 
 
 def request_results(requests: DataFrame, findings: DataFrame, cfg: ScanConfig | None = None, key: str = "req_id") -> DataFrame:
+    """Decided requests, by the evaluate hook or the policy; post-scan hooks are called with them."""
     cfg = cfg or ScanConfig()
-    return cfg.plugins.run_evaluate(findings, lambda f: policy.request_verdicts(requests, f, [key], cfg.default_action, ORDER))
+    return finish(cfg.plugins.run_evaluate(findings, lambda f: policy.request_verdicts(requests, f, [key], cfg.default_action, ORDER)), cfg)
+
+
+def finish(results: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """Results of a job on their way out: hooks that wait for them get them first."""
+    return cfg.plugins.run_post_scan(results)
+
+
+def redact_texts(texts: DataFrame, findings: DataFrame, cfg: ScanConfig | None = None, keys: Sequence[str] = ("req_id",), text: str = "text") -> DataFrame:
+    """Texts with the values of findings to redact replaced, by the redaction hook if there is one."""
+    return (cfg or ScanConfig()).plugins.run_redact(texts, findings, list(keys), text)
+
+
+def scan_response_texts(texts: DataFrame, cfg: ScanConfig | None = None, prefix: str = "response.", keep: Sequence[str] = ("response_id",)) -> DataFrame:
+    """Findings in response texts, after the response hook has let them pass."""
+    cfg = cfg or ScanConfig()
+    rules = detect.active_rules(cfg.rules, licensed=cfg.licensed, skip=cfg.plugins.skip_rules)
+    return tooling.scan_responses(cfg.plugins.run_response_filter(texts), rules, prefix, keep)
+
+
+def tool_call_verdicts(calls: DataFrame, findings: DataFrame, cfg: ScanConfig | None = None, binding_action: str = "warn", argument_action: str = "alert", key: str = "msg_no") -> DataFrame:
+    """Outcome of each tool call, the policy hook's word included."""
+    return tooling.call_verdicts(calls, findings, binding_action, (cfg or ScanConfig()).plugins.run_tool_policy(calls), argument_action, key)
+
+
+def client_columns(requests: DataFrame, cfg: ScanConfig | None = None, headers: str = "headers") -> DataFrame:
+    """Requests with the columns of their client, extra clients included."""
+    found = identity.client_columns(identity.header("user-agent", headers), F.col(headers), (cfg or ScanConfig()).plugins.clients())
+    return requests.select("*", *(c.alias(n) for n, c in found.items()))
 
 
 def scan_documents(docs: DataFrame, cfg: ScanConfig | None = None, key: str = "file", text: str = "text", baseline: DataFrame | None = None) -> DataFrame:
@@ -124,9 +153,3 @@ def scan_diffs(diffs: DataFrame, cfg: ScanConfig | None = None, key: str = "diff
     fields = x.select(key, "file", F.lit(0).alias("field_no"), F.col("file").alias("path"), "text", F.col("file").alias("source_filename"))
     found = scan_texts(fields, [key, "file"], cfg)
     return governance.suppress_baseline(found, baseline, file="file") if baseline is not None else found
-
-
-def observe_stage(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Row counter of a stage, read after the action that runs it."""
-    obs = Observation(name)
-    return df.observe(obs, F.count("*").alias("rows")), obs

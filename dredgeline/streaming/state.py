@@ -184,12 +184,6 @@ def finding_ttl(df: DataFrame, ttl_seconds: int = TTL_SECONDS, keep_ms: int | No
     return keyed.unionByName(df.where("session_id = ''"))
 
 
-def finding_ttl_fast(df: DataFrame, ttl: str = "30 minutes") -> DataFrame:
-    """JVM-only variant: expiry follows the watermark and which duplicate stays is arbitrary."""
-    keyed = df.where("session_id <> ''").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["detector", "type", "value_hash", "session_id"])
-    return keyed.unionByName(df.where("session_id = ''"))
-
-
 def text_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, keep_ms: int | None = KEEP_MS) -> DataFrame:
     return _apply(df, ["session_id"], TextDedup(df.columns, ttl_seconds), _flag("skipped"), keep_ms)
 
@@ -228,11 +222,6 @@ def live_counters(findings: DataFrame, every: str = "1 minute", delay: str = "10
         F.col("w.start").alias("window_start"), "type", "hits")
 
 
-def count_late(df: DataFrame, max_ts: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Rows that a watermark at ``max_ts`` minus ``delay`` would drop."""
-    return df.where(F.col(ts) < F.lit(max_ts).cast(df.schema[ts].dataType) - F.expr(f"INTERVAL {delay}")).agg(F.count("*").alias("late"))
-
-
 def upsert_stream(df: DataFrame, path: str, checkpoint: str, hmac_key: bytes = b"", ts: str = "timestamp"):
     """``foreachBatch`` merge into a findings store; replayed batches count once."""
     from dredgeline.sources.stores import write_findings
@@ -243,11 +232,6 @@ def upsert_stream(df: DataFrame, path: str, checkpoint: str, hmac_key: bytes = b
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_events(verdicts: DataFrame) -> DataFrame:
-    """Feed of scan events, one per request."""
-    return verdicts.select(F.lit("scan").alias("event"), "req_id", "action", "finding_count")
-
-
 def finding_events(findings: DataFrame) -> DataFrame:
     """Feed of finding events, one per new finding; no raw value."""
     return findings.select(F.lit("finding").alias("event"), "req_id", "detector", "type", "severity", "location", "action", "value_preview")
