@@ -167,12 +167,17 @@ def _encode(path: str, pattern: str, decoded: bool):
 
 
 def encode_rows(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> DataFrame:
-    """All columns of ``docs`` with ids (and decoded, the ids' bytes) after them; see :func:`encode`."""
+    """All columns of ``docs`` with ids (and decoded, the ids' bytes) after them; see :func:`encode`.
+
+    Columns of ``docs`` that are called so already are left out: the new ones take their place.
+    """
+    new = ["ids", *["decoded"] * decoded]
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
     schema = T.StructType([T.StructField("rest", packed.schema["rest"].dataType), *T.StructType.fromDDL("text string, ids array<int>" + ", decoded binary" * decoded)])
     out = packed.mapInArrow(_encode(path, pattern, decoded), schema)
-    return out.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns), "ids", *["decoded"] * decoded)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns), *new)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:

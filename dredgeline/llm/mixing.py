@@ -26,7 +26,10 @@ from dredgeline.llm.quality_rules import bound
 from dredgeline.llm.store import scratch
 
 WEIGHTS = (5, 2, 1)
-BLOCKS, SHARDS, SHARE, REPEATS = 256, 16, 1.5, 2
+SHARE, REPEATS = 1.5, 2
+#: Fewest and most shards and blocks of a source, and the words meant for one: both grow with the corpus, in powers of two.
+SHARDS, MOST_SHARDS, SHARD_WORDS = 16, 1 << 16, 1 << 22
+BLOCKS, MOST_BLOCKS, BLOCK_WORDS = 256, 1 << 20, 1 << 18
 #: A table of blocks up to this many rows is broadcast.
 SMALL = 200_000
 #: Single documents that fill up a source's last block.
@@ -42,13 +45,19 @@ def _hash(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def _keyed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """docs with the source key (s, no_s), its block, and the document's place in the block."""
+def _grown(least: int, most: int, words: int, each: int) -> int:
+    """A power of two that gives each of so many about ``each`` words."""
+    return min(most, max(least, 1 << max(0, -(-words // each) - 1).bit_length()))
+
+
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with the source key (s, no_s), the number that gives its block, and the document's place in the block."""
     h = _hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    return docs.withColumns({
-        "__s": F.coalesce("source", F.lit("")), "__no": F.col("source").isNull().cast("int"),
-        "__block": (_number(h, 1, 8) % blocks).cast("int"), "__key": _number(h, 9, 15),
-    })
+    return docs.withColumns({"__s": F.coalesce("source", F.lit("")), "__no": F.col("source").isNull().cast("int"), "__h": _number(h, 1, 8), "__key": _number(h, 9, 15)})
+
+
+def _blocked(keyed: DataFrame, blocks: int) -> DataFrame:
+    return keyed.withColumn("__block", (F.col("__h") % blocks).cast("int")).drop("__h")
 
 
 def _log_factorial(n: Column) -> Column:
@@ -134,7 +143,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.withColumn("target", F.least(F.col("limit").cast("double"), F.max("level").over(every) * F.col("w"))).drop("w", "limit", "total", "level")
 
 
-def plan(slim: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+def plan(slim: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """A row per block: the largest document key that epoch 0 and 1 draw (-1: none), single further keys, and the shards.
 
     ``slim`` is a stored table (__s, __no, __block, __key, size) of all documents.
@@ -183,46 +192,54 @@ def _draws(e: int) -> Column:
     return (F.col("__key") <= F.col(f"upto{e}")) | F.array_contains("picks", F.struct(F.lit(e).alias("e"), F.col("__key").alias("key")))
 
 
-def _slim(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """Sizes and keys of all documents, stored once: the texts are read for nothing else."""
+def _drawn() -> Column:
+    """(shard, epoch) of every time that a document is drawn: by the shard that the tree gave its block to, or, as a fill, by that of the cut block."""
+    shards = (F.struct(F.when(_draws(e), F.coalesce(F.when(F.col("__key") <= F.col(f"upto{e}"), F.col(f"shard{e}")), F.col("to"))).alias("shard"), F.lit(e).alias("epoch")) for e in range(REPEATS))
+    return F.filter(F.array(*shards), lambda x: x["shard"].isNotNull())
+
+
+def _slim(docs: DataFrame, seed: int, blocks: int | None, shards: int | None) -> tuple[DataFrame, int, int]:
+    """Sizes and keys of all documents, stored once, the texts are read for nothing else; the numbers of blocks and shards."""
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    return scratch(_keyed(docs.select("doc_id", "text", "source"), blocks, seed).select("doc_id", "__s", "__no", "__block", "__key", size.alias("size")), "mix-sizes")
+    slim = scratch(_keyed(docs.select("doc_id", "text", "source"), seed).select("doc_id", "__s", "__no", "__h", "__key", size.alias("size")), "mix-sizes")
+    if blocks is None or shards is None:
+        words = int(slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+        blocks = blocks or _grown(BLOCKS, MOST_BLOCKS, words, BLOCK_WORDS)
+        shards = shards or _grown(SHARDS, MOST_SHARDS, int(words * SHARE), SHARD_WORDS)
+    return _blocked(slim, blocks), blocks, shards
 
 
 def _bounded(table: DataFrame) -> DataFrame:
-    """Broadcast a table of blocks if it is small; its size grows with the sources, not the documents."""
+    """Broadcast a table of blocks if it is small; its size grows with the sources and blocks."""
     table = scratch(table, "mix-plan")
     return F.broadcast(table) if table.count() <= SMALL else table
 
 
-def mix_report(docs: DataFrame, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document (see :func:`mix`)."""
-    slim = _slim(docs, blocks, seed)
-    copies = sum(_draws(e).cast("long") for e in range(REPEATS))
-    return slim.join(_bounded(plan(slim, SHARDS, seed)), ["__s", "__no", "__block"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")
-    )
+def mix_report(docs: DataFrame, blocks: int | None = None, seed: int = 0, shards: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shards (those that draw it, one each time) of every document (see :func:`mix`)."""
+    slim, blocks, shards = _slim(docs, seed, blocks, shards)
+    found = slim.join(_bounded(plan(slim, shards, seed)), ["__s", "__no", "__block"]).withColumn("drawn", _drawn())
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("drawn")).alias("taken"), F.transform("drawn", lambda x: x["shard"]).alias("shards"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 0, with_shard: bool = False) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 0, with_shard: bool = False) -> DataFrame:
     """The mixed corpus: the drawn copies of the documents, by shard, in the shard's own random order.
 
     Sizes are words; null text has none and is never drawn, like any empty text. A null source is a
     source of its own; rows with one doc_id are drawn together, rows with a null one by their text.
-    An empty table gives an empty mix. All columns of ``docs`` stay, whatever their names; with
-    ``with_shard`` the columns shard and epoch follow. A run with the same rows and seed gives the
-    same mix.
+    Blocks of over a fiftieth of their source, as there are in small sources only, are drawn first as far
+    as they fit, so that a small source comes near its target; all other blocks are drawn in permuted
+    order. An empty table gives an empty mix. All columns of ``docs`` stay, whatever
+    their names; with ``with_shard`` the columns shard and epoch follow. A run with the same rows and
+    seed gives the same mix.
     """
-    slim = _slim(docs, blocks, seed)
+    slim, blocks, shards = _slim(docs, seed, blocks, shards)
     table = _bounded(plan(slim, shards, seed)).drop("source_size", "target")
-    names = docs.columns
-    draws = F.filter(
-        F.array(*(F.struct(F.when(_draws(e), F.coalesce(F.when(F.col("__key") <= F.col(f"upto{e}"), F.col(f"shard{e}")), F.col("to"))).alias("shard"), F.lit(e).alias("epoch")) for e in range(REPEATS))),
-        lambda x: x["shard"].isNotNull(),
-    )
     nonempty = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = _keyed(docs.where(nonempty), blocks, seed).join(table, ["__s", "__no", "__block"])
-    out = out.withColumn("__draw", F.explode(draws)).withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), "__draw.epoch", "__key", F.col("doc_id").cast("string"))))
-    out = out.withColumn("__shard", F.col("__draw.shard")).repartition(shards, "__shard").sortWithinPartitions("__shard", "__order")
-    extra = [F.col("__shard").alias("shard"), F.col("__draw.epoch").alias("epoch")] if with_shard else []
-    return out.select(*(F.col(f"`{c}`") for c in names), *extra)
+    rows = docs.where(nonempty).select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = _blocked(_keyed(rows, seed).select("__s", "__no", "__h", "__key", "row", F.col("doc_id").cast("string").alias("id")), blocks).join(table, ["__s", "__no", "__block"])
+    out = out.select("row", "id", "__key", F.explode(_drawn()).alias("draw"))
+    out = out.select("row", F.col("draw.shard").alias("shard"), F.col("draw.epoch").alias("epoch"), F.md5(F.concat_ws(":", F.lit(str(seed)), "draw.epoch", "__key", "id")).alias("order"))
+    # A shard is a partition: its number is the partition's.
+    out = out.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "order")
+    return out.select("row.*", *(["shard", "epoch"] if with_shard else []))

@@ -2,8 +2,7 @@
 
 Seeds: every window of ``length`` words picks its smallest hashed ``seed``-word sequence (winnowing),
 so two equal windows pick the same seed at the same place. Neighbouring windows with one seed form a
-block: a row (seed, block, document, first window, windows). Documents are joined on seeds; seeds
-of one document alone are dropped there.
+block: a row (seed, block, document, first window, windows). Seeds of one document alone are dropped.
 
 Extension: blocks of equal content are one class, whose smallest document stands for it, so copies
 are never paired with each other. A seed whose classes differ is extended both ways in those
@@ -111,15 +110,15 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     """(did, th, lo, n): windows lo .. lo+n-1 of that document also start in a smaller document."""
     fn, schema = _seed_rows(length, seed)
     seeds = keyed.where(F.col("text").isNotNull()).select("did", "th", "text").mapInArrow(fn, schema)
-    # Join on the seed: only seeds of two documents or more go on.
-    shared = seeds.groupBy("seed").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("seed")
-    seeds = scratch(seeds.join(shared, "seed"), "seeds")
-    classes = seeds.groupBy("seed", "block").agg(F.min("did").alias("least"))
-    joined = seeds.join(classes, ["seed", "block"])
+    seeds = scratch(seeds, "seeds")
+    # Rows of equal content are one class before anything meets on the seed alone: a seed that many places share is then as many rows as it has contents.
+    classes = seeds.groupBy("seed", "block").agg(F.min("did").alias("least"), F.max("did").alias("most"))
+    shared = classes.groupBy("seed").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
+    live = scratch(classes.join(shared, "seed").select("seed", "block", "least", (F.col("k") > 1).alias("several"), (F.col("least") < F.col("most")).alias("copied")).where("several OR copied"), "seed-classes")
+    joined = seeds.join(live, ["seed", "block"])
     copies = joined.where("did > least").select("did", "th", "lo", F.col("n").cast("int").alias("n"))
-    several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seed")
     todo = (
-        joined.where("did = least").join(several, "seed")
+        joined.where("did = least AND several")
         .groupBy("did", "th").agg(F.collect_list(F.struct("seed", "lo", "n")).alias("todo"))  # at most one entry a window of the text
     )
     fn, schema = _window_rows(length)

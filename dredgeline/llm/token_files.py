@@ -28,7 +28,9 @@ from dredgeline.llm.store import scratch
 
 END_ID = 0
 #: Ids in a block (the last document may exceed them) and in a part, about.
-BLOCK, PART = 1 << 16, 1 << 22
+BLOCK, PART = 1 << 16, 1 << 20
+#: Most parts: beyond them parts grow, and a part is a task.
+MOST_PARTS = 1 << 16
 #: White space, and first bytes of white space beyond ASCII: pieces with them are encoded alone.
 ODD = frozenset((9, 10, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3))
 _workers: dict[str, Pieces] = {}
@@ -164,13 +166,13 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Pieces],
     for r in ids.select("n", "ids").mapInArrow(fn, schema).groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     lengths = huffman.code_lengths(counts, limit)
-    parts = max(1, int(counts.sum()) // PART)
+    parts = min(MOST_PARTS, max(1, int(counts.sum()) // PART))
     bounds = np.zeros(0, np.int64)
     if parts > 1:
         at = [k / parts for k in range(1, parts)]
-        bounds = np.unique(np.array(ids.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] or [], np.int64))
+        bounds = np.unique(np.array(ids.agg(F.percentile_approx("doc_id", at, max(10_000, 4 * parts))).first()[0] or [], np.int64))
     fn, schema = _pack(lengths, bounds, width)
-    packed = ids.mapInArrow(fn, schema).repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "packed")
+    packed = ids.mapInArrow(fn, schema).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "packed")
     ddl = "part int, block int, first long, doc_ids array<long>, n array<int>, bytes array<int>, packed binary, points binary"
     packed.mapInArrow(_blocks, ddl).write.option("compression", "none").parquet(f"{path}/blocks")
     used = np.flatnonzero(lengths)

@@ -225,8 +225,9 @@ def test_bpe_matches_the_library(docs, clashing, empty):
          [(i, ",".join(map(str, library.encode_ordinary(t or ""))), t or "") for i, t, *_ in corpus()])
     back = bpe.decode(got.select("doc_id", "ids"), RANKS, public_tokenizers.PATTERN)
     same(back.selectExpr("doc_id", "CAST(decoded AS string)"), [(i, t or "") for i, t, *_ in corpus()])
-    wide = bpe.encode_rows(clashing.drop("ids"), RANKS, public_tokenizers.PATTERN)
-    assert wide.columns == [*clashing.drop("ids").columns, "ids", "decoded"] and wide.count() == len(corpus())
+    wide = bpe.encode_rows(clashing.withColumnRenamed("did", "decoded"), RANKS, public_tokenizers.PATTERN)
+    assert wide.columns == [*clashing.drop("ids", "did").columns, "ids", "decoded"]
+    same(wide.selectExpr("doc_id", "size(ids)", "CAST(decoded AS string)"), [(i, len(library.encode_ordinary(t or "")), t or "") for i, t, *_ in corpus()])
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
@@ -273,6 +274,7 @@ def test_mixing(docs, clashing, empty, spark):
     assert sorted(((r.doc_id, r.size) for r in got), key=repr) == sorted(((i, len(ws(t))) for i, t, *_ in rows), key=repr)
     assert all(r.taken <= 2 * r.size and r.taken % max(1, r.size) == 0 for r in got)
     same(mixing.mix_report(clashing), [tuple(r) for r in got])  # reruns agree
+    assert all(r.taken == r.size * len(r.shards) for r in got)
     expected = {round(t, 6): s for s, t in want.items()}
     taken = Counter()
     for r in got:
@@ -282,14 +284,17 @@ def test_mixing(docs, clashing, empty, spark):
     for s, t in want.items():
         largest = max(len(ws(x)) for _, x, _, y, _ in rows if y == s)
         assert abs(taken[s] - t) <= 0.01 * t + largest / 2
-    mix = mixing.mix(clashing, shards=4)
-    assert mix.columns == clashing.columns
+    given = clashing.withColumnsRenamed({"did": "to", "th": "picks", "found": "upto0", "lo": "__key", "fp": "__s", "held_out": "row", "key": "order"})
+    mix = mixing.mix(given, shards=4)
+    assert mix.columns == given.columns and mix.exceptAll(given.unionAll(given)).count() == 0
     shards = mixing.mix(docs, shards=4, with_shard=True).collect()
     drawn = Counter()
     for r in shards:
         drawn[r.source] += len(ws(r.text))
     assert drawn == +taken and {r.shard for r in shards} <= set(range(4))
-    assert len({(r.doc_id, r.text, r.epoch) for r in shards}) <= len(shards)
+    # What the shards hold is what the report says they draw, and by the tree they share every source's blocks.
+    report = Counter((r.doc_id, x) for r in mixing.mix_report(docs, shards=4).collect() for x in r.shards if r.size)
+    assert Counter((r.doc_id, r.shard) for r in shards) == report
     assert mixing.mix(empty).count() == 0 and mixing.mix_report(empty).count() == 0
 
 
