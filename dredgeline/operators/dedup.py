@@ -1,8 +1,9 @@
 """Repeats across requests and over time.
 
-Order-dependent rules are split into islands, stretches of a key's history that cannot
-influence each other. Windows run over (key, time bucket) and a per-bucket summary carries
-state across buckets; replays stream through sorted partitions in constant memory.
+Order-dependent rules (finding TTL, rate limit) are no replay of a key's history. It is cut into blocks of
+time; each block tells, for any state it may be entered in, the state it is left in; these short
+tables are run through in order; then each block, knowing its entry, decides its rows. Other
+windows run over (key, time bucket), and a per-bucket summary carries state across buckets.
 """
 
 from __future__ import annotations
@@ -48,50 +49,6 @@ def islands(df: DataFrame, keys: Sequence[str], us: str, gap_us: int, strict: bo
     return out.withColumn(name, F.col("_i_n") + F.col("_i_off")).select(*df.columns, name)
 
 
-def pieces(df: DataFrame, keys: Sequence[str], us: str, gap_us: int, name: str = "island") -> DataFrame:
-    """Coarser islands, for replays that a pause of ``gap_us`` resets.
-
-    Time is cut into buckets of the pause's width; an empty bucket is such a pause, so each
-    run of consecutive non-empty buckets can be replayed on its own. The only per-key window
-    runs over the distinct buckets.
-    """
-    keys = list(keys)
-    x = df.withColumn("_i_b", F.floor(F.col(us) / F.lit(gap_us)))
-    w = W.partitionBy(*keys).orderBy("_i_b")
-    runs = x.select(*keys, "_i_b").distinct().withColumn("_i_new", (F.col("_i_b") - F.coalesce(F.lag("_i_b").over(w), F.lit(-2)) > 1).cast("int"))
-    runs = runs.withColumn(name, F.sum("_i_new").over(w)).select(*keys, "_i_b", name)
-    return x.join(runs, [*keys, "_i_b"]).select(*df.columns, name)
-
-
-def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, out: str) -> DataFrame:
-    """Run ``step(state, us) -> (keep, state)`` over each key's rows in order; keep those it keeps.
-
-    Rows are hashed by key, sorted inside the partition and streamed through in Arrow
-    batches: memory stays constant however many rows a key has, and there is no per-key
-    call overhead. Returns the ``out`` column of the kept rows.
-    """
-    keys, order = list(keys), list(order)
-    schema = T.StructType([T.StructField(out, df.schema[out].dataType)])
-
-    def run(batches):
-        last_key, state = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cols = [pdf[k].to_numpy() for k in keys]
-            change = np.ones(len(pdf), dtype=bool)
-            change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-            change[0] = last_key != tuple(c[0] for c in cols)
-            keep = np.zeros(len(pdf), dtype=bool)
-            for i, (new, us) in enumerate(zip(change.tolist(), pdf[order[0]].tolist())):
-                keep[i], state = step(None if new else state, us)
-            last_key = tuple(c[-1] for c in cols)
-            yield pdf.loc[keep, [out]]
-
-    cols = list(dict.fromkeys([*keys, *order, out]))
-    return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 # ---- finding TTL ------------------------------------------------------------------------------
 #: Time spans of one TTL that a block of a key's history holds.
 SPAN = 8
@@ -255,30 +212,100 @@ def resend_counts(findings: DataFrame, skips: DataFrame, session: str = "session
 
 
 # ---- rate limit -----------------------------------------------------------------------------------
-def _bucket_step(capacity: int, refill_seconds: float):
-    """Take a token if there is one; a bucket starts full and refills linearly."""
-    rate, full = capacity / (refill_seconds * 1_000_000), float(capacity)
+# Credit is counted in whole numbers: a token is ``cost`` = the refill time in microseconds, a microsecond
+# brings ``capacity`` of it, and a full bucket holds capacity * cost. Without clamping, the credit at
+# time t of a block is z + capacity * t, and z changes only when a token is taken.
+def _admitted(t: np.ndarray, z: int, capacity: int, cost: int) -> list[int]:
+    """Positions of the sorted times of a block (from its start) that find a token, if the block is entered with credit ``z``."""
+    c, full, at, kept = t * capacity, capacity * cost, 0, []
+    while True:
+        at = max(at, int(np.searchsorted(c, cost - z)))
+        if at >= len(c):
+            return kept
+        kept.append(at)
+        z = min(full - int(c[at]), z) - cost
+        at += 1
+
+
+def _credit_table(t: np.ndarray, capacity: int, cost: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least, fixed, value): what a block does to the credit it is entered with, from each ``least`` on up to the next.
 
-    def step(state, us):
-        tokens = full if state is None else min(full, state[1] + (us - state[0]) * rate)
-        return (True, (us, tokens - 1.0)) if tokens >= 1.0 else (False, (us, tokens))
+    Fixed: it is left with z = value, since the bucket was full on the way. Else it takes ``value`` tokens
+    and leaves z less so many. Both can change only where a time finds exactly a whole number of tokens.
+    All stretches between are run at once, and neighbours that do the same are one.
+    """
+    c, full = t * capacity, capacity * cost
+    least = np.unique(np.concatenate(([0], ((-c % cost)[:, None] + np.arange(capacity + 1) * cost).ravel())))
+    least = least[least <= full]
+    z, after, fixed, taken = least.copy(), np.zeros(len(least), np.int64), np.zeros(len(least), bool), np.zeros(len(least), np.int64)
+    live = np.arange(len(least))
+    while len(live):
+        at = np.maximum(after[live], np.searchsorted(c, cost - z[live]))
+        live, at = live[at < len(c)], at[at < len(c)]
+        clamped = z[live] + c[at] >= full
+        z[live] = np.where(clamped, full - c[at], z[live]) - cost
+        fixed[live] |= clamped
+        taken[live] += 1
+        after[live] = at + 1
+    value = np.where(fixed, z, taken)
+    first = np.append(True, (value[1:] != value[:-1]) | (fixed[1:] != fixed[:-1]))
+    return least[first], fixed[first], value[first]
+
+
+def _credits(table: DataFrame, keys: list[str], capacity: int, cost: int, span: int) -> DataFrame:
+    """``keys``, block, z: the credit each block is entered with; a key's first block finds a full bucket."""
+    schema = T.StructType([*(table.schema[k] for k in keys), T.StructField("block", T.LongType()), T.StructField("z", T.LongType())])
+    full, length = capacity * cost, capacity * cost * span
 
-    return step
+    def run(batches):
+        last_key, last_block, z, does = None, None, full, None
+        for pdf in batches:
+            out = []
+            for *key, block, least, fixed, value in pdf[[*keys, "block", "least", "fixed", "value"]].itertuples(index=False, name=None):
+                if key != last_key or block != last_block:
+                    if key != last_key:
+                        z = full
+                    else:
+                        left = does[1] if does[0] else z - cost * does[1]
+                        z = min(full, left + length * (block - last_block))
+                    last_key, last_block = key, block
+                    out.append((*key, block, z))
+                if least <= z:
+                    does = (fixed, value)
+            yield pd.DataFrame(out, columns=[*keys, "block", "z"])
+
+    return table.repartition(*keys).sortWithinPartitions(*keys, "block", "least").mapInPandas(run, schema)
 
 
 def rate_limit(findings: DataFrame, capacity: int, refill_seconds: float, ts: str = "ts", row_id: str = "id",
-               origin: str = "origin", keys: Sequence[str] = ("detector", "type")) -> DataFrame:
-    """Adds ``admitted``: framework findings pass a token bucket per (detector, type).
+               origin: str = "origin", keys: Sequence[str] = ("detector", "type"), span: int = SPAN) -> DataFrame:
+    """Adds ``admitted``: framework findings pass a token bucket per (detector, type). Detector findings always pass, as do those without a time.
 
-    A pause of ``refill_seconds`` fills the bucket, so a key's history falls into pieces that
-    are replayed independently. Detector findings always pass.
+    A key's history is cut into blocks of ``span`` refills. Each block says, on its own, how much credit
+    it is left with for any it is entered with; these tables, a few rows each, are run through in order,
+    and each block, again on its own, admits its findings. Findings of one instant go by their id.
     """
-    gap, keys = int(refill_seconds * 1_000_000), list(keys)
-    fw = findings.where(F.col(origin) == "framework").select(*keys, _us(ts).alias("_us"), F.col(row_id))
-    kept = replay(pieces(fw, keys, "_us", gap), [*keys, "island"], ["_us", row_id], _bucket_step(capacity, refill_seconds), row_id)
-    kept = kept.withColumn("_ok", F.lit(True))
-    return findings.join(kept, row_id, "left").withColumn(
-        "admitted", (F.col(origin) != "framework") | F.col("_ok").isNotNull()).select(*findings.columns, "admitted")
+    cost, keys = int(refill_seconds * 1_000_000), list(keys)
+    limited = (F.col(origin) == "framework") & F.col(ts).isNotNull()
+    x = findings.where(limited).select(*keys, _us(ts).alias("_us"), F.col(row_id)).withColumn("block", F.floor(F.col("_us") / F.lit(cost * span)))
+    group = [*keys, "block"]
+    schema = T.StructType([*(x.schema[k] for k in group), T.StructField("least", T.LongType()), T.StructField("fixed", T.BooleanType()), T.StructField("value", T.LongType())])
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        least, fixed, value = _credit_table(np.sort(pdf["_us"].to_numpy()) - int(pdf["block"].iloc[0]) * cost * span, capacity, cost)
+        head = pdf.iloc[[0]][group]
+        return head.loc[head.index.repeat(len(least))].assign(least=least, fixed=fixed, value=value)
+
+    def admit(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if len(rows):
+            rows = rows.sort_values(["_us", row_id], kind="stable")
+            t = rows["_us"].to_numpy() - int(entry["block"].iloc[0]) * cost * span
+            rows = rows.iloc[_admitted(t, int(entry["z"].iloc[0]), capacity, cost)]
+        return rows[[row_id]]
+
+    entry = _credits(x.groupBy(*group).applyInPandas(table, schema), keys, capacity, cost, span)
+    kept = x.groupBy(*group).cogroup(entry.groupBy(*group)).applyInPandas(admit, T.StructType([findings.schema[row_id]])).withColumn("_ok", F.lit(True))
+    return findings.join(kept, row_id, "left").withColumn("admitted", F.coalesce(~limited, F.lit(True)) | F.col("_ok").isNotNull()).select(*findings.columns, "admitted")
 
 
 def suppression_counts(limited: DataFrame, keys: Sequence[str] = ("detector", "type")) -> DataFrame:

@@ -228,6 +228,50 @@ def test_finding_ttl_of_a_dense_key(spark, span):
     assert len({r.task for r in table}) > 1 and len(table) <= 1.3 * len(us) / span + 60
 
 
+def brute_bucket(rows, capacity, cost):
+    """Admitted ids of (id, us) in order, in whole numbers."""
+    full = credit = capacity * cost
+    last, kept = None, set()
+    for i, us in sorted(rows, key=lambda r: (r[1], r[0])):
+        if last is not None:
+            credit = min(full, credit + capacity * (us - last))
+        last = us
+        if credit >= cost:
+            credit -= cost
+            kept.add(i)
+    return kept
+
+
+def test_credit_tables_say_what_a_walk_does():
+    import numpy as np
+
+    rnd = random.Random(12)
+    for _ in range(60):
+        capacity, cost, span = rnd.randint(1, 5), rnd.choice([7, 100, 1000]), rnd.randint(1, 6)
+        full, length = capacity * cost, cost * span
+        t = np.sort(np.array([rnd.randrange(length) for _ in range(rnd.choice([1, 3, 40]))]))
+        least, fixed, value = dedup._credit_table(t, capacity, cost)
+        for z in {0, full, *(rnd.randint(0, full) for _ in range(30)), *least.tolist(), *(x - 1 for x in least.tolist() if x)}:
+            kept, left = dedup._admitted(t, z, capacity, cost), z
+            for k in kept:
+                left = min(full - capacity * int(t[k]), left) - cost
+            row = int(np.searchsorted(least, z, side="right")) - 1
+            assert left == (value[row] if fixed[row] else z - cost * value[row])
+
+
+@pytest.mark.parametrize("capacity,refill,span", [(1, 1.0, 1), (3, 0.5, 2), (5, 2.0, 8), (2, 0.001, 3)])
+def test_rate_limit_of_a_dense_key(spark, capacity, refill, span):
+    rnd = random.Random(capacity)
+    rows = [(i, "proxy", None if k else "scan_error", "framework", us) for k in range(2) for i, us in enumerate((rnd.choice((rnd.randrange(10**7), rnd.randrange(400) * 25_000)) for _ in range(700 - 500 * k)), 10_000 * k)]
+    rows += [(50_000, "proxy", "scan_error", "framework", 10**9), (50_001, "proxy", "scan_error", "detector", 10), (50_002, "proxy", "scan_error", "framework", None)]
+    df = spark.createDataFrame([(i, d, t, o, None if us is None else T0 + dt.timedelta(microseconds=us)) for i, d, t, o, us in rows], "id bigint, detector string, type string, origin string, ts timestamp_ntz")
+    got = {r.id for r in dedup.rate_limit(df, capacity, refill, span=span).where("admitted").collect()}
+    want = {50_001, 50_002}
+    for t in (None, "scan_error"):
+        want |= brute_bucket([(i, us) for i, _, x, o, us in rows if x == t and o == "framework" and us is not None], capacity, int(refill * 1e6))
+    assert got == want
+
+
 def test_text_dedup_brute_force(spark):
     rnd = random.Random(4)
     rows, now = [], T0
