@@ -12,10 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 TTL_SECONDS = 1800
 
@@ -50,20 +53,111 @@ def islands(df: DataFrame, keys: Sequence[str], us: str, gap_us: int, strict: bo
 
 
 # ---- finding TTL ------------------------------------------------------------------------------
-#: Time spans of one TTL that a block of a key's history holds.
+#: Time spans of one TTL, or refills, that a block of a key's history holds.
 SPAN = 8
-_TTL_KEYS = ["_d", "_t", "_vh", "_s"]
 
 
-def _hops(t: np.ndarray, ttl: int) -> np.ndarray:
-    """Position of the next kept time after each of the sorted ``t``; itself where that lies beyond them."""
-    after = np.searchsorted(t, t + ttl)
-    return np.where(after < len(t), after, np.arange(len(t)))
+def _key(*columns: str) -> Column:
+    """One text that names a key; null is not the empty string."""
+    return F.to_json(F.struct(*columns))
+
+
+def _per_block(rows: DataFrame, order: Sequence[str], fn, schema: str) -> DataFrame:
+    """``fn(block, columns) -> columns`` for the rows of each (k, block), in ``order``; what it gives follows k and block.
+
+    Blocks are dealt out by a hash, so a key with much history is worked by as many tasks as it has blocks.
+    They stream through sorted partitions as plain arrays, and one Arrow batch gives one Arrow batch:
+    a block costs no call of Spark's, and only one is held at a time. Null numbers arrive as 0.
+    """
+    values = [c for c in rows.columns if c not in ("k", "block")]
+    kinds = T._parse_datatype_string(f"k string, block long, {schema}")
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for c in values:
+            col = batch.column(c)
+            empty = 0 if pa.types.is_integer(col.type) else "" if pa.types.is_string(col.type) else None
+            out.append((col if empty is None else pc.fill_null(col, empty)).to_numpy(zero_copy_only=False))
+        return out
+
+    def run(batches):
+        types = [to_arrow_type(f.dataType) for f in kinds]
+        key, held, done = None, [], []
+
+        def close():
+            whole = [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*held)]
+            done.append((*key, fn(key[1], dict(zip(values, whole)))))
+            held.clear()
+
+        def given():
+            sizes = [len(out[0]) for _, _, out in done]
+            k = pa.array(np.repeat(np.array([k for k, _, _ in done], dtype=object), sizes), pa.string())
+            columns = [np.concatenate(c) for c in zip(*(out for _, _, out in done))]
+            batch = pa.RecordBatch.from_arrays([k, pa.array(np.repeat(np.array([b for _, b, _ in done], np.int64), sizes)), *(pa.array(c, t) for c, t in zip(columns, types[2:]))], names=kinds.names)
+            done.clear()
+            return batch
+
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            k, block, own = batch.column("k"), batch.column("block"), arrays(batch)
+            new = pc.or_(pc.not_equal(k.slice(1), k.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1)))
+            cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+            for at, to, who in zip(cuts[:-1], cuts[1:], zip(k.take(pa.array(cuts[:-1])).to_pylist(), block.take(pa.array(cuts[:-1])).to_pylist())):
+                if who != key:
+                    if held:
+                        close()
+                    key = who
+                held.append([c[at:to] for c in own])
+            if done:
+                yield given()
+        if held:
+            close()
+            yield given()
+
+    return rows.repartition("k", "block").sortWithinPartitions("k", "block", *order).mapInArrow(run, kinds)
+
+
+def _in_turn(table: DataFrame, order: str, step, first) -> DataFrame:
+    """k, block, s: the state in which each block is entered, from the blocks' tables.
+
+    The tables of a key, not its rows, are run through in order, in sorted partitions and constant
+    memory. ``step(s, gap, rows)`` is the state in which a block is left that lies ``gap`` blocks before the next.
+    """
+
+    def run(batches):
+        key, last, s, rows = None, None, first, []
+        for pdf in batches:
+            out = []
+            for k, block, *row in pdf.itertuples(index=False, name=None):
+                if k != key or block != last:
+                    s = step(s, block - last, rows) if k == key else first
+                    key, last, rows = k, block, []
+                    out.append((k, block, s))
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["k", "block", "s"])
+
+    return table.repartition("k").sortWithinPartitions("k", "block", order).mapInPandas(run, "k string, block long, s long")
+
+
+def _decided(rows: DataFrame, entry: DataFrame, fn, row_id: str) -> DataFrame:
+    """``row_id`` of the rows that ``fn(block, us, s)`` picks, given the state ``s`` in which their block is entered."""
+    kind = rows.schema[row_id].dataType
+    both = rows.withColumn("s", F.lit(None).cast("long")).unionByName(entry.withColumns({"_us": F.lit(None).cast("long"), row_id: F.lit(None).cast(kind)}))
+
+    def block(number: int, c: dict[str, np.ndarray]) -> list[np.ndarray]:
+        # The state comes first: its time is null.
+        return [c[row_id][1:][fn(number, c["_us"][1:], int(c["s"][0]))]]
+
+    schema = f"`{row_id}` {kind.simpleString()}"
+    return _per_block(both.select("k", "block", "_us", row_id, "s"), [F.asc_nulls_first("_us"), row_id], block, schema).select(row_id)
 
 
 def _exits(t: np.ndarray, ttl: int) -> np.ndarray:
-    """For each time, if it is kept: from when on the next time after ``t`` is kept. Pointers are doubled until they stand at the last kept time."""
-    hop = _hops(t, ttl)
+    """For each of the sorted times, if it is kept: from when on the next time after ``t`` is kept. Pointers are doubled until they stand at the last kept time."""
+    after = np.searchsorted(t, t + ttl)
+    hop = np.where(after < len(t), after, np.arange(len(t)))
     while True:
         further = hop[hop]
         if (further == hop).all():
@@ -71,85 +165,53 @@ def _exits(t: np.ndarray, ttl: int) -> np.ndarray:
         hop = further
 
 
-def jump_table(times: DataFrame, keys: Sequence[str], ttl: int, span: int = SPAN) -> DataFrame:
-    """``keys``, block, upto, leave: what a block of a key's history does to the time from which a finding is kept.
+def jump_table(times: DataFrame, ttl: int, span: int = SPAN) -> DataFrame:
+    """k, block, upto, leave: what a block of a key's history does to the time from which a finding is kept.
 
     Who enters with ``s`` finds the first row with ``upto >= s`` and leaves with its ``leave``; without
     such a row ``s`` stays. Only times of the block's first TTL, and one more, can be the first that is
-    kept there, and neighbours that leave alike are one row. ``times`` has ``keys``, block and _us; each block is a
-    group of its own, so a single dense key is worked by as many tasks as it has blocks.
+    kept there, and neighbours that leave alike are one row. ``times`` has k, block and _us.
     """
-    schema = T.StructType([*(times.schema[k] for k in keys), T.StructField("block", T.LongType()), T.StructField("upto", T.LongType()), T.StructField("leave", T.LongType())])
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
+    def block(number: int, c: dict[str, np.ndarray]) -> list[np.ndarray]:
+        t = c["_us"]
+        if len(t) == 1:
+            return [t, t + ttl]
         leave = _exits(t, ttl)
-        n = min(len(t), int(np.searchsorted(t, pdf["block"].iloc[0] * ttl * span + ttl)) + 1)
+        n = min(len(t), int(np.searchsorted(t, number * ttl * span + ttl)) + 1)
         last = np.append(leave[1:n] != leave[: n - 1], True)  # of a run with equal exits
-        head = pdf.iloc[[0]][[*keys, "block"]]
-        return head.loc[head.index.repeat(int(last.sum()))].assign(upto=t[:n][last], leave=leave[:n][last])
-
-    return times.select(*keys, "block", "_us").groupBy(*keys, "block").applyInPandas(block, schema)
-
-
-def entries(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys``, block, s: the state in which each block is entered (the least long at first).
-
-    The tables of a key, not its rows, are run through in order, in sorted partitions and constant
-    memory: at most a row for each time in the first TTL of a block.
-    """
-    keys = list(keys)
-    schema = T.StructType([*(table.schema[k] for k in keys), T.StructField("block", T.LongType()), T.StructField("s", T.LongType())])
-    least = -(2**63)
+        return [t[:n][last], leave[:n][last]]
 
-    def run(batches):
-        last_key, last_block, s, done = None, None, least, True
-        for pdf in batches:
-            out = []
-            for *key, block, upto, leave in pdf[[*keys, "block", "upto", "leave"]].itertuples(index=False, name=None):
-                if key != last_key:
-                    last_key, last_block, s = key, None, least
-                if block != last_block:
-                    last_block, done = block, False
-                    out.append((*key, block, s))
-                if not done and upto >= s:
-                    s, done = leave, True
-            yield pd.DataFrame(out, columns=[*keys, "block", "s"])
-
-    return table.repartition(*keys).sortWithinPartitions(*keys, "block", "upto").mapInPandas(run, schema)
-
-
-def _walk(ttl: int, row_id: str):
-    def block(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return rows[[row_id]]
-        rows = rows.sort_values("_us", kind="stable")
-        t = rows["_us"].to_numpy()
-        at, kept = int(np.searchsorted(t, entry["s"].iloc[0])), []
-        while at < len(t):  # at most one step for each TTL of the block
-            kept.append(at)
-            at = int(np.searchsorted(t, t[at] + ttl))
-        return rows.iloc[kept][[row_id]]
-
-    return block
+    return _per_block(times.select("k", "block", "_us"), ["_us"], block, "upto long, leave long")
 
 
 def finding_ttl(findings: DataFrame, ts: str = "ts", value: str = "value", session: str = "session_id", row_id: str = "id",
                 ttl_seconds: int = TTL_SECONDS, detector: str = "detector", ftype: str = "type", span: int = SPAN) -> DataFrame:
     """Findings to record: not within ``ttl`` of the last *recorded* equal finding of the session.
 
-    Rows without a session or a time always pass; repeats at the same instant collapse first (map-side). A key's
-    history is cut into blocks of ``span`` TTLs. Each block says, on its own, in which state it is left for any
-    state it is entered in (:func:`jump_table`); these tables are run through (:func:`entries`), and
-    each block, again on its own, keeps its findings.
+    Rows without a session or a time always pass; repeats at the same instant collapse first (map-side).
+    A key's history is cut into blocks of ``span`` TTLs. Each block says, on its own, in which state it is
+    left for any state it is entered in (:func:`jump_table`); these tables are run through, and each
+    block, again on its own, keeps its findings.
     """
-    ttl, keys = int(ttl_seconds * 1_000_000), _TTL_KEYS
+    ttl = int(ttl_seconds * 1_000_000)
     has = (F.coalesce(F.col(session), F.lit("")) != "") & F.col(ts).isNotNull()
     x = findings.where(has).select(F.col(detector).alias("_d"), F.col(ftype).alias("_t"), F.sha2(F.col(value), 256).alias("_vh"), F.col(session).alias("_s"), _us(ts).alias("_us"), F.col(row_id))
-    x = x.groupBy(*keys, "_us").agg(F.min(row_id).alias(row_id)).withColumn("block", F.floor(F.col("_us") / F.lit(ttl * span)))
-    entry = entries(jump_table(x, keys, ttl, span), keys)
-    group = [*keys, "block"]
-    kept = x.groupBy(*group).cogroup(entry.groupBy(*group)).applyInPandas(_walk(ttl, row_id), T.StructType([findings.schema[row_id]]))
+    x = x.select(_key("_d", "_t", "_vh", "_s").alias("k"), "_us", row_id).groupBy("k", "_us").agg(F.min(row_id).alias(row_id))
+    x = x.withColumn("block", F.floor(F.col("_us") / F.lit(ttl * span)))
+
+    def leave(s: int, _gap: int, rows: list) -> int:
+        return next((out for upto, out in rows if upto >= s), s)
+
+    def keep(_number: int, t: np.ndarray, s: int) -> list[int]:
+        at, kept = int(np.searchsorted(t, s)), []
+        while at < len(t):  # at most one step for each TTL of the block
+            kept.append(at)
+            at = int(np.searchsorted(t, t[at] + ttl))
+        return kept
+
+    entry = _in_turn(jump_table(x, ttl, span), "upto", leave, -(2**63))
+    kept = _decided(x, entry, keep, row_id)
     return findings.where(~has).unionByName(findings.where(has).join(kept, row_id, "left_semi").select(*findings.columns))
 
 
@@ -252,31 +314,6 @@ def _credit_table(t: np.ndarray, capacity: int, cost: int) -> tuple[np.ndarray,
     return least[first], fixed[first], value[first]
 
 
-def _credits(table: DataFrame, keys: list[str], capacity: int, cost: int, span: int) -> DataFrame:
-    """``keys``, block, z: the credit each block is entered with; a key's first block finds a full bucket."""
-    schema = T.StructType([*(table.schema[k] for k in keys), T.StructField("block", T.LongType()), T.StructField("z", T.LongType())])
-    full, length = capacity * cost, capacity * cost * span
-
-    def run(batches):
-        last_key, last_block, z, does = None, None, full, None
-        for pdf in batches:
-            out = []
-            for *key, block, least, fixed, value in pdf[[*keys, "block", "least", "fixed", "value"]].itertuples(index=False, name=None):
-                if key != last_key or block != last_block:
-                    if key != last_key:
-                        z = full
-                    else:
-                        left = does[1] if does[0] else z - cost * does[1]
-                        z = min(full, left + length * (block - last_block))
-                    last_key, last_block = key, block
-                    out.append((*key, block, z))
-                if least <= z:
-                    does = (fixed, value)
-            yield pd.DataFrame(out, columns=[*keys, "block", "z"])
-
-    return table.repartition(*keys).sortWithinPartitions(*keys, "block", "least").mapInPandas(run, schema)
-
-
 def rate_limit(findings: DataFrame, capacity: int, refill_seconds: float, ts: str = "ts", row_id: str = "id",
                origin: str = "origin", keys: Sequence[str] = ("detector", "type"), span: int = SPAN) -> DataFrame:
     """Adds ``admitted``: framework findings pass a token bucket per (detector, type). Detector findings always pass, as do those without a time.
@@ -285,26 +322,20 @@ def rate_limit(findings: DataFrame, capacity: int, refill_seconds: float, ts: st
     it is left with for any it is entered with; these tables, a few rows each, are run through in order,
     and each block, again on its own, admits its findings. Findings of one instant go by their id.
     """
-    cost, keys = int(refill_seconds * 1_000_000), list(keys)
+    cost = int(refill_seconds * 1_000_000)
+    full, length = capacity * cost, cost * span
     limited = (F.col(origin) == "framework") & F.col(ts).isNotNull()
-    x = findings.where(limited).select(*keys, _us(ts).alias("_us"), F.col(row_id)).withColumn("block", F.floor(F.col("_us") / F.lit(cost * span)))
-    group = [*keys, "block"]
-    schema = T.StructType([*(x.schema[k] for k in group), T.StructField("least", T.LongType()), T.StructField("fixed", T.BooleanType()), T.StructField("value", T.LongType())])
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        least, fixed, value = _credit_table(np.sort(pdf["_us"].to_numpy()) - int(pdf["block"].iloc[0]) * cost * span, capacity, cost)
-        head = pdf.iloc[[0]][group]
-        return head.loc[head.index.repeat(len(least))].assign(least=least, fixed=fixed, value=value)
-
-    def admit(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if len(rows):
-            rows = rows.sort_values(["_us", row_id], kind="stable")
-            t = rows["_us"].to_numpy() - int(entry["block"].iloc[0]) * cost * span
-            rows = rows.iloc[_admitted(t, int(entry["z"].iloc[0]), capacity, cost)]
-        return rows[[row_id]]
-
-    entry = _credits(x.groupBy(*group).applyInPandas(table, schema), keys, capacity, cost, span)
-    kept = x.groupBy(*group).cogroup(entry.groupBy(*group)).applyInPandas(admit, T.StructType([findings.schema[row_id]])).withColumn("_ok", F.lit(True))
+    x = findings.where(limited).select(_key(*keys).alias("k"), _us(ts).alias("_us"), F.col(row_id)).withColumn("block", F.floor(F.col("_us") / F.lit(length)))
+
+    def table(number: int, c: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        return _credit_table(c["_us"] - number * length, capacity, cost)
+
+    def leave(z: int, gap: int, rows: list) -> int:
+        _, fixed, value = next(r for r in reversed(rows) if r[0] <= z)
+        return min(full, (value if fixed else z - cost * value) + capacity * length * gap)
+
+    entry = _in_turn(_per_block(x.select("k", "block", "_us"), ["_us"], table, "least long, fixed boolean, value long"), "least", leave, full)
+    kept = _decided(x, entry, lambda number, t, z: _admitted(t - number * length, z, capacity, cost), row_id).withColumn("_ok", F.lit(True))
     return findings.join(kept, row_id, "left").withColumn("admitted", F.coalesce(~limited, F.lit(True)) | F.col("_ok").isNotNull()).select(*findings.columns, "admitted")
 
 

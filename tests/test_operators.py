@@ -222,7 +222,7 @@ def test_finding_ttl_of_a_dense_key(spark, span):
     x = df.where("session_id = 'hot' AND ts IS NOT NULL").select(F.lit("k").alias("k"), dedup._us("ts").alias("_us")).withColumn("block", F.floor(F.col("_us") / (1_000_000 * span)))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
     try:
-        table = dedup.jump_table(x, ["k"], 1_000_000, span).withColumn("task", F.spark_partition_id()).collect()
+        table = dedup.jump_table(x, 1_000_000, span).withColumn("task", F.spark_partition_id()).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len({r.task for r in table}) > 1 and len(table) <= 1.3 * len(us) / span + 60
