@@ -40,14 +40,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(max(want, 2 * cores)) if df.rdd.getNumPartitions() < want else df
 
 
+def local_mode(master: str) -> bool:
+    """All in one process; local-cluster is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared ``spark.checkpoint.dir``; a temporary folder only in local mode, where all share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not configured and not sc.master.startswith("local"):
+        if not configured and not local_mode(sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
 
