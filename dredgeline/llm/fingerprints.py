@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     last and is returned as null. A single document follows itself. An empty table gives an empty
     result; other columns are ignored.
     """
-    links = scratch(successors(docs), "fingerprint-links")
+    links = successors(docs)
     texts = _keys(docs).groupBy(*KEY).agg(F.first("text").alias("text"))  # copies of one doc_id and text are one row here
     half = F.floor(F.col("n_chars") / 2).cast("int")
     wanted = links.select(*(F.col(c).alias(f"to_{c}") for c in KEY), half.alias("half"), "next.*")
