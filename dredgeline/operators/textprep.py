@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +126,58 @@ def text_budget_rows(df: DataFrame, keys: list[str], order: str = "field_no", te
         ),
     )
     return out.where(F.col(text).isNotNull()).drop("_upto", "_start")
+
+
+def budget_decoded(df: DataFrame, keys: Sequence[str], limit: int = MAX_SCAN_CHARS, min_rest: int = 100, text: str = "text") -> DataFrame:
+    """The same budget over prepared rows: what was decoded counts like what was sent, and comes before it.
+
+    Rows of a request must follow each other, newest field first, as exploding the reversed fields of a
+    request and decoding them leaves them: both keep the order of rows. Inside a field the last
+    variant comes first and the raw text last. A running total is carried from batch to batch, so
+    nothing is shuffled or sorted, and a request of any length takes the memory of one field.
+    """
+    named = df.withColumn("_k", F.to_json(F.struct(*keys)))
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, key, total = None, None, 0
+
+        def differs(column: pa.Array) -> np.ndarray:
+            return np.concatenate(([True], pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)))
+
+        def cut(t: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal key, total
+            new_key = differs(t.column("_k"))
+            first = np.flatnonzero(new_key | differs(t.column("field_no")))
+            end = np.append(first[1:], len(t))
+            t = t.take(pa.array(np.repeat(first + end - 1, end - first) - np.arange(len(t))))  # each field's rows the other way round
+            n = pc.fill_null(pc.utf8_length(t.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, at = np.cumsum(n), np.flatnonzero(new_key)
+            before = upto[at] - n[at]
+            if t.column("_k")[0].as_py() == key:
+                before[0] -= total
+            upto -= np.repeat(before, np.diff(np.append(at, len(t))))
+            key, total = t.column("_k")[len(t) - 1].as_py(), int(upto[-1])
+            start = upto - n
+            whole = upto <= limit
+            part = ~whole & (start <= limit) & (limit - start > min_rest)
+            t = t.select([f.name for f in schema])
+            column = t.column(text)
+            if part.any():
+                values = column.to_pylist()
+                for i in np.flatnonzero(part):
+                    values[i] = values[i][: int(limit - start[i])]
+                column = pa.array(values, column.type)
+            t = t.set_column(t.schema.get_field_index(text), text, column)
+            return t.filter(pa.array(whole | part))
+
+        for batch in batches:
+            t = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            last = np.flatnonzero(differs(t.column("_k")) | differs(t.column("field_no")))[-1] if len(t) else 0
+            if last:
+                yield cut(t.slice(0, last))
+            rest = t.slice(last) if len(t) else None
+        if rest is not None:
+            yield cut(rest)
+
+    return named.mapInArrow(run, schema)

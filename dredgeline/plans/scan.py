@@ -57,7 +57,8 @@ def _detect(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig) -> DataFrame
 def scan_texts(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig | None = None) -> DataFrame:
     """Sanitise, decode and scan text fields; one collapsed finding per (keys, detector, type, value).
 
-    ``texts``: keys, field_no, path, text, source_filename.
+    ``texts``: keys, field_no, path, text, source_filename. A budget takes the rows of the keys in the
+    order they come in, which must follow each other.
     """
     cfg = cfg or ScanConfig()
     keys = list(keys)
@@ -67,6 +68,8 @@ def scan_texts(texts: DataFrame, keys: Sequence[str], cfg: ScanConfig | None = N
         x = textprep.decode_fields(x, max_depth=cfg.decode_depth, max_len=cfg.max_decoded).drop("encoding")
     else:
         x = x.withColumn("variant", F.array().cast("array<int>"))
+    if cfg.budget is not None:
+        x = textprep.budget_decoded(x, keys, cfg.budget)
     if cfg.distinct_texts:
         found = _scan_distinct(x, keys, cfg)
     else:
@@ -92,15 +95,15 @@ def _scan_distinct(x: DataFrame, keys: list[str], cfg: ScanConfig) -> DataFrame:
 
 def scan_requests(requests: DataFrame, cfg: ScanConfig | None = None, key: str = "req_id", body: str = "body",
                   provider: str | None = "provider") -> DataFrame:
-    """Findings of a request log: extract, allowlist, budget, then :func:`scan_texts`.
+    """Findings of a request log: extract, then :func:`scan_texts`.
 
-    The budget runs inside the row before anything is exploded.
+    With a budget the newest fields come first, and what is decoded counts, as it is scanned too.
     """
     cfg = cfg or ScanConfig()
     req = spread(requests.select(key, body, *([provider] if provider else [])))
     arr = extract.extract_fields(req, body, provider, as_array=True)
     if cfg.budget is not None:
-        arr = arr.withColumn("fields", textprep.text_budget("fields", cfg.budget))
+        arr = arr.withColumn("fields", F.reverse("fields"))
     return scan_texts(extract.explode_fields(arr).select(key, "field_no", "path", "text", "source_filename"), [key], cfg)
 
 

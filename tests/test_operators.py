@@ -352,3 +352,61 @@ def test_scan_plan_has_no_shuffle_and_prunes_columns(spark):
 def test_filters_reject_unknown(spark):
     with pytest.raises(ValueError):
         filters.findings_filter(spark.range(1).toDF("id"), nope="x")
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_budget_counts_what_is_decoded(spark, batch):
+    """Newest first, decoded variants before their raw text, whatever the Arrow batches cut."""
+    rnd = random.Random(batch)
+    rows, want = [], {}
+    for req in range(12):
+        left, listed = 300, []
+        for no in range(rnd.randint(1, 6)):
+            variants = [("x%d.%d.%d " % (req, no, v)) + "é" * rnd.choice((5, 60, 130, 280)) for v in range(rnd.randint(1, 3))]
+            rows += [(req, no, [v] if v else [], t) for v, t in enumerate(variants)]
+            listed += reversed(variants)
+        kept = []
+        for t in listed:
+            if len(t) > left:
+                kept += [t[:left]] if left > 100 else []
+                break
+            kept.append(t)
+            left -= len(t)
+        want[req] = kept
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "req_id int, field_no int, variant array<int>, text string").coalesce(1)
+        got = textprep.budget_decoded(df, ["req_id"], 300).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r: [x.text for x in got if x.req_id == r] for r in want} == want
+
+
+def test_a_decoded_payload_uses_up_the_budget(spark):
+    key = "AKIA" + "Q7" * 8
+    hidden = base64.b64encode(f"a note that says {key} and more".encode()).decode()
+    body = json.dumps({"model": "m", "messages": [{"role": "user", "content": f"{key} old"}, {"role": "user", "content": "new " + hidden}]})
+    req = spark.createDataFrame([(1, body, "openai")], "req_id int, body string, provider string")
+    rules = [r for r in detect.community_rules() if r.name == "aws_access_key"]
+
+    def places(budget):
+        cfg = jobs.ScanConfig(rules=rules, detect_proprietary=False, budget=budget)
+        return [(r.location, r["count"]) for r in jobs.scan_requests(req, cfg).collect()]
+
+    assert places(None) == [("messages[0].content", 2)]  # both, in the order of the fields
+    assert [n for _, n in places(10_000)] == [2] and "[base64]" in places(10_000)[0][0]  # newest first
+    assert places(120) == [("messages[1].content[base64]", 1)]  # the old message no longer fits
+    assert places(10) == []
+
+
+def test_diff_sections_stay_in_their_row(spark):
+    """Neither a window nor a shuffle, and the carry holds over deletions, empty sections and repeated files."""
+    d = "+lost\n+++ b/a.py\n+one\n-gone\n context\n+++ b/empty.py\n-x\n+++ b/b.py\n+two\n++y\n+++ b/a.py\n+new\r\n+++ b/b.py\n-z\n+++ b/z.py"
+    df = spark.createDataFrame([(1, d), (2, "no header\n+x"), (3, ""), (4, None), (1, "+++ b/c.py\n+again")], "diff_id int, diff string")
+    whole, lines = files.diff_files(df), files.diff_lines(df)
+    assert sorted((r.diff_id, r.file, r.text) for r in whole.collect()) == [(1, "a.py", "new"), (1, "b.py", "two\n+y"), (1, "c.py", "again")]
+    assert sorted((r.diff_id, r.file, r.pos, r.added) for r in lines.collect()) == [
+        (1, "a.py", 2, "one"), (1, "a.py", 11, "new"), (1, "b.py", 8, "two"), (1, "b.py", 9, "+y"), (1, "c.py", 1, "again")]
+    for frame in (whole, lines):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
