@@ -335,8 +335,9 @@ def _x10b(spark, sf):
 
 # ---- streams --------------------------------------------------------------------------------------------------
 def _stream(spark, sf, name):
-    """A given table as a file stream."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A given table as a file stream, be it one file or a folder of them."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")  # a pattern, as a plain path has to be a folder
 
 
 TURNS = 5
