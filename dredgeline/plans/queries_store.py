@@ -385,7 +385,7 @@ def _audit(spark, sf):
 def _s10(spark, sf):
     path = work_dir(spark, "audit") + "/t"
     stores.write_audit(_audit(spark, sf), path)
-    return stores.read_audit(spark, path).select("request_id", "finding_count", "account_id")
+    return stores.read_audit(spark, path, 10_000).select("request_id", "finding_count", "account_id")
 
 
 @query("s12_csv_export", with_findings("SELECT concat(CAST(id AS STRING), ',', detector, ',\"', concat(location, ', \"\"', severity, '\"\"'), '\",', sha256(value)) AS line FROM f"))

@@ -32,3 +32,11 @@ def test_streams_read_folders(spark, tmp_path, name):
     made = {"documents": spark.read.parquet(f"{SF}/documents.parquet")}
     sf = _tables(tmp_path, spark, **made)
     assert compare(entry.queries()[name](spark, sf), _duck(sf, **made), entry.oracle_sql()[name]) is None
+
+
+def test_audit_source_beyond_its_limit(spark, tmp_path):
+    """The query asks for the newest 10,000 entries; sf0.01 holds just as many."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    made = {"events": e.crossJoin(spark.range(12)).selectExpr("event_id + id * 1000000 AS event_id", "ts", "user_id", "event_type", "value", "props")}
+    sf = _tables(tmp_path, spark, **made)
+    assert compare(entry.queries()["s10_audit_source"](spark, sf), _duck(sf, **made), entry.oracle_sql()["s10_audit_source"]) is None
