@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,7 +176,7 @@ def rules_from_frame(df: DataFrame, max_rules: int = 5000) -> list[Rule]:
 # ---- rule scan -------------------------------------------------------------------------
 # Literals found in most prose: they do not take part in the one-pass tests below.
 _COMMON = {"ignore", "system", "pass", "pwd", "api", "you", "key", "://"}
-_HEADS = (5, 3)
+_HEADS = (5,)  # shorter heads rule out too little: a search for each literal is no dearer
 
 
 def _any_literal_regex(words: Iterable[str], head: int) -> str:
@@ -206,6 +208,11 @@ def _prefix_regex(words: Iterable[str]) -> str:
     return arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
 
 
+def _holds(column: str, letters: str) -> Column:
+    """True if the text holds any of the letters; byte searches, far cheaper than a pattern."""
+    return reduce(or_, (F.contains(column, F.lit(c)) for c in letters))
+
+
 def _guard_sql(rule: Rule) -> str | None:
     known = cat.GUARDS.get(rule.name)
     if known is None or not _guard_applies(rule):
@@ -223,11 +230,39 @@ def _guard_applies(rule: Rule) -> bool:
                cat.COMMUNITY_RULES + cat.PII_PACK + cat.INJECTION_PACK)
 
 
+_LAZY_HEAD = r"[\w.-]{0,50}?"
+
+
+def _sure_group(rule: Rule) -> bool:
+    """True if group 1 takes part in every match and is never empty, so that it is always the value."""
+    if not rule.groups:
+        return False
+    items = re._parser.parse(rule.pattern)
+    return any(op is re._constants.SUBPATTERN and arg[0] == 1 and arg[3].getwidth()[0] > 0 for op, arg in items)
+
+
+def _headless(rule: Rule) -> str:
+    """The pattern of a rule whose value is group 1, without a lazy run before its keyword.
+
+    The run only moves the start of the match: the keyword taken is the first one that goes on to a
+    match, with or without it, and the match ends at the same place.
+    """
+    p = rule.pattern
+    for flags in ("(?i)", ""):
+        if p.startswith(flags + _LAZY_HEAD):
+            p = flags + p[len(flags + _LAZY_HEAD):]
+            inner = "(?i:" + _LAZY_HEAD
+            return "(?i:" + p[len(inner):] if p.startswith(inner) else p
+    return p
+
+
 def _matches_sql(rule: Rule, text: str) -> str:
+    if _sure_group(rule):
+        return f"regexp_extract_all({text}, {tx.sql_str(cat.JAVA_FLAGS + java_pattern(_headless(rule)))}, 1)"
     p = tx.sql_str(rule.java)
     whole = f"regexp_extract_all({text}, {p}, 0)"
-    if rule.groups:
-        return f"zip_with({whole}, regexp_extract_all({text}, {p}, 1), (w, g) -> if(g <> '', g, w))"
+    if rule.groups:  # the second pass is for texts with a match
+        return f"flatten(transform(array({whole}), m -> if(size(m) = 0, m, zip_with(m, regexp_extract_all({text}, {p}, 1), (w, g) -> if(g <> '', g, w)))))"
     return whole
 
 
@@ -265,7 +300,7 @@ def scan(
     used = " ".join(g for g in guard.values() if g)
     if "_lower" in used:
         # The patterns fold four letters to ASCII that lower() leaves apart.
-        folded = F.when(F.col("_text").rlike("[\u017f\u0131\u0130\u212a]"), F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))
+        folded = F.when(_holds("_text", "\u017f\u0131\u0130\u212a"), F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))
         src = src.withColumn("_lower", F.lower(folded))
     for h in _HEADS:
         words = [x for r in rules if guard[r] and _head(r) == h for x in cat.GUARDS[r.name][0][0]]

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 import unicodedata
 from urllib.parse import quote
 
@@ -72,6 +73,21 @@ def test_guards_lose_no_match(spark):
     assert key(detect.scan(df, rules)) == key(detect.scan(df, rules, guards=False))
 
 
+def test_group_values_in_one_pass(spark):
+    """A rule whose group is always the value is run once, without the lazy run before its keyword: same values, same order."""
+    rules = [r for r in detect.active_rules(detect.community_rules()) if detect._sure_group(r)]
+    assert any(detect._headless(r) != r.pattern for r in rules) and all("regexp_extract_all" in detect._matches_sql(r, "text") for r in rules)
+    assert all(detect._matches_sql(r, "text").count("regexp_extract_all") == 1 for r in rules)
+    rnd = random.Random(7)
+    parts = [*SAMPLES.values(), "twitter", "okta.", "Okta", "x" * 49, "-._", " ", "\n", " = ", "'", "0" * 45, "00" + "a" * 40, "twitter_twitter = " + "b" * 25 + " "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", *(F.expr(detect._matches_sql(r, "text")).alias(f"r{i}") for i, r in enumerate(rules))).collect()
+    for row in got:
+        for i, r in enumerate(rules):
+            assert row[f"r{i}"] == [m.group(1) for m in re.finditer(r.pattern, texts[row["id"]])], r.name
+
+
 def test_guards_fold_as_the_patterns_do(spark):
     df = spark.createDataFrame([(0, 'pa\u017f\u017fword = "hunter2hunter2"'), (1, 'AP\u0130_\u212aEY = "abcdefghij0123456789abcdef"')], "id int, text string")
     rules = detect.active_rules(detect.community_rules())
