@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from dredgeline.plans.queries_text import _requests
 from dredgeline.plans.queries_store import _TTL_SQL, with_more, work_dir
 from dredgeline.plans.registry import docs, findings, jstr, md5, query, spread, table, with_findings
 from dredgeline.sources import files
+from dredgeline.streaming import batches
 from dredgeline.streaming import chunks as chunking
 from dredgeline.streaming import state
 
@@ -385,17 +387,11 @@ def _to_files(df, base, mode="append"):
     return df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start(f"{base}/t")
 
 
-def _event_turns(spark, sf, name, build):
-    """``build(stream of events)`` over the events in turns, its state carried from one to the next; what it put out."""
-    events, schema = table(spark, sf, "events"), []
-
-    def start(stream, base):
-        out = build(stream)
-        schema[:] = [out.schema]
-        return _to_files(out, base)
-
-    base = _in_turns(spark, events, _by_time(events), name, start)
-    return spark.read.schema(schema[0]).parquet(f"{base}/t")
+def _event_batches(spark, sf, name, operator, build):
+    """What ``operator(stream, folder, checkpoint)`` puts out for ``build(events)`` in turns, its state carried from one to the next."""
+    events = table(spark, sf, "events")
+    base = _in_turns(spark, events, _by_time(events), name, lambda stream, base: operator(build(stream), f"{base}/t", f"{base}/c"))
+    return batches.read_out(spark, f"{base}/t")
 
 
 def _stream_findings(events):
@@ -417,7 +413,7 @@ def _r01(spark, sf):
 
 @query("r02_streaming_finding_ttl", with_more(_TTL_SQL.format(ttl=86400)))
 def _r02(spark, sf):
-    return _event_turns(spark, sf, "r02", lambda e: state.finding_ttl(_keyed(e), 86400, None).select("id"))
+    return _event_batches(spark, sf, "r02", partial(batches.finding_ttl, ttl_seconds=86400), _keyed).select("id")
 
 
 @query("r03_streaming_text_dedup", with_more("""
@@ -429,9 +425,9 @@ def _r03(spark, sf):
     def build(events):
         f = _stream_findings(events).select(F.col("id").alias("req_id"), F.col("timestamp").cast("timestamp").alias("ts"), "session_id", F.lit(0).alias("field_no"),
                                             F.sha2(F.concat(F.lit("b"), F.col("k").cast("string")), 256).alias("text_hash"), F.col("action_taken").alias("action"), (F.col("k") % 4 == 0).alias("stripped"))
-        return state.text_dedup(f.where("session_id <> ''"), 40000, keep_ms=None).select("req_id", "skipped")
+        return f.where("session_id <> ''")
 
-    return _event_turns(spark, sf, "r03", build)
+    return _event_batches(spark, sf, "r03", partial(batches.text_dedup, ttl_seconds=40000), build).select("req_id", "skipped")
 
 
 @query("r04_streaming_upsert", with_findings("SELECT session_id, count(*) AS rows, CAST(sum(n) AS BIGINT) AS seen FROM (SELECT session_id, detector, finding_type, value, count(*) AS n FROM f WHERE session_id <> '' GROUP BY ALL) x GROUP BY 1"))
@@ -450,10 +446,9 @@ def _r04(spark, sf):
 def _r05(spark, sf):
     def build(events):
         e = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
-        m = e.select(F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_DIR).alias("direction"), F.expr(_MID).alias("msg_id"))
-        return state.unsolicited(m, None).where("direction = 'in'").select("msg_no", "msg_id", "valid")
+        return e.select(F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_DIR).alias("direction"), F.expr(_MID).alias("msg_id"))
 
-    return _event_turns(spark, sf, "r05", build)
+    return _event_batches(spark, sf, "r05", batches.unsolicited, build).select("msg_no", "msg_id", "valid")
 
 
 @query("r05_streaming_tool_binding", f"""
@@ -461,12 +456,11 @@ SELECT e.event_id AS msg_no, coalesce(NOT (e.event_id > bound) OR list_contains(
 def _r05b(spark, sf):
     def build(events):
         e = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
-        m = e.where(F.expr(_KIND) != "other").select(
+        return e.where(F.expr(_KIND) != "other").select(
             F.col("event_id").alias("msg_no"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_KIND).alias("kind"), F.expr(_TOOLNAME).alias("tool_name"),
             F.expr("if(event_id % 5 = 0, transform(array(0, 1, 2), j -> concat('tool_', (k + j) % 12)), cast(array() as array<string>))").alias("tool_names"))
-        return state.tool_binding(m, None).where("kind = 'call'").select("msg_no", "known")
 
-    return _event_turns(spark, sf, "r05b", build)
+    return _event_batches(spark, sf, "r05b", batches.tool_binding, build).select("msg_no", "known")
 
 
 @query("r06_live_counters", with_findings("SELECT strftime(date_trunc('minute', timestamp), '%Y-%m-%d %H:%M') AS minute, event_type AS type, count(*) AS hits FROM f GROUP BY 1, 2"))
