@@ -8,11 +8,10 @@ import unicodedata
 from collections.abc import Iterable
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import udf
 
 _WHOLE = T.StructType([T.StructField("url", T.StringType()), T.StructField("esc", T.StringType())])
 
@@ -53,9 +52,11 @@ def strip_zero_width(c) -> Column:
     return F.regexp_replace(_c(c), ZERO_WIDTH, "")
 
 
-@pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+# Plain functions, not Arrow ones: Spark sends them a hundred texts at a time, so that what a worker holds does
+# not follow the size of an Arrow batch of whole texts.
+@udf(T.StringType(), useArrow=False)
+def _nfkc(t: str | None) -> str | None:
+    return t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)
 
 
 def sanitize(c) -> Column:
@@ -110,17 +111,16 @@ def _unquote(t: str) -> str | None:
     return None if out == t else out
 
 
-@pandas_udf(_WHOLE)
-def decode_whole_text(texts: pd.Series) -> pd.DataFrame:
+@udf(_WHOLE, useArrow=False)
+def decode_whole_text(t: str | None) -> tuple[str | None, str | None] | None:
     """URL and ``\\uXXXX`` decoding of a text (NULL where nothing changes).
 
     Neither has an equivalent built-in: ``url_decode`` turns ``+`` into a space and fails
     on malformed escapes. Callers pass NULL for texts that hold no escape at all.
     """
-    return pd.DataFrame({
-        "url": [_unquote(t) if t is not None and "%" in t else None for t in texts],
-        "esc": [_unescape_runs(t) if t is not None and _UNICODE_RE.search(t) else None for t in texts],
-    }, dtype=object)
+    if t is None:
+        return None
+    return (_unquote(t) if "%" in t else None, _unescape_runs(t) if _UNICODE_RE.search(t) else None)
 
 
 # ---- measures --------------------------------------------------------------------------

@@ -71,3 +71,9 @@ def test_state_of_keyed_streams_over_batches(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/fed")
         batches.finding_ttl(stream, f"{tmp_path}/t", f"{tmp_path}/c", 30).awaitTermination()
     assert sorted(r["id"] for r in batches.read_out(spark, f"{tmp_path}/t").collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("name", ["t02_nfkc", "t05_url_decode", "default_scan_requests"])
+def test_whole_texts_go_to_python_in_small_batches(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
