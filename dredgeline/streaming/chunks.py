@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dredgeline.functions import catalogue as cat
+from dredgeline.functions import text as tx
 from dredgeline.operators import detect
 from dredgeline.streaming.state import KEEP_MS
 
@@ -86,12 +88,26 @@ def owned(found: DataFrame) -> DataFrame:
     return found.withColumn("text", F.expr("substring(text, own_from + 1, own_to - own_from)")).drop("start", "own_from", "own_to")
 
 
+def _start_sql(rule: detect.Rule, text: str) -> str:
+    """Where match number ``match_no`` of the rule begins in the text, from 0: what lies between the matches, and they, are added up.
+
+    The last alternative takes the rest of the text at once, which would else be tried from every place.
+    """
+    gaps = cat.JAVA_FLAGS + f"(?s:(.*?))(?:{detect.java_pattern(rule.pattern)})|(?s:.+)"
+    total = lambda p, group, n: f"aggregate(slice(regexp_extract_all({text}, {tx.sql_str(p)}, {group}), 1, {n}), 0, (a, x) -> a + length(x))"
+    return f"{total(gaps, 1, 'match_no + 1')} + {total(rule.java, 0, 'match_no')}"
+
+
 def scan_pieces(found: DataFrame, rules: Sequence[detect.Rule], key: str = "response_id") -> DataFrame:
-    """Findings in pieces that begin where the piece owns the text, with their place in the response.
+    """Findings in pieces whose match begins where the piece owns the text, with the match's place in the response.
 
-    Equal values in one piece all carry the place of the first that it owns.
+    A match in the context around may be cut by the piece's ends; its value does not count, even if
+    the piece's own stretch holds the same letters.
     """
+    rules = list(rules)
     kept = [key, "chunk_no", "start", "own_from", "own_to", "piece"]
-    hits = detect.scan(found.withColumn("piece", F.col("text")), rules, keep=kept).withColumn("at", F.expr("locate(value, piece, own_from + 1)"))
-    mine = hits.where((F.col("at") > 0) & (F.col("at") <= F.col("own_to")))
-    return mine.withColumn("position", F.col("start") + F.col("at") - 1).drop("at", *kept[2:])
+    hits = detect.scan(found.withColumn("piece", F.col("text")), rules, keep=kept)
+    cases = " ".join(f"WHEN {i} THEN {_start_sql(r, 'piece')}" for i, r in enumerate(rules))
+    hits = hits.withColumn("at", F.expr(f"CASE rule_no {cases} END") if rules else F.lit(0))
+    mine = hits.where((F.col("at") >= F.col("own_from")) & (F.col("at") < F.col("own_to")))
+    return mine.withColumn("position", F.col("start") + F.col("at")).drop("at", *kept[2:])

@@ -122,3 +122,14 @@ def test_metrics_of_a_job_and_of_a_stream(spark, tmp_path):
         spark.streams.removeListener(listener)
     got = {(r.batch, r.measure): r.value for r in listener.table(spark).collect()}
     assert [got[k, "rows"] for k in range(3)] == [5, 6, 7] and [got[k, "least"] for k in range(3)] == [0, 10, 20]
+
+
+def test_cut_matches_in_the_context_do_not_count(spark):
+    """Context that a piece's ends cut holds a shorter address, whose letters the own stretch holds too."""
+    head, own, tail = "ser@example.org, ", "we write to user@example.org and bob@example.com, é ", "bob@example.co"
+    text = head + own + tail
+    rows = [(1, 0, 100, len(head), len(head + own), text, False)]
+    pieces = spark.createDataFrame(rows, "response_id long, chunk_no int, start long, own_from int, own_to int, text string, last boolean")
+    rules = [r for r in detect.community_rules() if r.name in ("email", "generic_password")]
+    got = sorted((r["value"], r["position"]) for r in chunks.scan_pieces(pieces, rules).collect())
+    assert got == [("bob@example.com", 100 + text.index("bob@")), ("user@example.org", 100 + text.index("user@"))]
