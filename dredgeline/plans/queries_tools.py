@@ -270,15 +270,9 @@ def _chunk_stream(spark, sf, name, build):
     t = seeded(spark, sf).select(F.col("doc_id").alias("response_id"), F.expr("regexp_extract_all(concat(text, ' '), '(?s).{1,150}', 0)").alias("parts"))
     chunks = t.select("response_id", F.size("parts").alias("n"), F.posexplode("parts").alias("chunk_no", "text"))
     chunks = chunks.select("response_id", "chunk_no", "text", (F.col("chunk_no") == F.col("n") - 1).alias("last"))
-    schema = []
-
-    def start(stream, base):
-        out = build(chunking.pieces(stream, keep_ms=None))
-        schema[:] = [out.schema]
-        return _to_files(out, base)
-
-    base = _in_turns(spark, chunks, F.pmod(F.floor(F.col("chunk_no") / 2) + F.col("response_id"), F.lit(TURNS)), name, start)
-    return spark.read.schema(schema[0]).parquet(f"{base}/t")
+    turn = F.pmod(F.floor(F.col("chunk_no") / 2) + F.col("response_id"), F.lit(TURNS))
+    start = lambda stream, base: batches.response_pieces(stream, f"{base}/t", f"{base}/c", build, keep_ms=None)
+    return batches.read_out(spark, f"{_in_turns(spark, chunks, turn, name, start)}/t")
 
 
 @query("x06_response_chunk_scan", f"SELECT DISTINCT doc_id AS response_id, type, sha256(value) AS value_hash FROM {HITS}")

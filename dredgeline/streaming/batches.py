@@ -4,18 +4,22 @@
 a thousand. Here a micro-batch is one job for all its keys, and what later batches have to know
 is a table: every batch adds a folder of its own under ``state`` and reads those of the batches before. A batch
 that is run again replaces its own folders only. Rows of a batch are taken in the order of event time, after
-all of the batches before. State is kept for good, in as many folders as there were batches.
+all of the batches before. State is kept for good, in as many folders as there were batches; only that of
+responses in chunks is handed on whole from batch to batch.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dredgeline.operators import dedup, tooling
-from dredgeline.streaming.state import TTL_SECONDS
+from dredgeline.streaming.chunks import OVERLAP
+from dredgeline.streaming.state import KEEP_MS, TTL_SECONDS
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -131,3 +135,57 @@ def tool_binding(stream: DataFrame, path: str, checkpoint: str):
         return calls.withColumn("known", known).select(*batch.columns, "known"), first.select("session_id", F.col("_new").alias("tools"))
 
     return _run(stream, path, checkpoint, step, "session_id string, tools array<string>")
+
+
+#: A response after a batch: the chunk it waits for, its last piece and the chunks that came too early.
+_RESPONSE = "next int, start bigint, own_from int, own_to int, text string, last boolean, fresh boolean, early array<struct<no int, late int, text string, last boolean>>, seen bigint"
+
+
+def _piece_steps(overlap: int) -> list[dict[str, str]]:
+    """Columns, step by step, that take the chunks of a batch (``came``) and a response's row of the batch before (``s``) to its next row."""
+    space = ", ".join(f"length(substring_index(_r, '{c}', -1))" for c in (" ", "\\n", "\\t", "\\r"))
+    return [
+        {"_next": "coalesce(s.next, 0)", "_left": f"greatest(0, coalesce(s.own_to, 0) - {overlap})"},
+        # Of chunks with one number the one that came first counts.
+        {"_all": "array_sort(concat(coalesce(s.early, cast(array() as array<struct<no int, late int, text string, last boolean>>)), filter(came, c -> c.no >= _next)))"},
+        {"_all": "filter(_all, (c, i) -> i = 0 OR c.no <> _all[i - 1].no)"},
+        {"_run": "filter(_all, (c, i) -> c.no = _next + i)"},
+        {"_end": "array_min(transform(filter(_run, c -> c.last), c -> c.no))"},
+        {"_run": "filter(_run, c -> _end IS NULL OR c.no <= _end)"},
+        {"fresh": "size(_run) > 0", "last": "_end IS NOT NULL", "next": "_next + size(_run)", "_before": "coalesce(substring(s.text, _left + 1), '')"},
+        {"text": "if(fresh, concat(_before, array_join(transform(_run, c -> c.text), '')), s.text)", "own_from": "if(fresh, coalesce(s.own_to, 0) - _left, s.own_from)",
+         "start": "if(fresh, coalesce(s.start, 0) + _left, s.start)", "early": "filter(_all, c -> c.no >= next)"},
+        # The owned stretch ends behind its last white space.
+        {"_stop": f"if(last, length(text), greatest(own_from, length(text) - {overlap}))"},
+        {"_r": "if(last, '', substring(text, own_from + 1, _stop - own_from))"},
+        {"_word": f"least({space})"},
+        {"own_to": "if(fresh, if(_word = length(_r), _stop, _stop - _word), s.own_to)", "seen": "coalesce(now, s.seen)"},
+    ]
+
+
+def response_pieces(stream: DataFrame, path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], key: str = "response_id",
+                    overlap: int = OVERLAP, keep_ms: int | None = KEEP_MS):
+    """Pieces of a stream of (key, chunk_no, text, last), as :func:`chunks.pieces` has them; ``build`` says what of them is put out.
+
+    A batch leaves one row for every response that has not ended: its last piece, of which the end is needed again,
+    and what came too early. The next batch reads that folder only.
+    """
+    state = f"{T.StructType([stream.schema[key]]).toDDL()}, {_RESPONSE}"
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, now = batch.sparkSession, int(time.time() * 1000)
+        held = spark.read.schema(state).parquet(f"{path}/state/batch-{number - 1}") if number else spark.createDataFrame([], state)
+        held = held.where(~F.col("last") & (F.lit(keep_ms is None) | (F.col("seen") >= now - (keep_ms or 0))))
+        kept = F.struct(*(c for c in held.columns if c != key))
+        chunk = F.struct(F.col("chunk_no").cast("int").alias("no"), F.lit(1).alias("late"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("last", F.lit(False)).alias("last"))
+        rows = batch.select(key, chunk.alias("c"), F.lit(now).alias("now")).unionByName(held.select(key, kept.alias("s")), allowMissingColumns=True)
+        x = rows.groupBy(key).agg(F.collect_list("c").alias("came"), F.first("s", ignorenulls=True).alias("s"), F.max("now").alias("now"))
+        for step in _piece_steps(overlap):
+            x = x.withColumns({name: F.expr(sql) for name, sql in step.items()})
+        x = x.withColumn("early", F.expr("transform(early, c -> named_struct('no', c.no, 'late', 0, 'text', c.text, 'last', c.last))"))
+        x.select(held.columns).write.mode("overwrite").parquet(f"{path}/state/batch-{number}")
+        fresh = spark.read.schema(state).parquet(f"{path}/state/batch-{number}").where("fresh")
+        pieces = fresh.select(key, (F.col("next") - 1).alias("chunk_no"), "start", "own_from", "own_to", "text", "last")
+        build(pieces).write.mode("overwrite").parquet(f"{path}/out/batch-{number}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
