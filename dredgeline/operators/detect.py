@@ -174,38 +174,22 @@ def rules_from_frame(df: DataFrame, max_rules: int = 5000) -> list[Rule]:
 
 
 # ---- rule scan -------------------------------------------------------------------------
-# Literals found in most prose: they do not take part in the one-pass tests below.
-_COMMON = {"ignore", "system", "pass", "pwd", "api", "you", "key", "://"}
-_HEADS = (5,)  # shorter heads rule out too little: a search for each literal is no dearer
+# Letters from rare to frequent in prose. A search stops at every place that holds the first byte of what
+# it looks for, and what it does there costs far more than a step: it pays to look for a rare letter.
+_RARE = "jqxzkvwyfpbgmcudlhsroaitne"
 
 
-def _any_literal_regex(words: Iterable[str], head: int) -> str:
-    """One test for many literals: the character classes of their first letters rule out
-    almost every position before the alternation is tried (3x faster than one search each)."""
-    words = sorted(set(words))
-    classes = "".join("[" + "".join(re.escape(c) for c in sorted({w[k] for w in words})) + "]" for k in range(head))
-    return f"(?={classes}){_prefix_regex(words)}"
+def _rare_tail(word: str) -> str:
+    """The end of a literal from its rarest letter on, not so short that most texts hold it."""
+    starts = range(max(1, len(word) - 2))
+    if len(word) == 3:
+        starts = range(2)
+    return word[min(starts, key=lambda k: _RARE.find(word[k])):]
 
 
-def _head(rule: Rule) -> int:
-    """Which one-pass test covers the rule's first literal group; 0 for none."""
-    literals, _ = cat.GUARDS[rule.name]
-    if not literals or any(x in _COMMON for x in literals[0]):
-        return 0
-    shortest = min(len(x) for x in literals[0])
-    return next((h for h in _HEADS if shortest >= h), 0)
-
-
-def _prefix_regex(words: Iterable[str]) -> str:
-    """Alternation of literals factored by common prefixes, so a position fails on one test."""
-    heads: dict[str, list[str]] = {}
-    for w in sorted(set(words)):
-        heads.setdefault(w[0], []).append(w[1:])
-    arms = []
-    for ch, tails in heads.items():
-        rest = "" if "" in tails else _prefix_regex(tails)  # a prefix alone already decides
-        arms.append(re.escape(ch) + rest)
-    return arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
+def _contains_sql(word: str) -> str:
+    """True if the text holds the literal; the search for its rare end, shorter or as long, rules out most texts."""
+    return " AND ".join(f"contains(_lower, {tx.sql_str(x)})" for x in dict.fromkeys((_rare_tail(word), word)))
 
 
 def _holds(column: str, letters: str) -> Column:
@@ -213,14 +197,25 @@ def _holds(column: str, letters: str) -> Column:
     return reduce(or_, (F.contains(column, F.lit(c)) for c in letters))
 
 
+# What guards look at in place of the text: runs without white space, and words with a digit in them. Two such words
+# that follow each other keep the white space between them, others are set apart by a zero character.
+_RUNS = f"array_join(regexp_extract_all(_lower, {tx.sql_str(rf'\S{{{cat.RUN},}}')}, 0), ' ')"
+_NUM = r"(?U)(?<!\S)[^\s\d]*+\d\S*+(?:\s(?=[^\s\d]*+\d))?"
+_NUMS = (
+    "CASE WHEN _text rlike '(?U)\\\\d' THEN "
+    f"regexp_replace(array_join(regexp_extract_all(_text, {tx.sql_str(_NUM)}, 0), '\\0'), {tx.sql_str('(?U)(' + chr(92) + 's)' + chr(92) + 'x00')}, '$1') WHEN _text IS NOT NULL THEN '' END")
+
+
 def _guard_sql(rule: Rule) -> str | None:
     known = cat.GUARDS.get(rule.name)
     if known is None or not _guard_applies(rule):
         return None
     literals, features = known
-    terms = [f"_any{_head(rule)}"] if _head(rule) else []
-    terms += [f"_f_{f}" for f in features]
-    terms += ["(" + " OR ".join(f"contains(_lower, {tx.sql_str(x)})" for x in group) + ")" for group in literals]
+    terms = [f"_f_{f}" for f in features]
+    terms += [g for g, names in (("_long", cat.WITH_LONG), ("_sign", cat.WITH_SIGN)) if rule.name in names]
+    short = "_nums" if rule.name in cat.NUMERIC else "_runs" if rule.name in cat.IN_RUN else ""
+    for k, group in enumerate(literals):
+        terms.append("(" + " OR ".join(f"contains({short}, {tx.sql_str(x)})" if short else f"({_contains_sql(x)})" for x in group) + ")")
     return " AND ".join(terms) if terms else None
 
 
@@ -298,21 +293,16 @@ def scan(
     src = df.select(*carried, F.col(text).alias("_text"), loc.alias("_loc"), *([F.col(proprietary).alias("_file")] if proprietary else []))
     guard = {r: (_guard_sql(r) if guards else None) for r in rules}
     used = " ".join(g for g in guard.values() if g)
-    if "_lower" in used:
+    if used:
         # The patterns fold four letters to ASCII that lower() leaves apart.
-        folded = F.when(_holds("_text", "\u017f\u0131\u0130\u212a"), F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))
-        src = src.withColumn("_lower", F.lower(folded))
-    for h in _HEADS:
-        words = [x for r in rules if guard[r] and _head(r) == h for x in cat.GUARDS[r.name][0][0]]
-        if words:
-            src = src.withColumn(f"_any{h}", F.col("_lower").rlike(_any_literal_regex(words, h)))
-    for f, rx in cat.FEATURES.items():
-        if f"_f_{f}" in used:
-            src = src.withColumn(f"_f_{f}", F.col("_text").rlike("(?U)" + rx))
+        odd = (F.octet_length("_text") != F.length("_text")) & _holds("_text", "\u017f\u0131\u0130\u212a")
+        src = src.withColumn("_lower", F.lower(F.when(odd, F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))))
+        src = src.withColumns({"_runs": F.expr(_RUNS), "_nums": F.expr(_NUMS), "_sign": _holds("_lower", ":=")})
+        src = src.withColumns({"_long": F.col("_runs").rlike(cat.LONG)} | {f"_f_{f}": F.col("_nums").rlike("(?U)" + rx) for f, rx in cat.FEATURES.items() if f"_f_{f}" in used})
     one = _first_match_sql if first_only else _matches_sql
     arms = []
     for i, r in enumerate(rules):
-        arm = f"transform({one(r, '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
+        arm = f"transform({one(r, '_nums' if guard[r] and r.name in cat.NUMERIC else '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
         arms.append(f"CASE WHEN {guard[r]} THEN {arm} END" if guard[r] else arm)
     if proprietary:
         src = src.withColumns({"_up": F.upper("_text"), "_sev": _file_level("_file", cat.FILE_GLOBS_CRITICAL, cat.FILE_GLOBS_WARNING)})
