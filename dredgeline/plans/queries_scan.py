@@ -462,9 +462,8 @@ SELECT d.doc_id AS req_id, CASE WHEN blk AND d.doc_id % 2 = 0 THEN 'strip' WHEN
  CASE WHEN blk AND d.doc_id % 2 = 1 THEN concat('Request blocked: sensitive data detected (', array_to_string(types, ', '), ').') ELSE '' END AS message
 FROM documents d LEFT JOIN b USING (doc_id)""")
 def _l13(spark, sf):
-    f = _acted(spark, sf)
-    types = f.groupBy("req_id").agg(F.array_sort(F.collect_set("type")).alias("types"))
-    r = policy.request_verdicts(docs(spark, sf).select(F.col("doc_id").alias("req_id")), f, ["req_id"], "log", jobs.ORDER).join(types, "req_id", "left")
+    types = F.array_sort(F.collect_set("type")).alias("types")
+    r = policy.request_verdicts(docs(spark, sf).select(F.col("doc_id").alias("req_id")), _acted(spark, sf), ["req_id"], "log", jobs.ORDER, [types])
     r = r.withColumn("strip_kind", F.when(F.col("req_id") % 2 == 0, "messages").otherwise("none"))
     return policy.block_verdict(r).select("req_id", "verdict", "message")
 
