@@ -525,7 +525,8 @@ WITH s AS {_ITEMS}, m AS (SELECT detector, item, count(*) AS r FROM s GROUP BY A
 SELECT s.detector, rule, count(*) AS hits, round(count(*) / 100000, 6) AS breadth, round(count(*) FILTER (WHERE r = 1) / count(*), 6) AS unique_coverage, count(*) FILTER (WHERE r = 1) = 0 AS fully_redundant,
  (SELECT count(*) FROM p WHERE p.detector = s.detector AND (rule_a = rule OR rule_b = rule)) AS overlap_count FROM s JOIN m ON m.detector = s.detector AND m.item = s.item GROUP BY s.detector, rule""")
 def _a29(spark, sf):
-    q = overlap.rule_quality(seeded_findings(spark, sf, OVERLAPPING), ["value"], 100000, _overlap(spark, sf))
+    f = seeded_findings(spark, sf, OVERLAPPING)
+    q = overlap.rule_quality(f, ["value"], 100000, overlap.overlap_pairs(f, ["value"]))
     return q.select("detector", "rule", "hits", F.round("breadth", 6).alias("breadth"), F.round("unique_coverage", 6).alias("unique_coverage"), "fully_redundant", "overlap_count")
 
 
