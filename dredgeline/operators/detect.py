@@ -8,7 +8,7 @@ with the rule table and no shuffle; a row without any match costs only its guard
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
@@ -265,6 +265,16 @@ def _first_match_sql(rule: Rule, text: str) -> str:
     return f"filter(array(regexp_extract({text}, {tx.sql_str(rule.java)}, 0)), v -> v <> '')"
 
 
+@dataclass(frozen=True)
+class First:
+    """Rules of which the first match of a text counts, with a location and a mask of their own, on the rows of ``where``."""
+
+    rules: Sequence[Rule]
+    location: Column
+    where: Column | None = None
+    mask: Callable[[Column], Column] = tx.mask_ends
+
+
 def scan(
     df: DataFrame,
     rules: Sequence[Rule],
@@ -276,6 +286,7 @@ def scan(
     mask=tx.mask_short,
     stop_at_block: bool = False,
     proprietary: str | None = None,
+    also: First | None = None,
 ) -> DataFrame:
     """Run rules over a text column; one output row per accepted match.
 
@@ -284,13 +295,17 @@ def scan(
     ``first_only`` takes the first match of each rule (injection and poisoning packs).
     ``proprietary`` names the column of file names: file and keyword checks then are further
     arms of the same array, numbered after the rules, so the text is read once.
+    ``also`` brings rules with a first match only, as arms of the same array too; their numbers start anew.
     ``stop_at_block`` drops, inside the row, matches of rules after the first accepted one that blocks.
     """
-    rules = list(rules)
+    own = len(rules)
+    rules = [*rules, *(also.rules if also else ())]
+    more = len(rules)
     held = {n: (s, f"CASE WHEN _sev = '{s}' THEN array(_file) END") for n, s in (("blocked_file_pattern", "critical"), ("sensitive_file_pattern", "warning"))}
     carried = [c for c in (keep if keep is not None else df.columns) if c != text]
     loc = F.lit("") if location is None else (F.col(location) if isinstance(location, str) else location)
-    src = df.select(*carried, F.col(text).alias("_text"), loc.alias("_loc"), *([F.col(proprietary).alias("_file")] if proprietary else []))
+    src = df.select(*carried, F.col(text).alias("_text"), loc.alias("_loc"), *([F.col(proprietary).alias("_file")] if proprietary else []),
+                    *([also.location.alias("_also"), (F.lit(True) if also.where is None else also.where).alias("_on")] if also else []))
     guard = {r: (_guard_sql(r) if guards else None) for r in rules}
     used = " ".join(g for g in guard.values() if g)
     if used:
@@ -299,11 +314,12 @@ def scan(
         src = src.withColumn("_lower", F.lower(F.when(odd, F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))))
         src = src.withColumns({"_runs": F.expr(_RUNS), "_nums": F.expr(_NUMS), "_sign": _holds("_lower", ":=")})
         src = src.withColumns({"_long": F.col("_runs").rlike(cat.LONG)} | {f"_f_{f}": F.col("_nums").rlike("(?U)" + rx) for f, rx in cat.FEATURES.items() if f"_f_{f}" in used})
-    one = _first_match_sql if first_only else _matches_sql
     arms = []
     for i, r in enumerate(rules):
+        one = _first_match_sql if first_only or i >= own else _matches_sql
         arm = f"transform({one(r, '_nums' if guard[r] and r.name in cat.NUMERIC else '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
-        arms.append(f"CASE WHEN {guard[r]} THEN {arm} END" if guard[r] else arm)
+        when = " AND ".join(x for x in (guard[r], "_on" if i >= own else None) if x)
+        arms.append(f"CASE WHEN {when} THEN {arm} END" if when else arm)
     if proprietary:
         src = src.withColumns({"_up": F.upper("_text"), "_sev": _file_level("_file", cat.FILE_GLOBS_CRITICAL, cat.FILE_GLOBS_WARNING)})
         for name, severity, words in (("confidential_keyword", "critical", cat.KEYWORDS_CRITICAL), ("sensitive_keyword", "warning", cat.KEYWORDS_WARNING)):
@@ -319,8 +335,12 @@ def scan(
     found = F.expr(hits)
     if stop_at_block and any(r.action == "block" for r in rules):
         found = F.get(F.transform(F.array(found), lambda h: _upto_block(h, rules)), F.lit(0))
-    out = src.select(*carried, "_loc", F.explode_outer(found).alias("_hit")).where("_hit IS NOT NULL")
-    value = F.col("_hit.value")
+    out = src.select(*carried, "_loc", *(["_also"] if also else []), F.explode_outer(found).alias("_hit")).where("_hit IS NOT NULL")
+    value, no = F.col("_hit.value"), F.col("_hit.rule_no")
+    place, shown = F.col("_loc"), mask(value)
+    if also:
+        first = (no >= own) & (no < more)
+        place, shown, no = F.when(first, F.col("_also")).otherwise(place), F.when(first, also.mask(value)).otherwise(shown), F.when(first, no - own).otherwise(no)
     table = ", ".join(
         f"struct({', '.join(tx.sql_str(x) for x in (r.detector, r.name, r.severity, r.action, r.validator))})" for r in rules
     ) or "struct('', '', '', '', '')"
@@ -331,10 +351,10 @@ def scan(
         F.col("_r.col2").alias("type"),
         F.col("_r.col3").alias("severity"),
         F.col("_r.col4").alias("action"),
-        F.col("_loc").alias("location"),
+        place.alias("location"),
         value.alias("value"),
-        (F.when(F.col("_r.col1") == "proprietary", value).otherwise(mask(value)) if proprietary else mask(value)).alias("value_preview"),
-        F.col("_hit.rule_no").alias("rule_no"),
+        (F.when(F.col("_r.col1") == "proprietary", value).otherwise(shown) if proprietary else shown).alias("value_preview"),
+        no.alias("rule_no"),
         F.col("_hit.match_no").alias("match_no"),
         F.col("_r.col5").alias("_validator"),
     ).where(F.col("value") != "")
