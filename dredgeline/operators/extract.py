@@ -165,12 +165,14 @@ def extract_fields(
     """Adds the text fields of each body: field_no, path, text, source_filename.
 
     ``provider`` names a column whose known values fix the format. Bodies that are not JSON
-    objects give no rows. Nesting below ``max_depth`` is not lost: the remaining container
+    objects have no fields. Nesting below ``max_depth`` is not lost: the remaining container
     becomes one field holding its JSON text. With ``as_array`` the row keeps one ``fields``
     array instead of being exploded.
     """
     keep = [c for c in df.columns if c != body]
-    out = df.where(F.col(body).rlike(r"\A[ \t\r\n]*\{")).withColumn("_v", F.expr(f"try_parse_json({body})"))
+    # Not as a filter, which would move below the column and build a computed body once more.
+    opens = F.startswith(F.ltrim(F.col(body), F.lit(" \t\r\n")), F.lit("{"))
+    out = df.withColumn("_v", F.when(opens, F.try_parse_json(F.col(body))))
     fmt = format_sql("_v")
     if provider:
         known = " ".join(f"WHEN '{p}' THEN '{f}'" for p, f in PROVIDER_FORMAT.items())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dredgeline.functions import text as tx
-from dredgeline.operators import detect, tooling
+from dredgeline.operators import detect, extract, tooling
 
 
 def plan(df):
@@ -43,6 +43,13 @@ def test_messages_are_built_and_parsed_once(texts):
     assert [r.msg_no for r in tooling.parse_messages(odd).collect()] == [6]
 
 
+def test_bodies_are_built_once(texts):
+    got = extract.extract_fields(texts.select("msg_no", F.expr("concat('{\"system\":\"marker ', text, '\"}')").alias("body")))
+    assert plan(got).count('"system":"marker') == 1
+    odd = texts.sparkSession.createDataFrame([(1, "[\"a text of more than twenty letters\"]"), (2, ' \r\n\t{"system":"yes"}'), (3, "\"a text of more than twenty letters\""), (4, None), (5, " {\"system\":\"no\"}")], "n long, body string")
+    assert [(r.n, r.text) for r in extract.extract_fields(odd).collect()] == [(2, "yes")]
+
+
 def test_western_letters_are_normal_and_stay(spark):
     plain = [chr(c) for c in range(0x132) if not 0xA0 <= c <= 0xBF]
     assert all(unicodedata.is_normalized("NFKC", a + b) for a in plain for b in plain)
