@@ -207,18 +207,91 @@ _NUMS = (
 
 
 def _guard_sql(rule: Rule) -> str | None:
-    known = cat.GUARDS.get(rule.name)
-    if known is None or not _guard_applies(rule):
-        return None
-    literals, features = known
+    shipped = rule.name in cat.GUARDS and _guard_applies(rule)
+    literals, features = cat.GUARDS[rule.name] if shipped else _needs(rule)
     terms = [f"_f_{f}" for f in features]
-    terms += [g for g, names in (("_long", cat.WITH_LONG), ("_sign", cat.WITH_SIGN)) if rule.name in names]
-    short = "_nums" if rule.name in cat.NUMERIC else "_runs" if rule.name in cat.IN_RUN else ""
+    if shipped:
+        terms += [g for g, names in (("_long", cat.WITH_LONG), ("_sign", cat.WITH_SIGN)) if rule.name in names]
+    short = "_nums" if _in_numbers(rule) else "_runs" if shipped and rule.name in cat.IN_RUN else ""
     for k, group in enumerate(literals):
         terms.append("(" + " OR ".join(f"contains({short}, {tx.sql_str(x)})" if short else f"({_contains_sql(x)})" for x in group) + ")")
     return " AND ".join(terms) if terms else None
 
 
+_REPEATS = (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT, re._constants.POSSESSIVE_REPEAT)
+_DIGITS = (re._constants.CATEGORY, re._constants.CATEGORY_DIGIT)
+
+
+def _items(rule: Rule) -> list:
+    try:
+        return list(re._parser.parse(rule.pattern))
+    except re.error:
+        return []
+
+
+def _needs(rule: Rule) -> tuple[list[list[str]], list[str]]:
+    """Literals and features that every match of a pattern holds: those of its parts that no match can leave out."""
+    c = re._constants
+    literals, digits = [], 0
+
+    def walk(items) -> None:
+        nonlocal digits
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            if op is c.LITERAL and 0x20 < arg < 0x7F:
+                run += chr(arg).lower()
+                continue
+            if len(run) > 2 or any(not x.isalnum() for x in run):
+                literals.append([run])
+            run = ""
+            if op is c.SUBPATTERN:
+                walk(arg[3])
+            elif op is c.ATOMIC_GROUP:
+                walk(arg)
+            elif op in _REPEATS and arg[0] > 0:
+                walk(arg[2])
+                if list(arg[2]) == [(c.IN, [_DIGITS])]:
+                    digits = max(digits, arg[0])
+            elif op is c.BRANCH:
+                own, kept = [], len(literals)
+                for branch in arg[1]:
+                    walk(branch)
+                    own.append(max((g[0] for g in literals[kept:] if len(g) == 1), key=len, default=""))
+                    del literals[kept:]
+                if all(own):
+                    literals.append(list(dict.fromkeys(own)))
+
+    walk(_items(rule))
+    if "|" in rule.pattern:  # a run of digits of one branch need not be in the others
+        digits = 0
+    literals.sort(key=lambda g: -min(map(len, g)))
+    return literals[:2], ["digit8"] if digits >= 8 else ["digit3"] if digits >= 3 else []
+
+
+def _in_numbers(rule: Rule) -> bool:
+    """True if all matches are words with a digit in each, one white space at most between two of them and none at the ends."""
+    if rule.name in cat.GUARDS and _guard_applies(rule):
+        return rule.name in cat.NUMERIC
+    c = re._constants
+    solid = lambda x: x == _DIGITS or (x[0] is c.LITERAL and 0x20 < x[1] < 0x7F) or (x[0] is c.RANGE and 0x20 < x[1][0] and x[1][1] < 0x7F)
+    white = lambda x: x in ((c.CATEGORY, c.CATEGORY_SPACE), (c.LITERAL, 0x20))
+    digit = False
+    for op, arg in _items(rule):
+        least, most, one = (arg[0], arg[1], list(arg[2])) if op in _REPEATS else (1, 1, [(op, arg)])
+        if one == [(c.AT, c.AT_BOUNDARY)]:
+            continue
+        if len(one) != 1:
+            return False
+        of = one[0][1] if one[0][0] is c.IN else one
+        if all(map(solid, of)):
+            digit = digit or (least > 0 and list(of) == [_DIGITS])
+        elif digit and most == 1 and all(solid(x) or white(x) for x in of):
+            digit = False  # the next word needs one of its own
+        else:
+            return False
+    return digit
+
+
 def _guard_applies(rule: Rule) -> bool:
     """A guard belongs to a pattern, not to a name: user rules may reuse a shipped name."""
     return any(rule.name == n and rule.pattern == p for n, p, *_ in
@@ -317,7 +390,7 @@ def scan(
     arms = []
     for i, r in enumerate(rules):
         one = _first_match_sql if first_only or i >= own else _matches_sql
-        arm = f"transform({one(r, '_nums' if guard[r] and r.name in cat.NUMERIC else '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
+        arm = f"transform({one(r, '_nums' if guard[r] and _in_numbers(r) else '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
         when = " AND ".join(x for x in (guard[r], "_on" if i >= own else None) if x)
         arms.append(f"CASE WHEN {when} THEN {arm} END" if when else arm)
     if proprietary:

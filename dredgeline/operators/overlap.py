@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from dredgeline.session import cut_lineage
 
@@ -19,17 +20,16 @@ def overlap_pairs(findings: DataFrame, item: Sequence[str], threshold: float = 0
     """Pairs of rules of one detector that match common items, with containment and Jaccard.
 
     Items are reduced to their distinct rule sets and counted first; pairs are then formed
-    inside the few distinct sets, so a value found a billion times costs one row.
+    inside the few distinct sets, so a value found a billion times costs one row. A rule is
+    counted as a pair with itself, so that the findings are read once.
     """
     sets = rule_sets(findings, item).groupBy("detector", "rules").agg(F.count("*").alias("n"))
-    single = sets.select("detector", F.explode("rules").alias("rule"), "n").groupBy("detector", "rule").agg(F.sum("n").alias("hits"))
-    pair = F.expr(
-        "flatten(transform(rules, (a, i) -> transform(slice(rules, i + 2, size(rules)), b -> struct(a as rule_a, b as rule_b))))")
-    both = sets.where(F.size("rules") > 1).select("detector", F.explode(pair).alias("p"), "n").groupBy(
+    pair = F.expr("flatten(transform(rules, (a, i) -> transform(slice(rules, i + 1, size(rules)), b -> struct(a as rule_a, b as rule_b))))")
+    both = sets.select("detector", F.explode_outer(pair).alias("p"), "n").groupBy(
         "detector", F.col("p.rule_a").alias("rule_a"), F.col("p.rule_b").alias("rule_b")).agg(F.sum("n").alias("common"))
-    a = single.select("detector", F.col("rule").alias("rule_a"), F.col("hits").alias("hits_a"))
-    b = single.select("detector", F.col("rule").alias("rule_b"), F.col("hits").alias("hits_b"))
-    x = both.join(a, ["detector", "rule_a"]).join(b, ["detector", "rule_b"])
+    alone = F.max(F.when(F.col("rule_a") == F.col("rule_b"), F.col("common")))
+    x = both.withColumn("hits_a", alone.over(W.partitionBy("detector", "rule_a"))).withColumn("hits_b", alone.over(W.partitionBy("detector", "rule_b")))
+    x = x.where(F.col("rule_a") != F.col("rule_b"))
     x = x.withColumn("overlap_a_to_b", F.col("common") / F.col("hits_a")).withColumn("overlap_b_to_a", F.col("common") / F.col("hits_b"))
     x = x.withColumn("jaccard", F.col("common") / (F.col("hits_a") + F.col("hits_b") - F.col("common")))
     ab, ba = F.col("overlap_a_to_b") >= threshold, F.col("overlap_b_to_a") >= threshold

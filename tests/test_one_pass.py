@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dredgeline.functions import text as tx
-from dredgeline.operators import detect, extract, tooling
+from dredgeline.operators import detect, extract, overlap, tooling
 
 
 def plan(df):
@@ -61,3 +61,31 @@ def test_western_letters_are_normal_and_stay(spark):
     for x in df.collect():
         assert x.z == x.p and x.s == (None if x.t is None else unicodedata.normalize("NFKC", x.t.translate(zero)))
     assert "regexp_replace" not in plan(df.select("s"))  # a class of several ranges
+
+
+def test_guards_of_own_rules_come_from_their_patterns(spark):
+    """Rules of a user are guarded by what their patterns cannot do without, with the matches they have unguarded."""
+    patterns = [r"[a-z0-9.]+@[a-z.]+\.org", r"\b\d{4}[\s\-]?\d{4}\b", r"\b4\d{3}[\s\-]?\d{4}\b", r"\d{3}|ab-c", r"(?i)skip\s+(?:this|that-)", r"(?:ab-c)?x\d{8}", r"(?:x-|\d{3})+y", r"\d{2}\s?", r"(\d{4})\s?(-)?",
+                r"\d\s\d", r"\d+\s?[a-z]*", r"(?i)kiss", r"[^\d]-\d{3}", r"a*", r"(?<=\d{3})-", r"(?:-)?é\d", r"x\d{3}(?:\s\d{3})?", r"\d{2}(?:a|bb)-"]
+    rules = [detect.Rule(f"own_{i}", p, rule_id=i) for i, p in enumerate(patterns)]
+    needs = dict(zip(patterns, map(detect._needs, rules)))
+    assert needs[patterns[0]][0] == [[".org"], ["@"]] and needs[patterns[1]] == ([], ["digit3"]) and needs[patterns[3]] == ([], [])
+    assert [p for p, r in zip(patterns, rules) if detect._in_numbers(r)] == [patterns[1], patterns[2], r"\d\s\d"]
+    r = random.Random(5)
+    bits = ["4111", "4111 1111", "12345678", "123", "x", "x-", "y", "ab-c", "AB-C", "skip", "SKIP", "this", "that-", "me.a@b.org", "Me@B.ORG", "-", "é9", "é", "\0", "7", "bb-", "\u212aI\u017fS", "KISS", "\u0663\u0663\u0663\u0663"]
+    rows = [(i, "".join(r.choice(bits) + r.choice((" ", "", "  ", "\n", "\u00a0", "\t")) for _ in range(r.randint(1, 20)))) for i in range(300)] + [(999, None), (998, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for once in (False, True):
+        a, b = (sorted((x.id, x.rule_no, x.match_no, x.value) for x in detect.scan(df, rules, keep=["id"], guards=g, first_only=once).collect()) for g in (True, False))
+        assert a == b and len({x[1] for x in a}) > 12
+    again = [detect.replace(x, name="iban") for x in rules[:2]]  # a shipped name with a pattern of the user's
+    a, b = (sorted((x.id, x.rule_no, x.match_no, x.value) for x in detect.scan(df, again, keep=["id"], guards=g).collect()) for g in (True, False))
+    assert a == b and a
+
+
+def test_overlaps_read_findings_once(texts):
+    rules = [detect.Rule("a", "a"), detect.Rule("a_or_n", "a|n"), detect.Rule("n", "n"), detect.Rule("z", "Z")]
+    found = detect.scan(texts, rules, keep=["msg_no"])
+    got = overlap.overlap_pairs(found, ["value"])
+    assert plan(got).count("Relation") == 1
+    assert [tuple(x) for x in got.orderBy("rule_a", "rule_b").collect()] == [("custom", "a", "a_or_n", "subset", 1, 1.0, 0.5, 0.5), ("custom", "a_or_n", "n", "superset", 1, 0.5, 1.0, 0.5)]
