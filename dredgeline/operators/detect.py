@@ -197,13 +197,23 @@ def _holds(column: str, letters: str) -> Column:
     return reduce(or_, (F.contains(column, F.lit(c)) for c in letters))
 
 
-# What guards look at in place of the text: runs without white space, and words with a digit in them. Two such words
-# that follow each other keep the white space between them, others are set apart by a zero character.
-_RUNS = f"array_join(regexp_extract_all(_lower, {tx.sql_str(rf'\S{{{cat.RUN},}}')}, 0), ' ')"
+# What guards, and rules for tokens, look at in place of the text. A word is plain if it is short and of letters and a few
+# signs. A plain word goes if what follows begins like one, so that the word before a colon or an equals sign stays. Two
+# white spaces take its place: no rule that runs on what is left reaches over them.
+_MARKS = ",.;!?"
+_PLAIN = f"[a-zA-Z{_MARKS}\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u017e]"
+_KEPT = f"regexp_replace(_text, {tx.sql_str(rf'(?:\s++{_PLAIN}{{1,{cat.RUN - 1}}}+(?=\s++{_PLAIN}))++')}, '  ')"
+# Of these, words with a digit in them. Two such words that follow each other keep the white space between them, others
+# are set apart by a zero character.
 _NUM = r"(?U)(?<!\S)[^\s\d]*+\d\S*+(?:\s(?=[^\s\d]*+\d))?"
 _NUMS = (
-    "CASE WHEN _text rlike '(?U)\\\\d' THEN "
-    f"regexp_replace(array_join(regexp_extract_all(_text, {tx.sql_str(_NUM)}, 0), '\\0'), {tx.sql_str('(?U)(' + chr(92) + 's)' + chr(92) + 'x00')}, '$1') WHEN _text IS NOT NULL THEN '' END")
+    "CASE WHEN _kept rlike '(?U)\\\\d' THEN "
+    f"regexp_replace(array_join(regexp_extract_all(_kept, {tx.sql_str(_NUM)}, 0), '\\0'), {tx.sql_str('(?U)(' + chr(92) + 's)' + chr(92) + 'x00')}, '$1') WHEN _kept IS NOT NULL THEN '' END")
+
+
+def _stays(word: str) -> bool:
+    """True if no plain word holds the literal."""
+    return not re.search(r"\s", word) and (len(word) >= cat.RUN or any(x.isascii() and not x.isalpha() and x not in _MARKS for x in word))
 
 
 def _guard_sql(rule: Rule) -> str | None:
@@ -212,9 +222,10 @@ def _guard_sql(rule: Rule) -> str | None:
     terms = [f"_f_{f}" for f in features]
     if shipped:
         terms += [g for g, names in (("_long", cat.WITH_LONG), ("_sign", cat.WITH_SIGN)) if rule.name in names]
-    short = "_nums" if _in_numbers(rule) else "_runs" if shipped and rule.name in cat.IN_RUN else ""
-    for k, group in enumerate(literals):
-        terms.append("(" + " OR ".join(f"contains({short}, {tx.sql_str(x)})" if short else f"({_contains_sql(x)})" for x in group) + ")")
+    short = shipped and rule.name in cat.IN_RUN | cat.BEFORE_SIGN
+    for group in sorted(literals, key=lambda g: not all(map(_stays, g))):
+        column = "_nums" if _in_numbers(rule) else "_runs" if short or all(map(_stays, group)) else ""
+        terms.append("(" + " OR ".join(f"contains({column}, {tx.sql_str(x)})" if column else f"({_contains_sql(x)})" for x in group) + ")")
     return " AND ".join(terms) if terms else None
 
 
@@ -292,6 +303,13 @@ def _in_numbers(rule: Rule) -> bool:
     return digit
 
 
+def _searched(rule: Rule, guarded: bool) -> str:
+    """The column that a rule runs on."""
+    if not guarded:
+        return "_text"
+    return "_nums" if _in_numbers(rule) else "_kept" if rule.name in cat.SOLID and _guard_applies(rule) else "_text"
+
+
 def _guard_applies(rule: Rule) -> bool:
     """A guard belongs to a pattern, not to a name: user rules may reuse a shipped name."""
     return any(rule.name == n and rule.pattern == p for n, p, *_ in
@@ -324,10 +342,36 @@ def _headless(rule: Rule) -> str:
     return p
 
 
+def _first_letters(items) -> set[str] | None:
+    """The characters a match can begin with, in either case; None if they are not few and known."""
+    c = re._constants
+    for op, arg in items:
+        if op is c.LITERAL:
+            x = chr(arg)
+            return {x.lower(), x.upper()} | set({"s": "\u017f", "i": "\u0131\u0130", "k": "\u212a"}.get(x.lower(), "")) if "!" < x < "\x7f" else None
+        if op is c.SUBPATTERN:
+            return _first_letters(arg[3])
+        if op is c.BRANCH:
+            own = [_first_letters(x) for x in arg[1]]
+            return set().union(*own) if all(own) else None
+        return None
+    return None
+
+
+def _ahead(pattern: str) -> str:
+    """A look at the first character, which rules out most places of a text before the pattern is tried there."""
+    try:
+        first = _first_letters(re._parser.parse(pattern))
+    except re.error:
+        first = None
+    return f"(?=[{''.join(rf'\x{{{ord(x):x}}}' for x in sorted(first))}])" if first else ""
+
+
 def _matches_sql(rule: Rule, text: str) -> str:
     if _sure_group(rule):
-        return f"regexp_extract_all({text}, {tx.sql_str(cat.JAVA_FLAGS + java_pattern(_headless(rule)))}, 1)"
-    p = tx.sql_str(rule.java)
+        p = _headless(rule)
+        return f"regexp_extract_all({text}, {tx.sql_str(cat.JAVA_FLAGS + _ahead(p) + java_pattern(p))}, 1)"
+    p = tx.sql_str(cat.JAVA_FLAGS + _ahead(rule.pattern) + java_pattern(rule.pattern))
     whole = f"regexp_extract_all({text}, {p}, 0)"
     if rule.groups:  # the second pass is for texts with a match
         return f"flatten(transform(array({whole}), m -> if(size(m) = 0, m, zip_with(m, regexp_extract_all({text}, {p}, 1), (w, g) -> if(g <> '', g, w)))))"
@@ -384,13 +428,14 @@ def scan(
     if used:
         # The patterns fold four letters to ASCII that lower() leaves apart.
         odd = (F.octet_length("_text") != F.length("_text")) & _holds("_text", "\u017f\u0131\u0130\u212a")
-        src = src.withColumn("_lower", F.lower(F.when(odd, F.translate("_text", "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col("_text"))))
-        src = src.withColumns({"_runs": F.expr(_RUNS), "_nums": F.expr(_NUMS), "_sign": _holds("_lower", ":=")})
-        src = src.withColumns({"_long": F.col("_runs").rlike(cat.LONG)} | {f"_f_{f}": F.col("_nums").rlike("(?U)" + rx) for f, rx in cat.FEATURES.items() if f"_f_{f}" in used})
+        src = src.withColumns({"_odd": odd, "_kept": F.expr(_KEPT)})
+        low = lambda c: F.lower(F.when(F.col("_odd"), F.translate(c, "\u017f\u0131\u0130\u212a", "siik")).otherwise(F.col(c)))
+        src = src.withColumns({"_lower": low("_text"), "_runs": low("_kept"), "_nums": F.expr(_NUMS), "_sign": _holds("_kept", ":=")})
+        src = src.withColumns({"_long": F.col("_kept").rlike(cat.LONG)} | {f"_f_{f}": F.col("_nums").rlike("(?U)" + rx) for f, rx in cat.FEATURES.items() if f"_f_{f}" in used})
     arms = []
     for i, r in enumerate(rules):
         one = _first_match_sql if first_only or i >= own else _matches_sql
-        arm = f"transform({one(r, '_nums' if guard[r] and _in_numbers(r) else '_text')}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
+        arm = f"transform({one(r, _searched(r, bool(guard[r])))}, (v, j) -> struct({i} as rule_no, j as match_no, v as value))"
         when = " AND ".join(x for x in (guard[r], "_on" if i >= own else None) if x)
         arms.append(f"CASE WHEN {when} THEN {arm} END" if when else arm)
     if proprietary:
